@@ -35,6 +35,7 @@ def read_transcripts(
     paths: str | Sequence[str],
     compressed: bool = False,
     exclusions: Sequence[str] = (),
+    glob: str | None = None,
 ) -> DataFrame:
     """One row per line: source_path, block, line_no, byte_offset, value, locator, tail.
 
@@ -42,21 +43,26 @@ def read_transcripts(
     counts, so a file split over many tasks is never gathered into one.
     """
     _pin_splits(spark)
-    suffix = "*.jsonl.zst" if compressed else "*.jsonl"
+    suffix = glob or ("*.jsonl.zst" if compressed else "*.jsonl")
     raw = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", suffix)
         .option("lineSep", "\n")
         .text([paths] if isinstance(paths, str) else list(paths))
-        .select(
-            F.coalesce(
-                pathops.clean_absolute(F.col("_metadata.file_path")), F.col("_metadata.file_path")
-            ).alias("source_path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.col("_metadata.file_size").alias("_size"),
-            F.monotonically_increasing_id().alias("_seq"),
-            "value",
-        )
+    )
+    return place_lines(raw, compressed, exclusions)
+
+
+def place_lines(raw: DataFrame, compressed: bool = False, exclusions: Sequence[str] = ()) -> DataFrame:
+    """Number the lines of a text scan (also of one micro-batch of whole files)."""
+    raw = raw.select(
+        F.coalesce(
+            pathops.clean_absolute(F.col("_metadata.file_path")), F.col("_metadata.file_path")
+        ).alias("source_path"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.col("_metadata.file_size").alias("_size"),
+        F.monotonically_increasing_id().alias("_seq"),
+        "value",
     )
     raw = raw.filter(allowed_path(F.col("source_path"), exclusions))
     numbered = ordering.number_rows(
