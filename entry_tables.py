@@ -106,7 +106,7 @@ CORRECTIONS = f"""
 """
 
 ACTIVITY = """
- SELECT event_id AS activity_id, CAST(ts AS TIMESTAMP) AS at, 'tool' AS surface, event_type AS tool,
+ SELECT event_id AS activity_id, CAST(ts AS TIMESTAMP) AS called_at, 'tool' AS surface, event_type AS tool,
         props AS summary, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status,
         CAST(floor(value * 10) AS BIGINT) AS duration_ms
  FROM {events}

@@ -94,25 +94,28 @@ def _keyed_items(view: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def _targets(keyed: DataFrame) -> DataFrame:
-    """Per (scope, key): its first record, item count there, and when a second record appears."""
+    """Per (scope, key): its first record with its items there, and when a second record appears.
+
+    The items of one record are limited at extraction, so the list stays short.
+    """
     per_record = keyed.groupBy("_key", *_SCOPE, "record_id").agg(
-        F.min("since").alias("since"), F.count(F.lit(1)).alias("n")
+        F.min("since").alias("since"), F.collect_list("item_id").alias("hit_items")
     )
     order = W.partitionBy("_key", *_SCOPE).orderBy("since", "record_id")
     first_two = per_record.withColumn("_rank", F.row_number().over(order)).filter("_rank <= 2")
+    first = lambda c: F.max(F.when(F.col("_rank") == 1, F.col(c)))
     return first_two.groupBy("_key", *_SCOPE).agg(
-        F.max(F.when(F.col("_rank") == 1, F.col("record_id"))).alias("record_id"),
-        F.max(F.when(F.col("_rank") == 1, F.col("since"))).alias("since"),
-        F.max(F.when(F.col("_rank") == 1, F.col("n"))).alias("n"),
+        first("record_id").alias("target_record_id"), first("since").alias("since"),
+        first("hit_items").alias("hit_items"),
         F.max(F.when(F.col("_rank") == 2, F.col("since"))).alias("second_since"),
     ).select(
         F.col("_key").alias("t_key"), *[F.col(c).alias("t_" + c) for c in _SCOPE],
-        F.col("record_id").alias("target_record_id"), "since", "second_since", "n",
+        "target_record_id", "hit_items", "since", "second_since",
     )
 
 
 def judge_actions(view: DataFrame) -> DataFrame:
-    """Every extracted action with `applies` and, where it does, its target record."""
+    """Every extracted action with `applies` and, where it does, its target record and items."""
     actions = extracted_actions(view)
     targets = _targets(_keyed_items(view, actions))
     on = actions["_key"] == targets["t_key"]
@@ -121,14 +124,14 @@ def judge_actions(view: DataFrame) -> DataFrame:
     unique = (
         (F.col("action_time") >= F.col("since"))
         & (F.col("second_since").isNull() | (F.col("action_time") < F.col("second_since")))
-        & (~F.col("_key").startswith("text:") | (F.col("n") == 1))
+        & (~F.col("_key").startswith("text:") | (F.size("hit_items") == 1))
     )
     applies = F.coalesce((F.col("action_actor") == "user") & unique, F.lit(False))
-    return (
-        actions.join(targets, on, "left")
-        .withColumn("applies", applies)
-        .withColumn("target_record_id", F.when(applies, F.col("target_record_id")))
-        .drop("t_key", "t_project_id", "t_worktree_id", "since", "second_since", "n")
+    judged = actions.join(targets, on, "left").withColumn("applies", applies)
+    return judged.select(
+        *actions.columns, "applies",
+        F.when(F.col("applies"), F.col("target_record_id")).alias("target_record_id"),
+        F.when(F.col("applies"), F.col("hit_items")).alias("hit_items"),
     )
 
 
@@ -143,21 +146,31 @@ def superseded(view: DataFrame) -> DataFrame:
     )
 
 
-def _applied_links(keyed: DataFrame, judged: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(latest action per hit key, keyed items of the hit records)."""
-    applied = judged.filter("applies")
-    latest = (
-        applied.groupBy("_key", *_SCOPE, "target_record_id")
-        .agg(
-            F.max(F.struct("action_time", "action_id", "action_status")).alias("last"),
-            F.count(F.lit(1)).alias("hits"),
-        )
-        .select(
-            F.col("_key").alias("a_key"), *[F.col(c).alias("a_" + c) for c in _SCOPE],
-            "target_record_id", "last", "hits",
-        )
+def _effects(judged: DataFrame) -> DataFrame:
+    """What the actions do per item: last applied one, number applied, or left unresolved."""
+    own = F.array("action_id")
+    each = judged.select(
+        F.explode_outer(F.when(F.col("applies"), F.col("hit_items")).otherwise(own)).alias("_item"),
+        F.when(F.col("applies"), F.struct("action_time", "action_id", "action_status")).alias("_act"),
+    )
+    return each.groupBy(F.col("_item").alias("_effect_item")).agg(
+        F.max("_act").alias("_last"),
+        F.count("_act").alias("_hits"),
+        F.bool_or(F.col("_act").isNull()).alias("_unresolved"),
+    )
+
+
+def _explicit(corrections: DataFrame) -> DataFrame:
+    """Latest explicit status and wording per target."""
+    at = lambda c: F.when(
+        F.coalesce(F.col(c), F.lit("")) != "", F.struct("created_at", "correction_id", F.col(c).alias("value"))
+    )
+    return corrections.groupBy(F.col("target").alias("_target")).agg(
+        F.struct(
+            F.max(at("status")).alias("status"), F.max(at("text")).alias("text"),
+            F.max(F.struct("created_at", "correction_id")).alias("last"), F.count(F.lit(1)).alias("n"),
+        ).alias("_set")
     )
-    return applied, latest
 
 
 def resolve_items(
@@ -165,92 +178,40 @@ def resolve_items(
 ) -> DataFrame:
     """Items with resolved status/text, how often they were resolved and by what last.
 
-    `view` must hold every correction item that may act on the others.
+    `view` must hold every correction item that may act on the others.  Explicit
+    corrections match item and record ids only, and win over extracted ones.
     """
-    judged = judge_actions(view) if judged is None else judged
-    keyed = _keyed_items(view, extracted_actions(view))
-    _, latest = _applied_links(keyed, judged)
-    on = (
-        (keyed["_key"] == latest["a_key"])
-        & (keyed["record_id"] == latest["target_record_id"])
-        & keyed["project_id"].eqNullSafe(latest["a_project_id"])
-        & keyed["worktree_id"].eqNullSafe(latest["a_worktree_id"])
-    )
-    hit = (
-        keyed.join(latest, on)
-        .groupBy(F.col("item_id").alias("_hit_item"))
-        .agg(F.max("last").alias("_last"), F.sum("hits").alias("_hits"))
-    )
-    explicit = explicit_overrides(view, corrections)
-    unresolved = (
-        judged.filter("not applies")
-        .select(F.col("action_id").alias("_open_action"))
-    )
+    effects = _effects(judge_actions(view) if judged is None else judged)
+    explicit = _explicit(corrections)
+    by_item = explicit.select(F.col("_target").alias("_ti"), F.col("_set").alias("_si"))
+    by_record = explicit.select(F.col("_target").alias("_tr"), F.col("_set").alias("_sr"))
     base = superseded(view)
-    out = (
-        base.join(hit, base.item_id == hit._hit_item, "left")
-        .join(explicit, F.col("item_id") == F.col("_override_item"), "left")
-        .join(unresolved, F.col("item_id") == F.col("_open_action"), "left")
+    joined = (
+        base.join(effects, base.item_id == effects["_effect_item"], "left")
+        .join(by_item, F.col("item_id") == F.col("_ti"), "left")
+        .join(by_record, F.col("record_id") == F.col("_tr"), "left")
     )
-    return out.select(
+    latest = lambda c: F.greatest(F.col("_si")[c], F.col("_sr")[c])
+    count = lambda c: F.coalesce(c, F.lit(0))
+    return joined.select(
         *[c for c in base.columns if c not in ("status", "text")],
-        F.coalesce("_override_text", "text").alias("text"),
-        F.coalesce("_override_status", "_last.action_status", "status").alias("status"),
-        (F.coalesce("_hits", F.lit(0)) + F.coalesce("_overrides", F.lit(0))).alias("resolutions"),
-        F.coalesce("_last_override", "_last.action_id").alias("last_resolution_id"),
-        F.when(F.col("_overrides").isNotNull(), "user_correction").alias("authority"),
-        F.when(F.col("_open_action").isNotNull(), UNRESOLVED).alias("resolution_uncertainty"),
-    )
-
-
-def explicit_overrides(view: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Latest explicit status and text per item, matched by item or record id only."""
-    order = F.struct("created_at", "correction_id")
-    named = F.coalesce(F.col("status"), F.lit("")) != ""
-    worded = F.coalesce(F.col("text"), F.lit("")) != ""
-    per_target = corrections.groupBy(F.col("target").alias("_target")).agg(
-        F.max_by("status", F.when(named, order)).alias("_status"),
-        F.max(F.when(named, order)).alias("_status_at"),
-        F.max_by("text", F.when(worded, order)).alias("_text"),
-        F.max(F.when(worded, order)).alias("_text_at"),
-        F.count(F.lit(1)).alias("_n"),
-        F.max(order).alias("_at"),
-    )
-    keys = view.select(
-        "item_id", F.explode(F.array_distinct(F.array("item_id", "record_id"))).alias("_key")
-    )
-    return (
-        keys.join(per_target, keys["_key"] == per_target["_target"])
-        .groupBy(F.col("item_id").alias("_override_item"))
-        .agg(
-            F.max_by("_status", "_status_at").alias("_override_status"),
-            F.max_by("_text", "_text_at").alias("_override_text"),
-            F.sum("_n").alias("_overrides"),
-            F.max("_at")["correction_id"].alias("_last_override"),
-        )
+        F.coalesce(latest("text")["value"], "text").alias("text"),
+        F.coalesce(latest("status")["value"], "_last.action_status", "status").alias("status"),
+        (count(F.col("_hits")) + count(F.col("_si.n")) + count(F.col("_sr.n"))).alias("resolutions"),
+        F.coalesce(latest("last")["correction_id"], "_last.action_id").alias("last_resolution_id"),
+        F.when(latest("last").isNotNull(), "user_correction").alias("authority"),
+        F.when(F.col("_unresolved"), UNRESOLVED).alias("resolution_uncertainty"),
     )
 
 
 def resolution_refs(
     view: DataFrame, corrections: DataFrame, judged: DataFrame | None = None
 ) -> DataFrame:
-    """Every applied resolution as its own row: item_id, source, ref, at, action_id."""
+    """Every applied resolution as its own row: item_id, origin, ref, at, action_id."""
     judged = judge_actions(view) if judged is None else judged
-    keyed = _keyed_items(view, extracted_actions(view))
-    applied = judged.filter("applies").select(
-        F.col("_key").alias("a_key"), F.col("project_id").alias("a_project_id"),
-        F.col("worktree_id").alias("a_worktree_id"), "target_record_id",
-        "action_record_id", "action_time", "action_id",
-    )
-    on = (
-        (keyed["_key"] == applied["a_key"])
-        & (keyed["record_id"] == applied["target_record_id"])
-        & keyed["project_id"].eqNullSafe(applied["a_project_id"])
-        & keyed["worktree_id"].eqNullSafe(applied["a_worktree_id"])
-    )
-    extracted = keyed.join(applied, on).select(
-        "item_id", F.lit("extracted").alias("origin"), F.col("action_record_id").alias("ref"),
-        F.col("action_time").alias("at"), "action_id",
+    extracted = judged.filter("applies").select(
+        F.explode_outer("hit_items").alias("item_id"), F.lit("extracted").alias("origin"),
+        F.col("action_record_id").alias("ref"), F.col("action_time").alias("at"), "action_id",
     )
     keys = view.select(
         "item_id", F.explode(F.array_distinct(F.array("item_id", "record_id"))).alias("_key")

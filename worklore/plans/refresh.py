@@ -8,7 +8,7 @@ number is written over by the next one.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -31,6 +31,7 @@ TABLES = {
     "diagnostics": schema.SOURCE_DIAGNOSTICS,
     "items": ITEMS,
     "memory": schema.MEMORY,
+    "corrections": schema.CORRECTIONS,
 }
 
 
@@ -44,10 +45,10 @@ class Inputs:
     worktrees: DataFrame | None = None
     associations: DataFrame | None = None
     forgotten: DataFrame | None = None
+    corrections: DataFrame | None = None
     exclusions: Sequence[str] = ()
     extra_patterns: tuple[str, ...] = ()
     glob: str = "*.jsonl"
-    facts: dict = field(default_factory=dict)
 
 
 class Store:
@@ -73,6 +74,10 @@ class Store:
             rows = rows.filter(F.col("run_id") == last)
         else:
             rows = rows.filter(F.col("run_id") <= last)
+        if name == "items":
+            # A rebuild writes the items of all records; earlier ones are history.
+            base = self.runs().agg(F.max(F.col("stats")["items_base"]).alias("b")).first()["b"] or 0
+            rows = rows.filter(F.col("run_id") >= base)
         if name == "generations":
             return identity.generation_status(rows.drop("run_id").withColumn("status", F.lit("")))
         return rows.drop("run_id")
@@ -105,8 +110,13 @@ def _grown(spark: SparkSession, prior: DataFrame, listing: DataFrame, inputs: In
 
 
 def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = False) -> DataFrame:
-    """Run once and return the report row."""
+    """Run once and return the report row.
+
+    A changed pipeline version implies a rebuild: every source is read again and
+    all items are derived anew, with explicit corrections carried over.
+    """
     store = Store(spark, root)
+    rebuild = rebuild or needs_reextraction(store)
     run_id = store.last_run() + 1
     started = spark.sql("select current_timestamp() as t").first()["t"]
     prior = session.stage(store.table("sources"), "prior")
@@ -185,7 +195,7 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
         if inputs.forgotten is not None:
             stats["forgotten"] = identity.forgotten_records(occurring, inputs.forgotten).count()
             occurring = identity.without_forgotten(occurring, inputs.forgotten)
-        fresh_gaps = _write_records(store, occurring, inputs, run_id, stats)
+        fresh_gaps = _write_records(store, occurring, inputs, run_id, stats, rebuild)
     stats.setdefault("parsed", 0)
     stats.setdefault("inserted", 0)
     if fresh_gaps is not None:
@@ -204,19 +214,21 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
     return store.runs().filter(F.col("run_id") == run_id)
 
 
-def _write_records(store: Store, occurring: DataFrame, inputs: Inputs, run_id: int, stats: dict) -> DataFrame:
+def _write_records(
+    store: Store, occurring: DataFrame, inputs: Inputs, run_id: int, stats: dict, rebuild: bool
+) -> DataFrame:
     spark = store.spark
-    known = store.table("records").select("record_id")
-    wide = identity.distinct_records(
+    known = store.table("records").select(F.col("record_id").alias("_known"))
+    seen = identity.distinct_records(
         occurring, [c for c in occurring.columns if c not in ("generation_id", "locator", "position")]
-    ).join(known, "record_id", "left_anti")
+    ).join(known, F.col("record_id") == F.col("_known"), "left")
+    if not rebuild:
+        seen = seen.filter("_known is null")
     worktrees = inputs.worktrees if inputs.worktrees is not None else spark.createDataFrame([], schema.WORKTREES)
-    new = session.stage(assoc.associate(wide, worktrees, inputs.associations), "new-records")
-    stats["inserted"] = new.count()
-    names = [c.split(" ")[0] for c in (
-        "record_id session_id session_native_id native_id provider actor kind text event_time original_time "
-        "time_status cwd metadata project_id worktree_id association_reason").split(" ")]
-    store.write("records", new.select(*names), run_id)
+    new = session.stage(assoc.associate(seen, worktrees, inputs.associations), "new-records")
+    fresh = new.filter("_known is null")
+    stats["inserted"] = fresh.count()
+    store.write("records", fresh.select(*_names(schema.RECORDS)), run_id)
     occurrences = identity.distinct_occurrences(occurring)
     old = store.table("occurrences").select("record_id", "generation_id", "locator")
     store.write(
@@ -231,10 +243,18 @@ def _write_records(store: Store, occurring: DataFrame, inputs: Inputs, run_id: i
     found = session.stage(
         extract.statements(shaped).unionByName(docs.document_statements(shaped)), "statements"
     )
-    items = resolve.with_scope(extract.number_items(found), new)
-    store.write("items", items.select(*[c.strip().split(" ")[0] for c in _columns(ITEMS)]), run_id)
+    items = resolve.with_scope(extract.number_items(found), new).select(*_names(ITEMS))
+    if rebuild:
+        before = store.table("items")
+        if inputs.corrections is not None:
+            store.write("corrections", identity.carry_overrides(before, items, inputs.corrections), run_id)
+        # Records no longer in any source keep the items they had.
+        items = items.unionByName(before.join(new.select("record_id"), "record_id", "left_anti").select(*_names(ITEMS)))
+        stats["items_base"] = run_id
+    store.write("items", items, run_id)
     principles = extract.proposed_principles(extract.number_items(found), new, F.current_timestamp())
-    store.write("memory", principles, run_id)
+    memory = store.table("memory").select("memory_id")
+    store.write("memory", principles.join(memory, "memory_id", "left_anti"), run_id)
     gaps = extract.extraction_gaps(found)
     # An over-full record is a gap of every source that holds it.
     return gaps.join(occurrences, "record_id").select(
@@ -243,9 +263,17 @@ def _write_records(store: Store, occurring: DataFrame, inputs: Inputs, run_id: i
     )
 
 
-def _columns(ddl: str) -> list[str]:
-    """Top-level column declarations of a flat DDL string."""
-    return [c for c in ddl.split(",") if " " in c.strip()]
+def _names(ddl: str) -> list[str]:
+    """Top-level column names of a DDL string."""
+    names, depth, token = [], 0, ""
+    for c in ddl + ",":
+        depth += (c == "<") - (c == ">")
+        if c == "," and depth == 0:
+            names.append(token.strip().split(" ")[0])
+            token = ""
+        else:
+            token += c
+    return names
 
 
 def _write_sources(store, prior, changes, digests, extra_sources, problems, run_id) -> None:
@@ -366,15 +394,3 @@ def needs_reextraction(store: Store) -> bool:
     """Whether stored items come from another pipeline version."""
     row = store.runs().agg(F.max_by("pipeline", "run_id").alias("p")).first()
     return row["p"] is not None and row["p"] != PIPELINE
-
-
-def reextract(records: DataFrame, old_items: DataFrame, corrections: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items of all records anew, with corrections carried to their successors."""
-    shaped = records.select(
-        "record_id", "provider", "actor", "kind", F.col("text").alias("full_text"),
-        F.col("metadata.tool").alias("tool"), F.col("metadata.section").alias("section"),
-        F.col("metadata.relative_path").alias("relative_path"), F.col("metadata.line_start").alias("line_start"),
-        F.col("metadata.source_context").alias("source_context"),
-    )
-    items = extract.extract_items(shaped).unionByName(docs.document_items(shaped))
-    return resolve.with_scope(items, records), identity.carry_overrides(old_items, items, corrections)
