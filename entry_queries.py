@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import entry_tables as E
 from worklore import session
+from worklore.functions.plans import settle
 from worklore.functions import hashing, ordering, patterns as P, textops, timeops
 from worklore.operators import (
     associate, docs, evidence, extract, facets, identity, moves, normalize, pack, prose, resolve, search,
@@ -93,7 +94,7 @@ IMPORTANCE = """CASE WHEN status IN ('active','pending','blocked') THEN
 
 
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line_no,
- COALESCE(sum(length(encode(text)) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+ COALESCE(sum(octet_length(encode(text)) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
  ::BIGINT AS byte_offset FROM conversations""")
 def line_numbers(spark, sf_dir):
     rows = E.table(spark, sf_dir, "conversations").withColumn("block", F.floor(F.col("turn") / 3))
@@ -188,11 +189,11 @@ def tombstone_filter(spark, sf_dir):
 
 
 def _lines(df: DataFrame, value) -> DataFrame:
-    return df.select(
+    return settle(df.select(
         F.col("session_id").alias("source_path"), F.floor(F.col("line_no") / 50).alias("block"), "line_no",
         F.concat(F.lit("line:"), F.col("line_no").cast("string")).alias("locator"),
         value.alias("value"), F.lit(False).alias("tail"),
-    )
+    ))
 
 
 def rollout_lines(spark, sf_dir) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, functions as F
 
 from . import patterns as P
+from .textops import let
 
 
 def parse(text: Column) -> Column:
@@ -63,39 +64,56 @@ def first_of(value: Column, getter, keys: Sequence[str]) -> Column:
 
 def as_mapping(value: Column) -> Column:
     """An object as itself, or the object encoded in a JSON string."""
-    decoded = F.try_parse_json(F.try_variant_get(value, "$", "string"))
-    return F.when(is_object(value), value).when(is_string(value) & is_object(decoded), decoded)
+
+    def choose(v: Column) -> Column:
+        decoded = F.try_parse_json(F.try_variant_get(v, "$", "string"))
+        return F.when(is_object(v), v).when(
+            is_string(v), let(decoded, lambda d: F.when(is_object(d), d))
+        )
+
+    return let(value, choose)
+
+
+def _shape(value: Column, depth: int) -> Column:
+    """Flat text of a bound value."""
+    plain = F.try_variant_get(value, "$", "string")
+    kind = first_char(value)
+    if depth == 0:
+        return F.when(kind == '"', plain).otherwise("")
+
+    def by_kind(k: Column) -> Column:
+        elements = F.try_variant_get(value, "$", "array<variant>")
+        listed = F.array_join(
+            F.filter(F.transform(elements, lambda e: _shape(e, depth - 1)), lambda t: t != ""), "\n"
+        )
+        typed = F.coalesce(F.try_variant_get(value, "$.type", "string").isin(P.TEXT_PARTS), F.lit(False))
+        inner = F.coalesce(node(value, "$.text"), node(value, "$.content"))
+        part = F.when(typed, let(inner, lambda i: _shape(i, depth - 1)))
+        return F.when(k == '"', plain).when(k == "[", listed).when(k == "{", part)
+
+    return F.coalesce(let(kind, by_kind), F.lit(""))
 
 
 def flat_text(value: Column, depth: int = 3) -> Column:
     """Depth-first text of strings, lists and typed text parts, newline-joined."""
-    plain = F.when(is_string(value), F.try_variant_get(value, "$", "string"))
-    if depth == 0:
-        return F.coalesce(plain, F.lit(""))
-    elements = F.try_variant_get(value, "$", "array<variant>")
-    listed = F.array_join(
-        F.filter(F.transform(elements, lambda e: flat_text(e, depth - 1)), lambda t: t != ""), "\n"
-    )
-    inner = F.coalesce(node(value, "$.text"), node(value, "$.content"))
-    part = F.when(string_at(value, "$.type").isin(P.TEXT_PARTS), flat_text(inner, depth - 1))
-    return F.coalesce(
-        plain, F.when(is_array(value), listed), F.when(is_object(value), part), F.lit("")
-    )
+    return F.coalesce(let(value, lambda v: _shape(v, depth)), F.lit(""))
+
+
+def has_shape(value: Column, path: str, openers: str) -> Column:
+    return F.coalesce(first_char(node(value, path)).isin(*openers), F.lit(False))
 
 
-def observed(value: Column) -> dict[str, Column]:
-    """Execution facts a producer states about a tool call or its result."""
-    data = as_mapping(value)
+def observed(data: Column) -> dict[str, Column]:
+    """Execution facts in a mapping (see `as_mapping`; bind it to a column first)."""
     command = F.coalesce(
         *[
-            F.when(is_string(node(data, "$." + k)) | is_array(node(data, "$." + k)),
-                   F.try_variant_get(data, "$." + k, "string"))
+            F.when(has_shape(data, "$." + k, '"['), F.try_variant_get(data, "$." + k, "string"))
             for k in ("command", "cmd")
         ]
     )
     argv = F.coalesce(
         *[
-            F.when(is_array(node(data, "$." + k)), F.try_variant_get(data, "$." + k, "array<string>"))
+            F.when(has_shape(data, "$." + k, "["), F.try_variant_get(data, "$." + k, "array<string>"))
             for k in ("command", "cmd")
         ]
     )

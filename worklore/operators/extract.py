@@ -11,6 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import hashing, patterns as P, textops
+from ..functions.plans import settle
 from .prose import prose_lines
 
 CANDIDATE = (
@@ -181,7 +182,7 @@ def _suffixes(text: Column) -> Column:
 
 def classified_lines(spoken: DataFrame) -> DataFrame:
     """record_id, line_no, k, closing, attribute, value, cands - one row per text to classify."""
-    lines = prose_lines(spoken, keep=("actor",))
+    lines = settle(prose_lines(spoken, keep=("actor",)))
     line, who = F.col("line"), F.col("actor")
     attribute = F.regexp_extract(line, ATTRIBUTE_LINE, 1)
     marked = lines.withColumns(

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema
+from ..functions.plans import settle
 from ..functions import hashing, jsonops as J, ordering, patterns as P, textops, timeops
 
 RECORD_FIELDS = [
@@ -35,11 +36,12 @@ def _record(**fields: Column) -> Column:
 
 
 def _emit(df: DataFrame, record: Column, code: Column, message: Column | None = None) -> DataFrame:
-    return df.select(
+    emitted = df.select(
         "source_path", "line_no", "locator",
         record.alias("record"), code.alias("code"),
         (_null() if message is None else message).alias("message"),
-    ).filter(F.col("record").isNotNull() | F.col("code").isNotNull())
+    )
+    return settle(emitted).filter(F.col("record").isNotNull() | F.col("code").isNotNull())
 
 
 def normalize_rollout(parsed: DataFrame) -> DataFrame:
@@ -60,7 +62,7 @@ def normalize_rollout(parsed: DataFrame) -> DataFrame:
             "payload_id": J.string_at(p, "$.id"),
             "payload_cwd": J.string_at(p, "$.cwd"),
         }
-    )
+    ).withColumn("item_ok", J.is_object(F.col("item")))
     is_header = F.col("shaped") & (F.col("outer") == "session_meta")
     valid_header = is_header & (F.coalesce(F.col("payload_id"), F.lit("")) != "")
     heads = (
@@ -105,29 +107,19 @@ def normalize_rollout(parsed: DataFrame) -> DataFrame:
     completed = event & (inner == "item_completed")
     item_type = J.string_at(F.col("item"), "$.type")
     item_seen = J.observed(F.col("item"))
-    result = completed & J.is_object(F.col("item")) & (
+    plain_item = completed & F.col("item_ok")
+    result = plain_item & F.coalesce(
         item_seen["exit_status"].isNotNull()
         | item_seen["command"].isNotNull()
-        | item_type.isin(P.ROLLOUT_RESULT_ITEMS)
+        | F.coalesce(item_type.isin(P.ROLLOUT_RESULT_ITEMS), F.lit(False)),
+        F.lit(False),
     )
-    plain_item = completed & J.is_object(F.col("item"))
     noted = event & inner.isin(P.ROLLOUT_EVENTS)
     outer_meta = outer.isin(P.ROLLOUT_OUTER_METADATA)
 
     args = F.coalesce(*[J.node(p, "$." + k) for k in ("arguments", "input", "action")])
-    args_text = F.coalesce(
-        F.nullif(J.flat_text(args), F.lit("")), F.to_json(args), F.lit("")
-    )
-    item_text = F.coalesce(
-        *[
-            F.when(J.node(F.col("item"), "$." + k).isNotNull(),
-                   J.flat_text(J.node(F.col("item"), "$." + k)))
-            for k in P.ROLLOUT_RESULT_FIELDS
-        ],
-        F.lit(""),
-    )
+    item_text = F.coalesce(*[J.node(F.col("item"), "$." + k) for k in P.ROLLOUT_RESULT_FIELDS])
     line_id = F.concat(F.lit("line:"), F.col("line_no").cast("string"))
-    payload_id = F.coalesce(F.col("payload_id"), line_id)
     item_id = J.string_at(F.col("item"), "$.id")
 
     code = (
@@ -152,88 +144,74 @@ def normalize_rollout(parsed: DataFrame) -> DataFrame:
                 "opaque_content",
             ),
         )
-        .when(completed & ~J.is_object(F.col("item")), "invalid_record")
+        .when(completed & ~F.col("item_ok"), "invalid_record")
         .when(call | output | silent | plain_item | noted | outer_meta | (outer == "turn_context"), _null())
         .otherwise("unknown_event")
     )
-    fatal = ["external_history", "opaque_content"]
-
-    actor = _choose(
-        [
-            (message, role),
-            (agent | call, F.lit("assistant")),
-            (output | result, F.lit("tool")),
-            (F.lit(True), F.lit("system")),
-        ]
-    )
-    kind = _choose(
-        [
-            (message & (role == "user"), F.lit("user_intent")),
-            (message & (role == "assistant") | agent, F.lit("agent_claim")),
-            (call, F.lit("agent_proposal")),
-            (output | result, F.lit("recorded_tool_result")),
-            (F.lit(True), F.lit("metadata")),
-        ]
-    )
-    text = _choose(
-        [
-            (message | agent, J.flat_text(J.node(p, "$.content"))),
-            (call, args_text),
-            (output, J.flat_text(J.node(p, "$.output"))),
-            (result, item_text),
-            (F.lit(True), F.lit("")),
-        ]
-    )
-    native = _choose(
-        [
-            (message | agent | call | output | silent, payload_id),
-            (result & item_id.isNotNull(), F.concat(F.lit("completed:"), item_id)),
-            (F.lit(True), line_id),
-        ]
-    )
-    seen_from = _choose(
-        [
-            (call, args),
-            (output, J.node(p, "$.output")),
-            (completed, F.col("item")),
-            (is_header, J.node(p, "$.git")),
-        ]
-    )
-    native_command = plain_item & item_type.isin(P.ROLLOUT_COMMAND_ITEMS)
+    # The branch a row takes is decided once; every field below only looks it up.
+    branch = (
+        F.when(message, F.when(role == "user", "user").when(role == "assistant", "assistant").otherwise("other"))
+        .when(agent, "agent").when(call, "call").when(output, "output").when(silent, "silent")
+        .when(result, "result").when(plain_item, "item").when(is_header, "header")
+        .when(noted, "event").when(outer_meta, "outer").otherwise("context")
+    )
+    taken = F.col("branch")
+    spoken = taken.isin("user", "assistant", "other", "agent")
+    is_call, is_output, is_result = taken == "call", taken == "output", taken == "result"
+    is_item = taken.isin("item", "result")
+    source = (
+        F.when(spoken, J.node(p, "$.content")).when(is_call, args)
+        .when(is_output, J.node(p, "$.output")).when(is_result, item_text)
+    )
+    seen_from = (
+        F.when(is_call, args).when(is_output, J.node(p, "$.output"))
+        .when(is_item, F.col("item")).when(taken == "header", J.node(p, "$.git"))
+    )
+    coded = (
+        carried.withColumns({"branch": branch, "_code": code, "_role": role})
+        .withColumns({"_source": source, "_seen": J.as_mapping(seen_from)})
+        .withColumn("_text", J.flat_text(F.col("_source")))
+    )
+    native_command = is_item & item_type.isin(P.ROLLOUT_COMMAND_ITEMS)
+    header_text = lambda k: F.when(taken == "header", J.string_at(p, "$." + k))
     meta = schema.metadata(
-        **J.observed(F.col("seen_from")),
-        tool=F.when(call, J.string_at(p, "$.name")),
-        call_id=F.when(call | output, J.string_at(p, "$.call_id")),
-        phase=F.when(message, J.string_at(p, "$.phase")),
-        author=F.when(agent, J.string_at(p, "$.author")),
-        recipient=F.when(agent, J.string_at(p, "$.recipient")),
-        event_type=_choose([(noted, inner), (outer_meta, outer)]),
+        **J.observed(F.col("_seen")),
+        tool=F.when(is_call, J.string_at(p, "$.name")),
+        call_id=F.when(is_call | is_output, J.string_at(p, "$.call_id")),
+        phase=F.when(taken.isin("user", "assistant", "other"), J.string_at(p, "$.phase")),
+        author=F.when(taken == "agent", J.string_at(p, "$.author")),
+        recipient=F.when(taken == "agent", J.string_at(p, "$.recipient")),
+        event_type=F.when(taken == "event", inner).when(taken == "outer", outer),
         execution_source=F.when(native_command, "native_command_execution"),
         context_cwd=F.when(native_command, F.col("context_cwd")),
-        root_session_id=F.when(is_header, J.string_at(p, "$.session_id")),
-        parent_thread_id=F.when(is_header, J.string_at(p, "$.parent_thread_id")),
-        forked_from_id=F.when(is_header, J.string_at(p, "$.forked_from_id")),
-        cli_version=F.when(is_header, J.string_at(p, "$.cli_version")),
-        history_mode=F.when(is_header, J.string_at(p, "$.history_mode")),
-        history_base=F.when(is_header, F.try_variant_get(p, "$.history_base", "string")),
+        root_session_id=header_text("session_id"),
+        parent_thread_id=header_text("parent_thread_id"),
+        forked_from_id=header_text("forked_from_id"),
+        cli_version=header_text("cli_version"),
+        history_mode=header_text("history_mode"),
+        history_base=F.when(taken == "header", F.try_variant_get(p, "$.history_base", "string")),
     )
     record = _record(
         provider=F.lit(P.PROVIDER_ROLLOUT),
         session_native_id=F.col("head.session"),
-        native_id=native,
-        actor=actor,
-        kind=kind,
-        full_text=text,
+        native_id=F.when(spoken | is_call | is_output | (taken == "silent"), F.coalesce("payload_id", line_id))
+        .when(is_result & item_id.isNotNull(), F.concat(F.lit("completed:"), item_id))
+        .otherwise(line_id),
+        actor=F.when(taken.isin("user", "assistant", "other"), F.col("_role"))
+        .when(taken.isin("agent", "call"), "assistant")
+        .when(is_output | is_result, "tool").otherwise("system"),
+        kind=F.when(taken == "user", "user_intent").when(taken.isin("assistant", "agent"), "agent_claim")
+        .when(is_call, "agent_proposal").when(is_output | is_result, "recorded_tool_result")
+        .otherwise("metadata"),
+        full_text=F.when(is_call & (F.col("_text") == ""), F.coalesce(F.to_json("_source"), F.lit("")))
+        .otherwise(F.col("_text")),
         original_time=F.col("original_time"),
         cwd=F.coalesce(
-            F.when(plain_item, J.string_at(F.col("item"), "$.cwd")),
-            F.col("event_cwd"),
-            F.col("context_cwd"),
+            F.when(is_item, J.string_at(F.col("item"), "$.cwd")), F.col("event_cwd"), F.col("context_cwd")
         ),
         metadata=meta,
     )
-    coded = carried.withColumns({"seen_from": seen_from, "_code": code})
-    keep = F.col("_code").isNull() | F.col("_code").isin(fatal)
+    keep = F.col("_code").isNull() | F.col("_code").isin("external_history", "opaque_content")
     return _emit(coded, F.when(keep, record), F.col("_code"))
 
 
@@ -293,30 +271,41 @@ def normalize_messages(parsed: DataFrame) -> DataFrame:
     coded = shaped.withColumn("code", code)
     blocks = coded.select(
         "*",
-        F.posexplode(
+        F.posexplode_outer(
             F.when(F.col("code").isNotNull() | F.col("aside"), single).otherwise(parts)
         ).alias("index", "part"),
     )
     part = F.col("part")
     part_type = J.string_at(part, "$.type")
-    spoken = J.is_string(part) | F.coalesce(part_type == "text", F.lit(False))
-    use = F.coalesce(part_type == "tool_use", F.lit(False))
-    returned = F.coalesce(part_type == "tool_result", F.lit(False))
-    quiet = F.coalesce(part_type.isin(P.MESSAGE_SILENT_BLOCKS), F.lit(False))
-    aside = F.col("aside")
-    hidden = J.truthy(v, "$.isMeta") | J.truthy(v, "$.isCompactSummary")
-    final_code = F.coalesce(
-        F.col("code"),
-        F.when(~aside & ~(spoken | use | returned | quiet), F.lit("unknown_content")),
-    )
-    seen = J.observed(F.col("seen_from"))
+    branch = (
+        F.when(F.col("aside"), "aside")
+        .when(J.is_string(part) | (part_type == "text"), "spoken")
+        .when(part_type == "tool_use", "use")
+        .when(part_type == "tool_result", "returned")
+        .when(part_type.isin(P.MESSAGE_SILENT_BLOCKS), "quiet")
+        .otherwise("unknown")
+    )
+    taken = F.col("branch")
+    spoken, use, returned, aside = taken == "spoken", taken == "use", taken == "returned", taken == "aside"
+    source = F.when(spoken, part).when(returned, J.node(part, "$.content"))
+    seen_from = F.when(use, J.node(part, "$.input")).when(returned, J.node(v, "$.toolUseResult"))
+    final = (
+        blocks.withColumn("branch", branch)
+        .withColumns(
+            {
+                "_code": F.coalesce(F.col("code"), F.when(taken == "unknown", "unknown_content")),
+                "_seen": J.as_mapping(seen_from),
+                "_text": F.when(use, F.to_json(J.node(part, "$.input"))).otherwise(J.flat_text(source)),
+                "_hidden": J.truthy(v, "$.isMeta") | J.truthy(v, "$.isCompactSummary"),
+            }
+        )
+    )
+    seen = J.observed(F.col("_seen"))
     seen["branch"] = F.coalesce(seen["branch"], J.string_at(v, "$.gitBranch"))
     meta = schema.metadata(
         **seen,
         tool=F.when(use, J.string_at(part, "$.name")),
-        call_id=_choose(
-            [(use, J.string_at(part, "$.id")), (returned, J.string_at(part, "$.tool_use_id"))]
-        ),
+        call_id=F.when(use, J.string_at(part, "$.id")).when(returned, J.string_at(part, "$.tool_use_id")),
         is_error=F.when(returned, J.bool_at(part, "$.is_error")),
         event_type=F.when(aside, F.col("type")),
         parent_uuid=J.string_at(v, "$.parentUuid"),
@@ -325,48 +314,22 @@ def normalize_messages(parsed: DataFrame) -> DataFrame:
         version=J.string_at(v, "$.version"),
         parent_session_id=F.when(F.col("agent").isNotNull(), F.col("root_session")),
     )
+    silent = aside | (taken == "quiet")
     record = _record(
         provider=F.lit(P.PROVIDER_MESSAGES),
         session_native_id=F.col("session"),
         native_id=F.when(aside, F.col("uuid")).otherwise(
             F.concat(F.col("uuid"), F.lit(":block:"), F.col("index").cast("string"))
         ),
-        actor=_choose(
-            [
-                (aside | quiet, F.lit("system")),
-                (spoken, F.col("role")),
-                (use, F.lit("assistant")),
-                (returned, F.lit("tool")),
-            ]
-        ),
-        kind=_choose(
-            [
-                (aside | quiet | spoken & hidden, F.lit("metadata")),
-                (spoken & (F.col("role") == "user"), F.lit("user_intent")),
-                (spoken, F.lit("agent_claim")),
-                (use, F.lit("agent_proposal")),
-                (returned, F.lit("recorded_tool_result")),
-            ]
-        ),
-        full_text=F.coalesce(
-            _choose(
-                [
-                    (aside | quiet, F.lit("")),
-                    (spoken, J.flat_text(part)),
-                    (use, F.to_json(J.node(part, "$.input"))),
-                    (returned, J.flat_text(J.node(part, "$.content"))),
-                ]
-            ),
-            F.lit(""),
-        ),
+        actor=F.when(silent, "system").when(spoken, F.col("role")).when(use, "assistant").otherwise("tool"),
+        kind=F.when(silent | (spoken & F.col("_hidden")), "metadata")
+        .when(spoken, F.when(F.col("role") == "user", "user_intent").otherwise("agent_claim"))
+        .when(use, "agent_proposal").otherwise("recorded_tool_result"),
+        full_text=F.coalesce(F.when(~silent, F.col("_text")), F.lit("")),
         original_time=J.string_at(v, "$.timestamp"),
         cwd=F.col("cwd"),
         metadata=meta,
     )
-    seen_from = _choose(
-        [(use, J.node(part, "$.input")), (returned, J.node(v, "$.toolUseResult"))]
-    )
-    final = blocks.withColumns({"seen_from": seen_from, "_code": final_code})
     return _emit(final, F.when(F.col("_code").isNull(), record), F.col("_code"))
 
 
@@ -389,7 +352,7 @@ def normalize_chat(rows: DataFrame) -> DataFrame:
         F.when(coded, decoded).alias("decoded"),
         when_at.alias("at"),
     )
-    seen = J.observed(F.col("seen_from"))
+    seen = J.observed(F.col("_seen"))
     seen["branch"] = F.coalesce(seen["branch"], F.col("session_git_branch"))
     shared = dict(
         provider=F.lit(P.PROVIDER_CHAT),
@@ -426,8 +389,8 @@ def normalize_chat(rows: DataFrame) -> DataFrame:
         ),
     )
     fields = base.withColumn(
-        "seen_from",
-        F.when(role == "tool", F.coalesce(F.col("decoded"), J.parse(content_text))),
+        "_seen",
+        J.as_mapping(F.when(role == "tool", F.coalesce(F.col("decoded"), J.parse(content_text)))),
     )
     usable = fields.filter(~F.col("_oversized") & known_role)
     messages = _emit(usable, message, _null())
@@ -456,14 +419,16 @@ def normalize_chat(rows: DataFrame) -> DataFrame:
     listed = J.is_array(F.col("calls"))
     each = calls.select(
         "*",
-        F.posexplode(
+        F.posexplode_outer(
             F.when(listed, F.try_variant_get(F.col("calls"), "$", "array<variant>")).otherwise(
                 F.array(F.lit(None).cast("variant"))
             )
         ).alias("index", "call"),
     )
-    function = J.node(F.col("call"), "$.function")
-    arguments = J.node(function, "$.arguments")
+    each = each.withColumn("function", J.node(F.col("call"), "$.function")).withColumn(
+        "arguments", J.node(F.col("function"), "$.arguments")
+    ).withColumn("_args", J.as_mapping(F.col("arguments")))
+    function, arguments = F.col("function"), F.col("arguments")
     proposal = _record(
         **shared,
         native_id=F.concat(F.col("id").cast("string"), F.lit(":call:"), F.col("index").cast("string")),
@@ -475,7 +440,7 @@ def normalize_chat(rows: DataFrame) -> DataFrame:
             F.lit(""),
         ),
         metadata=schema.metadata(
-            **J.observed(arguments),
+            **J.observed(F.col("_args")),
             tool=J.string_at(function, "$.name"),
             call_id=F.coalesce(
                 J.string_at(F.col("call"), "$.id"), J.string_at(F.col("call"), "$.call_id")
@@ -506,16 +471,24 @@ def normalize(provider: str, parsed: DataFrame) -> DataFrame:
     return NORMALIZERS[provider](parsed)
 
 
-def _clean_metadata(meta: Column, extra: tuple[str, ...]) -> Column:
-    cleaned = []
-    for name, kind in schema.METADATA_FIELDS.items():
-        field = meta[name]
-        if kind == "string":
-            field = F.when(field.isNotNull(), textops.redact(field, extra_patterns=extra))
-        elif kind == "array<string>":
-            field = F.transform(field, lambda x: textops.redact(x, extra_patterns=extra))
-        cleaned.append(field.alias(name))
-    return F.struct(*cleaned)
+def _with_clean_metadata(df: DataFrame, extra: tuple[str, ...]) -> DataFrame:
+    """Redact every text of the metadata; the rules appear once, over an array of the texts."""
+    meta = F.col("metadata")
+    texts = [name for name, kind in schema.METADATA_FIELDS.items() if kind == "string"]
+    mask = lambda x: F.when(x.isNotNull(), textops.redact(x, extra_patterns=extra))
+    cleaned = df.withColumns(
+        {
+            "_texts": F.transform(F.array(*[meta[n] for n in texts]), mask),
+            "_argv": F.transform(meta["command_argv"], mask),
+        }
+    )
+    fields = []
+    for name in schema.METADATA_FIELDS:
+        if name in texts:
+            fields.append(F.get("_texts", F.lit(texts.index(name))).alias(name))
+        else:
+            fields.append((F.col("_argv") if name == "command_argv" else meta[name]).alias(name))
+    return cleaned.withColumn("metadata", F.struct(*fields)).drop("_texts", "_argv")
 
 
 def records_of(events: DataFrame, extra_patterns: tuple[str, ...] = ()) -> DataFrame:
@@ -536,15 +509,15 @@ def records_of(events: DataFrame, extra_patterns: tuple[str, ...] = ()) -> DataF
         clean("full_text", P.MAX_RECORD_BYTES).alias("full_text"),
         "original_time",
         clean("cwd").alias("cwd"),
-        _clean_metadata(F.col("metadata"), extra_patterns).alias("metadata"),
+        "metadata",
     )
-    return with_identity(cleaned)
+    return with_identity(_with_clean_metadata(cleaned, extra_patterns))
 
 
 def with_identity(cleaned: DataFrame) -> DataFrame:
     """Add ids, excerpt and event time to redacted records."""
     time = F.col("original_time")
-    return cleaned.withColumns(
+    return settle(cleaned).withColumns(
         {
             "text": textops.truncate(F.col("full_text"), P.MAX_EXCERPT),
             "event_time": timeops.event_time(time),
