@@ -124,7 +124,7 @@ def _framed(*cols: str) -> str:
 
 @query(f"SELECT doc_id, {_framed('source', 'lang', 'text')} AS content_id FROM documents")
 def content_identity(spark, sf_dir):
-    return E.table(spark, sf_dir, "documents").select(
+    return E.spread(spark, sf_dir, "documents").select(
         "doc_id", hashing.content_id(F.col("source"), F.col("lang"), F.col("text")).alias("content_id")
     )
 
@@ -132,14 +132,14 @@ def content_identity(spark, sf_dir):
 @query(f"""SELECT {_framed('lang', 'text')} AS record_id, count(*) AS copies, min(doc_id) AS first_doc
  FROM documents GROUP BY 1""")
 def record_copies(spark, sf_dir):
-    return E.table(spark, sf_dir, "documents").select(
+    return E.spread(spark, sf_dir, "documents").select(
         "doc_id", hashing.content_id(F.col("lang"), F.col("text")).alias("record_id")
     ).groupBy("record_id").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc"))
 
 
 @query(f"""SELECT DISTINCT {_framed('lang', 'text')} AS record_id, length(text) AS chars FROM documents""")
 def distinct_records(spark, sf_dir):
-    rows = E.table(spark, sf_dir, "documents").select(
+    rows = E.spread(spark, sf_dir, "documents").select(
         hashing.content_id(F.col("lang"), F.col("text")).alias("record_id"), F.length("text").cast("long").alias("chars")
     )
     return identity.distinct_records(rows, ["record_id", "chars"])
@@ -198,7 +198,7 @@ def _lines(df: DataFrame, value) -> DataFrame:
 
 def rollout_lines(spark, sf_dir) -> DataFrame:
     """The transcripts as rollout files, one per session with its header line."""
-    t = E.records(spark, sf_dir).withColumn("line_no", F.substring("record_id", 2, 20).cast("long") + 1)
+    t = E.spread_records(spark, sf_dir).withColumn("line_no", F.substring("record_id", 2, 20).cast("long") + 1)
     at = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     part = F.struct(
         F.when(F.col("actor") == "user", "input_text").otherwise("output_text").alias("type"), F.col("text").alias("text")
@@ -217,7 +217,7 @@ def rollout_lines(spark, sf_dir) -> DataFrame:
 
 
 def message_lines(spark, sf_dir) -> DataFrame:
-    t = E.records(spark, sf_dir).withColumn("line_no", F.substring("record_id", 2, 20).cast("long") + 1)
+    t = E.spread_records(spark, sf_dir).withColumn("line_no", F.substring("record_id", 2, 20).cast("long") + 1)
     at = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     body = F.to_json(F.struct(
         F.col("actor").alias("type"), F.col("session_id").alias("sessionId"), F.col("record_id").alias("uuid"),
@@ -279,7 +279,7 @@ _ADDRESS = r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"
  SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b-\\x1f\\x7f-\\x{{9f}}]', '', 'g'),
   '{_SECRET}', '[REDACTED]', 'g'), '{_MAIL}', '[REDACTED]', 'g'), '{_ADDRESS}', '[REDACTED]', 'g') AS t FROM documents) r""")
 def redaction(spark, sf_dir):
-    return E.table(spark, sf_dir, "documents").select(
+    return E.spread(spark, sf_dir, "documents").select(
         "doc_id", textops.redact(F.col("text"), extra_patterns=(_SECRET, _MAIL, _ADDRESS)).alias("text")
     )
 
@@ -389,7 +389,7 @@ def latest_observation(spark, sf_dir):
 
 @query(f"SELECT record_id, item_no, kind, text, status, category, target, priority, method FROM ({I}) i")
 def extracted_items(spark, sf_dir):
-    return extract.extract_items(E.records(spark, sf_dir)).select(
+    return extract.extract_items(E.spread_records(spark, sf_dir)).select(
         "record_id", "item_no", "kind", "text", "status", "category", "target", "priority", "method"
     )
 
@@ -414,7 +414,7 @@ def topic_keys(spark, sf_dir):
  AND NOT regexp_matches(line, '^ {0,3}([-*+] |[0-9]+[.)] )')""")
 def plain_prose_lines(spark, sf_dir):
     """Prose lines of documents without regions; list lines are left to the fixtures."""
-    d = E.table(spark, sf_dir, "documents").filter(
+    d = E.spread(spark, sf_dir, "documents").filter(
         ~F.col("text").rlike(r"<!--|```|~~~") & ~F.col("text").rlike(r"(?m)^[ \t]*>")
     ).select(F.col("doc_id").alias("record_id"), F.col("text").alias("full_text"))
     listed = F.col("raw").rlike(r"^ {0,3}([-*+] |[0-9]+[.)] )")
@@ -429,7 +429,7 @@ def plain_prose_lines(spark, sf_dir):
 
 @query()
 def document_sections(spark, sf_dir):
-    d = E.table(spark, sf_dir, "documents")
+    d = E.spread(spark, sf_dir, "documents")
     return docs.sectionize(d, "doc_id").select(
         "doc_id", "number", "section", "line_start", "line_end", "source_context", "segment_order", "segment_count",
         F.sha2("text", 256).alias("text_hash"),
@@ -442,7 +442,7 @@ def document_sections(spark, sf_dir):
    AND NOT contains(text, chr(13))) l GROUP BY doc_id HAVING letters > 0""")
 def section_characters(spark, sf_dir):
     """Sections of heading-free documents keep every character that is not blank."""
-    d = E.table(spark, sf_dir, "documents").filter(
+    d = E.spread(spark, sf_dir, "documents").filter(
         ~F.col("text").rlike(r"(?m)^ {0,3}#{1,6}[ \t]") & ~F.col("text").rlike(r"(?m)^ {0,3}(=+|-+)[ \t]*$")
         & ~F.contains("text", F.lit("\r"))
     )
@@ -873,7 +873,7 @@ def _bm25(terms: list[str], limit: int) -> str:
 
 @query(_bm25(["the", "tion"], 20))
 def search_documents(spark, sf_dir):
-    d = E.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = E.spread(spark, sf_dir, "documents").select("doc_id", "text")
     return search.search(d, "The tion", 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -885,7 +885,7 @@ _STATEMENTS = """SELECT doc_id, source, lang, text, length(text) AS size FROM {d
  WHERE once = 1) r WHERE facet_rank <= 6""")
 def distinct_statements(spark, sf_dir):
     """Shortest distinct texts per source; equal wording in two languages counts twice."""
-    d = E.table(spark, sf_dir, "documents").withColumn("worktree_id", F.col("lang"))
+    d = E.spread(spark, sf_dir, "documents").withColumn("worktree_id", F.col("lang"))
     return facets.distinct_top(d, ["source"], [F.length("text").asc(), F.col("doc_id").asc()], 6).select(
         "source", F.col("facet_rank").cast("long").alias("facet_rank"), "doc_id"
     )
@@ -901,7 +901,7 @@ _PACK = """WITH RECURSIVE e AS (SELECT source, doc_id, length(text) + 24 AS cost
 
 @query(_PACK)
 def packed_documents(spark, sf_dir):
-    d = E.table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    d = E.spread(spark, sf_dir, "documents").select("source", "doc_id", "text")
     return pack.pack(d, 24000, [], group="source", entry_id="doc_id").select(
         "source", F.col("position").cast("long").alias("position"), "doc_id", F.col("used").cast("long").alias("used")
     )
@@ -910,6 +910,6 @@ def packed_documents(spark, sf_dir):
 @query(_PACK.replace("SELECT source, row_number() OVER (PARTITION BY source ORDER BY rn) AS position, doc_id, used FROM walk WHERE kept",
  "SELECT d.source, d.lang, count(*) AS total, count(*) FILTER (NOT w.kept) AS omitted FROM walk w JOIN documents d ON d.doc_id = w.doc_id GROUP BY 1, 2"))
 def pack_omissions(spark, sf_dir):
-    d = E.table(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
+    d = E.spread(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
     kept = pack.pack(d, 24000, [], group="source", entry_id="doc_id")
     return pack.omissions(d, kept, "lang", "source")

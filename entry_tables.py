@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from worklore.functions.plans import spread_small
 from worklore.operators import evidence, resolve
 
 _KEYED = """
@@ -117,6 +118,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spread_small(table(spark, sf_dir, name))
+
+
 def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names or ("events",)})
 
@@ -126,7 +131,15 @@ def for_check(sql: str, *names: str) -> str:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived(spark, sf_dir, TRANSCRIPTS).withColumns(
+    return _as_records(derived(spark, sf_dir, TRANSCRIPTS))
+
+
+def spread_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_records(spark.sql(TRANSCRIPTS, events=spread(spark, sf_dir, "events")))
+
+
+def _as_records(transcripts: DataFrame) -> DataFrame:
+    return transcripts.withColumns(
         {
             "full_text": F.col("text"),
             "tool": F.lit(None).cast("string"),
