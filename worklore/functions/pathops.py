@@ -68,7 +68,7 @@ def base_name(path: Column) -> Column:
 
 def clean_absolute(path: Column) -> Column:
     """An absolute path without parent steps, control characters or '[', else NULL."""
-    bare = F.regexp_replace(path, r"^file://(?=/)", "")
+    bare = F.regexp_replace(path, r"^file:(?://)?(?=/)", "")
     bare = F.when(path.startswith("file:"), F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))).otherwise(bare)
     tidy = F.regexp_replace(F.regexp_replace(bare, r"/(?:\./)*(?:/(?:\./)*)*", "/"), r"(?<=.)/\.?$", "")
     bad = bare.rlike(r"[\x00-\x1f\x7f\[]") | bare.rlike(r"(?:^|/)\.\.(?:/|$)")
