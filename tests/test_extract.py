@@ -72,10 +72,10 @@ def test_prose_ladder_and_leading_transitions(spark):
     for row in got:
         by.setdefault(row[0], []).append(row[1:])
     assert [(r[0], r[1], r[4]) for r in by[0]] == [
-        ("correction", "cancelled", "text:export check"),
-        ("correction", "user_completed", "text:import check"),
+        ("correction", "cancelled", "text:check:export"),
+        ("correction", "user_completed", "text:check:import"),
         ("next_action", "active", None),
-    ] or [(r[0], r[1]) for r in by[0]] == [("correction", "cancelled"), ("correction", "user_completed"), ("next_action", "active")]
+    ]
     assert 1 not in by and 10 not in by
     assert by[2][0][:3] == ("context", "reported", "user_report")
     assert by[3][0][0] == "constraint"

@@ -1,5 +1,4 @@
 import datetime as dt
-import itertools
 import json
 import os
 import random
@@ -7,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from worklore import schema
+from worklore.functions import textops
 from worklore.operators import associate, docs, facets, moves, pack, resolve, search
 from worklore.plans import resume
 from worklore.streaming import activity, landing
@@ -68,7 +68,7 @@ def test_resolution_matches_brute_force(spark):
             text = "probe 0" if rng.random() < 0.6 else f"Probe {rng.randrange(8)} is pending."
             rows.append(item(i, rng.choice(["task", "decision", "claim"]), text, f"r{rng.randrange(90)}", "active", None, at, actor, rng.choice(["p", None]), rng.random() < 0.9))
     view = spark.createDataFrame(rows, VIEW)
-    topics = {r.item_id: r.t for r in view.select("item_id", __import__("worklore.functions.textops", fromlist=["x"]).topic_key(F.col("text")).alias("t")).collect()}
+    topics = {r.item_id: r.t for r in view.select("item_id", textops.topic_key(F.col("text")).alias("t")).collect()}
     none = spark.createDataFrame([], schema.CORRECTIONS)
     got = {r.item_id: (r.status, r.resolutions, r.resolution_uncertainty is not None) for r in resolve.resolve_items(view, none).collect()}
     want = brute_force(rows, topics)
@@ -220,7 +220,7 @@ def test_resume_and_export(spark):
     actions = parts["next_actions"].orderBy("rank").collect()
     assert [(a.text, a.availability) for a in actions] == [("doc work", "source_partial_last_known_pending"), ("build", "current")]
     assert parts["latest_instruction"].first()["text"] == "keep"
-    assert {(r.code, r.detail) for r in parts["uncertainties"].collect()} == {("unknown_timestamp", None), ("incomplete_source", "src")} or True
+    assert {(r.code, r.detail) for r in parts["uncertainties"].collect()} == {("incomplete_source", "src")}
     doc = resume.export(parts, tables["projects"], 4000).first()["document"]
     assert doc.startswith("# Resume: Probe") and len(doc) <= 4000 and "doc work" in doc
     assert json.loads(resume.export(parts, tables["projects"], 4000, "json").first()["document"])["entries"]
@@ -251,5 +251,5 @@ def test_streams(spark, tmp_path):
     stream = spark.readStream.schema("activity_id long, at timestamp, tool string, status string, duration_ms long").parquet(f"{tmp_path}/act")
     q = activity.rolling_stats(stream, span="1 hour", slide="1 hour").writeStream.format("memory").queryName("stats").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    got = {(r.calls, r.failures) for r in spark.table("stats").collect()}
-    assert spark.table("stats").count() == 4 and got == {(2, 1), (2, 0)} or sum(r.calls for r in spark.table("stats").collect()) == 8
+    got = sorted((r.window_start, r.calls, r.failures) for r in spark.table("stats").collect())
+    assert got == [(T0 + dt.timedelta(hours=h), 2, 0 if h == 2 else 1) for h in range(4)]
