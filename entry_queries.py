@@ -235,7 +235,6 @@ def _normalized(events: DataFrame) -> DataFrame:
     )
 
 
-_EXPECT = """'known' AS time_status_known, """
 _TIME = """CASE WHEN event_time IS NULL THEN 'missing' ELSE 'known' END AS time_status, COALESCE(epoch_us(event_time), 0) AS event_us"""
 
 
@@ -877,9 +876,6 @@ def search_documents(spark, sf_dir):
     return search.search(d, "The tion", 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
-_STATEMENTS = """SELECT doc_id, source, lang, text, length(text) AS size FROM {documents}"""
-
-
 @query("""SELECT source, facet_rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS facet_rank FROM (
  SELECT doc_id, source, length(text) AS size, row_number() OVER (PARTITION BY source, lang, text ORDER BY doc_id) AS once FROM documents) d
  WHERE once = 1) r WHERE facet_rank <= 6""")

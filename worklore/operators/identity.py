@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions import hashing, patterns as P
+from ..functions import hashing
 
 
 def distinct_records(occurring: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,7 +89,3 @@ def carry_overrides(old_items: DataFrame, new_items: DataFrame, corrections: Dat
         *[c for c in corrections.columns if c not in ("correction_id", "target")],
     )
     return corrections.unionByName(copied).dropDuplicates(["correction_id"])
-
-
-def line_digest(value: Column) -> Column:
-    return F.sha2(value, 256)

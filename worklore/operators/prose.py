@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import patterns as P, textops
 
-LINE_BREAK = r"\n| | "
+LINE_BREAK = r"\n|\u2028|\u2029"
 _STRUCTURED = r"<!--|```|~~~|(?m)^\s*>"
 _STATE = "struct<comment:boolean,fence:string,quoted:boolean,kept:array<struct<pos:int,line:string>>>"
 

@@ -264,31 +264,34 @@ def rank_items(
     keys = list(per)
     latest = [F.col("event_time").desc_nulls_last(), F.col("item_id").desc()]
     order = (_importance() if prioritize_active else []) + latest
-    window = lambda extra: (W.partitionBy(*keys) if keys else W.partitionBy()).orderBy(*extra)
-    ranked = selected.withColumn("_r", F.row_number().over(window(order))).filter(
-        F.col("_r") <= limit
-    )
-    if prioritize_active:
-        slots = min(5, (limit + 1) // 2)
-        actions = selected.filter(
-            F.col("kind").isin("next_action", "task") & F.col("status").isin(P.OPEN_STATUSES)
+
+    def window(groups: list[str], *by: Column):
+        return (W.partitionBy(*groups) if groups else W.partitionBy()).orderBy(*by)
+
+    if not prioritize_active:
+        ranked = selected.withColumn("_r", F.row_number().over(window(keys, *order))).filter(
+            F.col("_r") <= limit
         )
-        reserved = (
-            actions.withColumn("_r", F.row_number().over(window(order)))
-            .filter(F.col("_r") <= slots)
-            .withColumn("_reserved", F.lit(0))
+    else:
+        # Open actions compete twice: for a reserved slot (0) and for a place (1).
+        slots = min(5, (limit + 1) // 2)
+        action = F.col("kind").isin("next_action", "task") & F.col("status").isin(P.OPEN_STATUSES)
+        entered = selected.withColumn(
+            "_place", F.explode_outer(F.when(action, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))))
         )
-        merged = (
-            ranked.withColumn("_reserved", F.lit(1)).unionByName(reserved)
-            .groupBy("item_id", *keys)
-            .agg(F.min(F.struct("_reserved", "_r")).alias("_place"),
-                 F.first(F.struct(*[c for c in selected.columns if c not in ("item_id", *keys)])).alias("_row"))
-            .select(*keys, "item_id", "_row.*", "_place")
+        best = (
+            entered.withColumn("_r", F.row_number().over(window([*keys, "_place"], *order)))
+            .filter(F.col("_r") <= limit)
+            .filter((F.col("_place") == 1) | (F.col("_r") <= slots))
         )
+        rest = F.struct(*[c for c in selected.columns if c not in ("item_id", *keys)])
+        merged = best.groupBy("item_id", *keys).agg(
+            F.min(F.struct("_place", "_r")).alias("_best"), F.first(rest).alias("_row")
+        ).select(*keys, "item_id", "_row.*", "_best")
         ranked = (
-            merged.withColumn("_r", F.row_number().over(window([F.col("_place").asc()])))
+            merged.withColumn("_r", F.row_number().over(window(keys, F.col("_best").asc())))
             .filter(F.col("_r") <= limit)
-            .drop("_place")
+            .drop("_best")
         )
     ranked = ranked.withColumnRenamed("_r", "rank")
     totals = selected.groupBy(*[F.col(k).alias("_t_" + k) for k in keys]).agg(
