@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import entry_tables as E
 from worklore import session
 from worklore.functions.plans import settle
-from worklore.functions import hashing, ordering, patterns as P, textops, timeops
+from worklore.functions import hashing, ordering, textops
 from worklore.operators import (
     associate, docs, evidence, extract, facets, identity, moves, normalize, pack, prose, resolve, search,
 )
-from worklore.plans import context, daily, retention, resume, views
+from worklore.plans import context, daily, retention, views
 from worklore.sources import chatstore, manifest, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -909,3 +909,124 @@ def pack_omissions(spark, sf_dir):
     d = E.spread(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
     kept = pack.pack(d, 24000, [], group="source", entry_id="doc_id")
     return pack.omissions(d, kept, "lang", "source")
+
+
+@query(_PACK.replace("SELECT source, row_number() OVER (PARTITION BY source ORDER BY rn) AS position, doc_id, used FROM walk WHERE kept",
+ """, k AS (SELECT w.source, w.doc_id, d.lang, w.rn FROM walk w JOIN documents d ON d.doc_id = w.doc_id WHERE kept),
+ f AS (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY min(rn)) AS n FROM k GROUP BY source, lang)
+ SELECT k.source, k.doc_id, 'document_observation_' || f.n AS observation_ref FROM k JOIN f ON f.source = k.source AND f.lang = k.lang"""))
+def shared_observations(spark, sf_dir):
+    d = E.spread(spark, sf_dir, "documents").select("source", "doc_id", "text", "lang")
+    kept = pack.pack(d, 24000, [], group="source", entry_id="doc_id")
+    return pack.share_observations(kept, ["lang"], "source").select("source", "doc_id", "observation_ref")
+
+
+@query(f"""WITH picked AS (SELECT * FROM ({I}) i WHERE kind IN ('task','next_action','blocker')),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY {IMPORTANCE}, event_time DESC NULLS LAST, item_id DESC) AS r FROM picked),
+ slots AS (SELECT item_id FROM (SELECT item_id, row_number() OVER (PARTITION BY project_id ORDER BY {IMPORTANCE}, event_time DESC NULLS LAST, item_id DESC) AS r
+   FROM picked WHERE kind IN ('task','next_action') AND status IN ('active','pending','blocked')) x WHERE r <= 5),
+ final AS (SELECT p.*, row_number() OVER (PARTITION BY project_id ORDER BY CASE WHEN s.item_id IS NULL THEN 1 ELSE 0 END, r) AS rank
+   FROM placed p LEFT JOIN slots s ON s.item_id = p.item_id)
+ SELECT COALESCE(project_id, '-') AS project_id, place, item_id, CASE WHEN worktree_id LIKE 'w1%' THEN 'current' ELSE 'worktree_unavailable_verify_location' END AS availability
+ FROM (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY CASE WHEN kind = 'next_action' THEN 0 ELSE 1 END, rank) AS place
+  FROM final WHERE rank <= 50 AND kind IN ('task','next_action') AND status IN ('active','pending','blocked')) a WHERE place <= 5""")
+def next_actions(spark, sf_dir):
+    items = E.items(spark, sf_dir)
+    trees = items.select("worktree_id").distinct().withColumn("active", F.col("worktree_id").like("w1%"))
+    chosen = resolve.rank_items(resolve.select_items(items, ["task", "next_action", "blocker"]), 50, prioritize_active=True)
+    return context.next_actions(chosen, trees).select(
+        F.coalesce("project_id", F.lit("-")).alias("project_id"), F.col("place").cast("long").alias("place"), "item_id", "availability"
+    )
+
+
+@query(f"""WITH refs AS (SELECT 'm' || p_partkey AS memory_id, 0 AS position, 'r' || (p_partkey * 7) AS record_id FROM part
+  UNION ALL SELECT 'm' || p_partkey, 1, 'r' || (p_partkey * 3) FROM part),
+ st AS (SELECT o.record_id, bool_or(g.status = 'current' AND s.status IN ('ready', 'partial')) AS live FROM ({OCC}) o
+  JOIN ({GEN}) g USING (generation_id) JOIN ({SRC}) s USING (source_id) GROUP BY 1)
+ SELECT memory_id, position, CASE WHEN t.record_id IS NULL THEN 'removed_or_unknown' WHEN st.live THEN 'current' ELSE 'missing_or_superseded' END AS evidence_status
+ FROM refs LEFT JOIN ({T}) t ON t.record_id = refs.record_id LEFT JOIN st ON st.record_id = refs.record_id""")
+def memory_evidence(spark, sf_dir):
+    ref = lambda n: F.concat(F.lit("r"), (F.col("p_partkey") * n).cast("string"))
+    memory = E.table(spark, sf_dir, "part").select(
+        F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("memory_id"), F.array(ref(7), ref(3)).alias("refs")
+    )
+    return views.memory_evidence(memory, E.records(spark, sf_dir), _located(spark, sf_dir)).select(
+        "memory_id", "position", "evidence_status"
+    )
+
+
+@query(f"""WITH o AS (SELECT item_id, session_id AS record_id, text FROM ({I}) i),
+ single AS (SELECT record_id, text, min(item_id) AS old_id FROM o GROUP BY 1, 2 HAVING count(*) = 1),
+ c AS (SELECT correction_id, replace(target, 'r', 'i') AS target FROM ({COR}) c)
+ SELECT target, count(*) AS corrections FROM (SELECT target FROM c UNION ALL
+  SELECT 'new-' || s.old_id FROM c JOIN single s ON s.old_id = c.target) x GROUP BY target""")
+def carried_overrides(spark, sf_dir):
+    """Re-extraction gives every item a new id; corrections follow unambiguous wording."""
+    old = E.items(spark, sf_dir).select("item_id", F.col("session_id").alias("record_id"), "text")
+    new = old.withColumn("item_id", F.concat(F.lit("new-"), F.col("item_id")))
+    single = old.groupBy("record_id", "text").agg(F.count(F.lit(1)).alias("n"))
+    unique_new = new.join(single.filter("n = 1"), ["record_id", "text"], "left_semi")
+    corrections = E.derived(spark, sf_dir, E.CORRECTIONS).withColumn("target", F.replace("target", F.lit("r"), F.lit("i")))
+    return identity.carry_overrides(old, unique_new, corrections).groupBy("target").agg(F.count(F.lit(1)).alias("corrections"))
+
+
+@query("""WITH prior AS (SELECT o_custkey AS path, count(*) AS length, max(o_orderdate) AS modified FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1),
+ listing AS (SELECT o_custkey AS path, count(*) AS length, max(o_orderdate) AS modified FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+ SELECT CAST(COALESCE(l.path, p.path) AS VARCHAR) AS path, CASE WHEN l.path IS NULL THEN 'missing' WHEN p.path IS NULL THEN 'new'
+  WHEN l.length = p.length AND l.modified = p.modified THEN 'unchanged' ELSE 'replaced' END AS change
+ FROM listing l FULL OUTER JOIN prior p ON p.path = l.path""")
+def source_changes(spark, sf_dir):
+    """Order counts per customer as two listings of the same sources."""
+    orders = E.table(spark, sf_dir, "orders")
+    listed = lambda rows: rows.groupBy(F.col("o_custkey").cast("string").alias("path")).agg(
+        F.count(F.lit(1)).alias("length"), F.max("o_orderdate").cast("timestamp").alias("modified_at")
+    ).withColumn("provider", F.lit("codex"))
+    prior = listed(orders.filter("o_orderstatus <> 'O'")).withColumns(
+        {"source_id": F.col("path"), "status": F.lit("ready"), "generation": F.lit(1), "line": F.lit(0).cast("long"),
+         "prefix_hash": F.lit(None).cast("string")}
+    )
+    return manifest.classify_sources(prior, listed(orders.filter("o_orderstatus <> 'P'"))).select("path", "change")
+
+
+_PLACES = """SELECT event_id, user_id, CAST(ts AS TIMESTAMP) AS seen_at,
+ concat('/u/', CAST(user_id AS STRING), '/', CAST(CAST(floor(value) AS INT) % 3 AS STRING)) AS path FROM {events}"""
+
+
+@query(f"""WITH e AS ({_PLACES.format(events='events')}),
+ former AS (SELECT user_id, path, min(seen_at) AS since FROM e WHERE path <> '/u/' || user_id || '/0' GROUP BY 1, 2),
+ spans AS (SELECT f.*, (SELECT min(a.seen_at) FROM e a WHERE a.user_id = f.user_id AND a.path = '/u/' || f.user_id || '/0' AND a.seen_at >= f.since) AS until FROM former f)
+ SELECT 'r' || e.event_id AS record_id, 'w' || e.user_id AS worktree_id FROM e JOIN spans s ON s.path = e.path AND e.seen_at BETWEEN s.since AND s.until""")
+def identity_intervals(spark, sf_dir):
+    """Every event observes its user's worktree at one of three paths; the first is the present one."""
+    e = E.derived(spark, sf_dir, _PLACES)
+    tree = F.concat(F.lit("w"), F.col("user_id").cast("string"))
+    home = F.concat(F.lit("/u/"), F.col("user_id").cast("string"), F.lit("/0"))
+    worktrees = e.select(tree.alias("worktree_id"), F.lit("p").alias("project_id"), tree.alias("identity"), home.alias("path"), F.lit(True).alias("active")).distinct()
+    projects = e.select(F.lit("p").alias("project_id"), F.lit("c").alias("common_identity")).distinct()
+    observations = e.select(
+        F.col("event_id").alias("observation_id"), tree.alias("worktree_id"), F.col("seen_at").alias("observed_at"),
+        F.struct("path", tree.alias("worktree_identity"), F.lit("c").alias("common_identity"), F.lit(True).alias("available")).alias("data"),
+    )
+    live = e.select(
+        F.concat(F.lit("r"), F.col("event_id").cast("string")).alias("record_id"), F.col("seen_at").alias("event_time"),
+        F.lit("known").alias("time_status"), F.lit(None).cast("string").alias("project_id"),
+        F.lit(None).cast("string").alias("association_reason"), F.col("path").alias("cwd"),
+    )
+    spans = moves.identity_intervals(observations, worktrees, projects)
+    return moves.associate_by_interval(live, spans).select("record_id", "worktree_id")
+
+
+@query()
+def document_statements(spark, sf_dir):
+    """Statements found in the sections of all documents, per kind."""
+    d = E.spread(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.concat("source", F.lit(".md")).alias("relative_path"),
+        F.lit("/d").alias("root_path"), F.sha2("text", 256).alias("fingerprint"), "text",
+    )
+    r = docs.section_records(d, F.lit("2026-01-01").cast("timestamp"))
+    m = F.col("metadata")
+    shaped = r.select(
+        "record_id", "kind", "full_text", m["section"].alias("section"), m["relative_path"].alias("relative_path"),
+        m["line_start"].alias("line_start"), m["source_context"].alias("source_context"),
+    )
+    return docs.document_items(shaped).groupBy("kind", "status", "category").agg(F.count(F.lit(1)).alias("items"))

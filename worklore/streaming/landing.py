@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import patterns as P
 from ..operators import identity, normalize
 from ..sources import sinks, transcripts
 
