@@ -205,3 +205,13 @@ def test_refresh_documents_and_chat(spark, tmp_path, world):
     world.documents = docfiles.read_documents(spark, base, "p1", "w1")
     s = stats(refresh.refresh(spark, root, world))
     assert s["inserted"] == 1
+
+
+def test_compressed_transcripts(spark, tmp_path):
+    import zstandard
+
+    text = "".join(json.dumps(x) + "\n" for x in [header(), said("user", "TASK: a", 1)])
+    open(f"{tmp_path}/a.jsonl.zst", "wb").write(zstandard.ZstdCompressor().compress(text.encode()))
+    rows = transcripts.read_transcripts(spark, str(tmp_path), compressed=True).orderBy("line_no").collect()
+    assert [r.locator for r in rows] == ["decompressed-line:1", "decompressed-line:2"]
+    assert json.loads(rows[0].value)["payload"]["id"] == "s1"
