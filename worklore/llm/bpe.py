@@ -197,7 +197,7 @@ class Merges:
 class Speculative(wordcodes.Encoder):
     """Encodes with `Merges` alone; pieces and lookup are those of the base class."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_words: int = 500_000) -> None:
         import regex
 
         self.merges = Merges(path)
@@ -291,7 +291,7 @@ def _with(df: DataFrame, tokenizer: str, column: str, decoded: bool) -> DataFram
 
     def encoded(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = wordcodes.encoder(tokenizer, Speculative)
-        for batch in batches(arriving, column, 3 << 20):
+        for batch in batches(arriving, column, 1 << 20):
             ids, offsets = e.encode(batch.column(column).to_pylist())
             pairs = list(zip(offsets.tolist(), offsets[1:].tolist(), strict=False))
             raw = ids.astype("<u4").tobytes()

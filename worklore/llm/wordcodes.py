@@ -126,7 +126,7 @@ class Encoder:
     put in lower case first.
     """
 
-    def __init__(self, path: str, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, most_words: int = 500_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
