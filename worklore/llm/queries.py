@@ -9,7 +9,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from worklore import session
-from worklore.llm import bpe, packing, token_counts, token_records
+from worklore.llm import (
+    bpe,
+    host_quality,
+    line_windows,
+    ngram_join,
+    packing,
+    sharding,
+    token_counts,
+    token_records,
+)
 from worklore.llm.shipping import ship
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +45,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE, 2048)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -44,11 +57,69 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, own_folder(spark, "token-counts"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_windows.drop_repeated_passages(documents)
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_packing": op2_packing,
+    "op3_ngram_join": op3_ngram_join,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_sharding": op9_sharding,
 }
 
-CHECKS: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP7_SQL = rf"""
+WITH w AS (SELECT doc_id, source, coalesce(text, '') AS text, {_WORDS} AS words FROM documents),
+c AS (
+ SELECT doc_id, source, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS lines,
+        words, [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)] AS runs
+ FROM w),
+g AS (SELECT doc_id, u.run, count(*) AS times, list(u.at) AS places
+      FROM (SELECT doc_id, unnest([{{'run': runs[i], 'at': i}} FOR i IN range(1, len(runs) + 1)]) AS u FROM c) GROUP BY 1, 2),
+r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+        SELECT doc_id, unnest([a + k FOR k IN range(5)]) AS p FROM (SELECT doc_id, unnest(places) AS a FROM g WHERE times > 1)) GROUP BY 1),
+b AS (
+ SELECT c.doc_id, source, n_words, word_chars, n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+        coalesce(r.n, 0) AS n_repeat_words FROM c LEFT JOIN r ON c.doc_id = r.doc_id),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS failed FROM f GROUP BY 1),
+t AS (SELECT sum(n) AS n_all, sum(failed) / sum(n) AS mean, count(*) AS hosts, sum(n * n) AS squares FROM h),
+s AS (SELECT mean, hosts, n_all, squares, sum(n * (failed / n - mean) ** 2) AS apart FROM h, t GROUP BY ALL),
+p AS (SELECT mean, CASE WHEN hosts > 1 AND (apart - (hosts - 1) * mean * (1 - mean)) / (n_all - squares / n_all) > 1e-12
+        THEN greatest(mean * (1 - mean) / ((apart - (hosts - 1) * mean * (1 - mean)) / (n_all - squares / n_all)) - 1, 1.0)
+        ELSE 1e9 END AS strength FROM s),
+v AS (SELECT source, (failed + mean * strength) / (n + strength) > 0.5 AS refused FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT refused AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
+
+OP8_SQL = r"""
+WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+a AS (SELECT *, [i FOR i IN range(1, len(lines) + 1) IF regexp_matches(lines[i], '[^\x20\x09-\x0D]')] AS pos FROM l),
+w AS (SELECT doc_id, unnest([{'place': k, 'win': [lines[pos[k]], lines[pos[k + 1]], lines[pos[k + 2]]]} FOR k IN range(1, len(pos) - 1)]) AS u FROM a),
+o AS (SELECT doc_id, u.place AS place, row_number() OVER (PARTITION BY u.win ORDER BY doc_id, u.place) AS nth FROM w),
+c AS (SELECT doc_id, list_distinct(flatten(list([place, place + 1, place + 2]))) AS covered FROM o WHERE nth > 1 GROUP BY 1),
+g AS (SELECT a.doc_id, text, lines, [pos[p] FOR p IN covered] AS gone FROM a LEFT JOIN c ON a.doc_id = c.doc_id)
+SELECT doc_id, CASE WHEN gone IS NULL THEN text
+         ELSE coalesce(array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(gone, i)], chr(10)), '') END AS text,
+       coalesce(len(lines), 0) AS n_lines, coalesce(len(gone), 0) AS n_removed FROM g
+"""
+
+CHECKS: dict[str, str] = {"op7_quality_rules": OP7_SQL, "op8_line_dedup": OP8_SQL}
