@@ -85,7 +85,7 @@ def write_records(
 
     ordered = (
         df.select("doc_id", "text")
-        .repartitionByRange(max(1, -(-total // file_bytes)), "doc_id", "text")
+        .repartitionByRange(max(1, -(-total // file_bytes)), "doc_id")
         .sortWithinPartitions("doc_id", "text")
     )
     records = ordered.mapInArrow(framed, "record binary").select(F.col("record").cast("string").alias("value"))
