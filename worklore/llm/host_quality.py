@@ -15,7 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from worklore import session
 from worklore.llm import textscan
+from worklore.llm.joins import sized
 
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 _SYMBOL = np.zeros(256, bool)
@@ -106,6 +108,18 @@ def host_rates(failures: DataFrame) -> DataFrame:
     ).drop("mean", "strength")
 
 
+def _judged(documents: DataFrame, host: str, most: float) -> DataFrame:
+    """doc_id, text_hash, COUNTS, base_failed and kept of every row."""
+    keyed = documents.select("doc_id", F.col(host).alias("host"), F.xxhash64("text").alias("text_hash"), "text")
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    rows = document_counts(keyed, "doc_id", "host", "text_hash").withColumn("base_failed", failed)
+    rows = session.stage(rows, "quality")
+    hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    refused = host_rates(hosts).select(F.col("host").alias("judged"), (F.col("rate") > most).alias("refused"))
+    joined = rows.join(refused, F.col("host").eqNullSafe(F.col("judged")))
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("refused")).drop("host", "judged", "refused")
+
+
 def judge(documents: DataFrame, host: str = "source", most: float = 0.5) -> DataFrame:
     """doc_id, counts, base_failed and kept of every row.
 
@@ -114,13 +128,12 @@ def judge(documents: DataFrame, host: str = "source", most: float = 0.5) -> Data
     rate at most `most`.  A null host is a host of its own.  Repeated rows count
     as often as they occur.  The counts are staged, so texts are read once.
     """
-    from worklore import session
+    return _judged(documents, host, most).drop("text_hash")
 
-    counts = document_counts(documents.withColumn("_host", F.col(host)), "doc_id", "_host")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rows = session.stage(counts.withColumn("base_failed", failed), "quality")
-    hosts = rows.groupBy("_host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
-    refused = host_rates(hosts).select(F.col("_host").alias("_judged"), (F.col("rate") > most).alias("refused"))
-    joined = rows.join(refused, F.col("_host").eqNullSafe(F.col("_judged")))
-    names = [c.split()[0] for c in COUNTS.split(", ")]
-    return joined.select("doc_id", *names, "base_failed", (~F.col("base_failed") & ~F.col("refused")).alias("kept"))
+
+def keep_good(documents: DataFrame, host: str = "source", most: float = 0.5) -> DataFrame:
+    """The rows of documents that `judge` keeps, whole."""
+    gone = _judged(documents, host, most).where(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    a, b = documents.withColumn("_hash", F.xxhash64("text")).alias("a"), sized(session.stage(gone, "refused")).alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._hash") == F.col("b.text_hash"))
+    return a.join(b, same, "left_anti").drop("_hash")

@@ -85,3 +85,17 @@ def drop_repeated_passages(documents: DataFrame, size: int = 3) -> DataFrame:
         F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("covered"), F.lit(0)).alias("n_removed"),
     )
+
+
+def keep_fresh_lines(documents: DataFrame, size: int = 3) -> DataFrame:
+    """`drop_repeated_passages` in the columns of documents, without texts that lost every word.
+
+    n_chars, where there is one, follows a text that changed.
+    """
+    done = drop_repeated_passages(documents, size)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    kept = done.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in documents.columns:
+        now = F.length("text").cast(dict(documents.dtypes)["n_chars"])
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, now).otherwise(F.col("n_chars")))
+    return kept.select(documents.columns)

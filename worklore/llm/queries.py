@@ -6,18 +6,20 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from worklore import session
 from worklore.llm import (
     bpe,
     host_quality,
     line_windows,
+    nearest,
     ngram_join,
     packing,
     sharding,
     token_counts,
     token_records,
+    url_templates,
 )
 from worklore.llm.shipping import ship
 
@@ -57,6 +59,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE, own_folder(spark, "token-counts"))
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.judge(table(spark, sf_dir, "documents"))
 
@@ -70,15 +76,39 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, good): a page shows the document whose number ends its path."""
+    number = F.regexp_extract(url_templates.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    shown = pages.select("page_id", number.try_cast("long").alias("doc_id")).where("doc_id is not null")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    return shown.join(labels.select("doc_id", good.alias("good")), "doc_id").select("page_id", "good")
+
+
+def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_templates.judge_urls(pages, page_labels(pages, table(spark, sf_dir, "labels")), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_packing": op2_packing,
     "op3_ngram_join": op3_ngram_join,
     "op4_bpe": op4_bpe,
     "op5_token_counts": op5_token_counts,
+    "op6_nearest": op6_nearest,
     "op7_quality_rules": op7_quality_rules,
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
+    "op10_url_templates": op10_url_templates,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
