@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from worklore import session
 from worklore.llm import wordcodes
+from worklore.llm.joins import sized
 from worklore.llm.textscan import batches
 
 
@@ -133,13 +134,16 @@ def best_fit(df: DataFrame, capacity: int, *keys: str, length: str = "length") -
 def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document cut at capacity ids.
 
-    A document's ids end with end_id; a null text has that id alone.
+    A document's ids end with end_id; a null text has that id alone.  key is a
+    number of each row, good for the rows of one computation.
     keep_ids: adds ids, binary little-endian unsigned 32-bit.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, key long" + ", ids binary" * keep_ids
 
     def cut(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = wordcodes.encoder(tokenizer)
+        from pyspark import TaskContext
+
+        e, key = wordcodes.encoder(tokenizer), TaskContext.get().partitionId() << 36
         for batch in batches(arriving, "text"):
             ids, offsets = e.encode(batch.column("text").to_pylist())
             rows = []
@@ -147,14 +151,24 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, keep_i
                 own = np.append(ids[a:b], end_id).astype("<u4")
                 for piece, start in enumerate(range(0, len(own), capacity)):
                     raw = own[start : start + capacity].tobytes()
-                    rows.append((doc_id, piece, start, len(raw) // 4, zlib.crc32(raw), raw)[: 5 + keep_ids])
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                    rows.append((doc_id, piece, start, len(raw) // 4, zlib.crc32(raw), key, raw)[: 6 + keep_ids])
+                    key += 1
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + keep_ids])
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in schema.split(", ")])
 
     return df.select("doc_id", "text").mapInArrow(cut, schema)
 
 
 def pack_documents(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """`pieces` of every document, each placed in a sequence by `best_fit`."""
-    return best_fit(pieces(df, tokenizer, capacity, end_id, keep_ids), capacity, "doc_id", "piece")
+    """`pieces` of every document, each placed in a sequence by `best_fit`.
+
+    The pieces are staged, so texts are encoded once and ids are never sorted:
+    lengths are packed, and the places come back to the pieces by key.
+    """
+    cut = session.stage(pieces(df, tokenizer, capacity, end_id, keep_ids), "pieces")
+    placed = best_fit(cut.drop("ids"), capacity, "doc_id", "piece")
+    if not keep_ids:
+        return placed.drop("key")
+    places = sized(session.stage(placed.select("key", "sequence_id", "offset"), "places"))
+    return cut.join(places, "key").drop("key")
