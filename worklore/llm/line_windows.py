@@ -11,16 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from worklore import session
+from worklore.functions.plans import settle
 from worklore.llm.joins import sized
 
+_WORD = r"[^\x20\x09-\x0D]"
 
-def _with_lines(df: DataFrame) -> DataFrame:
-    """lines: all lines; at: numbers (from 1) of those with a word; hash: their hashes."""
-    lines = F.split("text", "\n")
-    return df.withColumn("lines", lines).withColumn(
-        "at",
-        F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(r"[^\x20\x09-\x0D]")),
-    )
+
+def _with_lines(df: DataFrame, needed: Column) -> DataFrame:
+    """lines: all lines; at: numbers (from 1) of those with a word, null where not needed.
+
+    Both are settled, for a lambda would compute them again for every element.
+    """
+    df = settle(df.withColumn("lines", F.split("text", "\n")))
+    worded = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.element_at("lines", i).rlike(_WORD))
+    return settle(df.withColumn("at", F.when(needed, worded)))
 
 
 def _windows(keyed: DataFrame, size: int) -> DataFrame:
@@ -30,7 +34,7 @@ def _windows(keyed: DataFrame, size: int) -> DataFrame:
     window = lambda i: F.xxhash64(*(line(i + k) for k in range(size)), *(F.octet_length(line(i + k)) for k in range(size)))
     hashes = F.transform(numbers, window)
     return (
-        _with_lines(keyed)
+        _with_lines(keyed, F.col("text").isNotNull())
         .where(F.size("at") >= size)
         .select("doc_id", "text_hash", F.posexplode(hashes).alias("place", "window"))
     )
@@ -51,10 +55,9 @@ def later_occurrences(documents: DataFrame, size: int = 3) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("places"))
 
 
-def _kept_lines(size: int) -> Column:
-    """The lines between covered ones; at, places and lines are columns."""
-    ends = F.array_sort("places")
-    covered = F.array_distinct(F.flatten(F.transform(ends, lambda p: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.element_at("at", p + k)))))
+def _covered(size: int) -> Column:
+    """Numbers of the lines in the windows at places, rising; at and places are columns."""
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(F.sequence(F.lit(1), F.lit(size)), lambda k: F.element_at("at", p + k)))))
     return F.array_sort(covered)
 
 
@@ -73,7 +76,8 @@ def drop_repeated_passages(documents: DataFrame, size: int = 3) -> DataFrame:
     a, b = found.alias("a"), sized(later).alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
     joined = a.join(b, same, "left").select("a.*", "b.places")
-    joined = _with_lines(joined).withColumn("covered", F.when(F.col("places").isNotNull(), _kept_lines(size)))
+    later_here = F.col("places").isNotNull()
+    joined = settle(_with_lines(joined, later_here).withColumn("covered", F.when(later_here, _covered(size))))
     before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.element_at("covered", F.greatest(i, F.lit(1))))
     after = lambda i: F.when(i == F.size("covered"), F.size("lines") + 1).otherwise(F.element_at("covered", F.least(i + 1, F.size("covered"))))
     between = F.transform(
@@ -92,8 +96,8 @@ def keep_fresh_lines(documents: DataFrame, size: int = 3) -> DataFrame:
 
     n_chars, where there is one, follows a text that changed.
     """
-    done = drop_repeated_passages(documents, size)
-    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    done = settle(drop_repeated_passages(documents, size))
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(_WORD)
     kept = done.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in documents.columns:
         now = F.length("text").cast(dict(documents.dtypes)["n_chars"])
