@@ -42,10 +42,10 @@ class WordTable:
 
     def __init__(self, most: int = 1_500_000) -> None:
         self.most = most
-        self.slots = 1 << int(most * 2).bit_length()
         self.clear()
 
     def clear(self) -> None:
+        self.slots = 1 << int(self.most * 2).bit_length()
         self.keys = np.zeros(self.slots, np.uint64)
         self.rows = np.zeros(self.slots, np.int32)
         self.flat: np.ndarray = np.zeros(1 << 16, np.int32)
@@ -69,7 +69,6 @@ class WordTable:
 
     def add(self, hashes: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
         """Enter distinct, absent hashes; ids holds their rows one after another."""
-        mask = np.uint64(self.slots - 1)
         total = int(self.offsets[self.n]) + len(ids)
         if total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(total - len(self.flat), len(self.flat)), np.int32)])
@@ -79,6 +78,16 @@ class WordTable:
         self.flat[base:total] = ids
         self.offsets[self.n + 1 : self.n + 1 + len(hashes)] = base + np.cumsum(lengths)
         rows = np.arange(self.n, self.n + len(hashes), dtype=np.int32)
+        self.n += len(hashes)
+        if 2 * self.n > self.slots:  # one batch brought very many words
+            used = self.keys != 0
+            hashes, rows = np.concatenate([self.keys[used], hashes]), np.concatenate([self.rows[used], rows])
+            self.slots = 1 << int(2 * self.n).bit_length()
+            self.keys, self.rows = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
+        self._enter(hashes, rows)
+
+    def _enter(self, hashes: np.ndarray, rows: np.ndarray) -> None:
+        mask = np.uint64(self.slots - 1)
         at, left = hashes & mask, np.arange(len(hashes))
         while len(left):
             free = self.keys[at[left]] == 0
@@ -87,7 +96,6 @@ class WordTable:
             self.rows[at[left[placed]]] = rows[left[placed]]
             left = left[~placed]
             at[left] = (at[left] + np.uint64(1)) & mask
-        self.n += len(hashes)
 
 
 def _cut_flags(units: np.ndarray, classes: np.ndarray, bounds: np.ndarray, attach_space: bool) -> np.ndarray:
