@@ -12,7 +12,10 @@ import worklore
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import the package, also where it isn't installed; once per session."""
+    """Let Python workers import the package, also where it isn't installed; once per session.
+
+    Rows here hold whole texts, so batches to Python hold fewer rows than by default.
+    """
     context = spark.sparkContext
     if getattr(context, "_worklore_shipped", False):
         return
@@ -24,4 +27,5 @@ def ship(spark: SparkSession) -> None:
                 place = os.path.join(folder, name)
                 z.write(place, os.path.join("worklore", os.path.relpath(place, root)))
     context.addPyFile(path)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context._worklore_shipped = True

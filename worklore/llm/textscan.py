@@ -123,7 +123,7 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def batches(
-    arriving: Iterable[pa.RecordBatch], column: str, most_bytes: int = 2 << 20
+    arriving: Iterable[pa.RecordBatch], column: str, most_bytes: int = 1 << 20
 ) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each holds about most_bytes of text, one text at least."""
     for batch in arriving:
