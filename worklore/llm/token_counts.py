@@ -48,7 +48,7 @@ def count_tokens(
 
     cache: folder of the count table, shared by all executors, made if absent.
     direct_rows: up to so many missing digests are sent to the text scan; more
-    are joined by shuffling.  Rows repeated keep their repetition.
+    are joined by shuffling.  Repeated rows share a representative and stay repeated.
     """
     spark = df.sparkSession
     version = tokenizer_version(tokenizer)
@@ -68,14 +68,20 @@ def count_tokens(
     texts = a.join(b, same, "left_semi").select("digest", "text")
 
     def counted(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = wordcodes.encoder(tokenizer)
+        e, met = wordcodes.encoder(tokenizer), set()
         for batch in batches(arriving, "text"):
+            fresh = []
+            for digest in batch.column("digest").to_pylist():
+                fresh.append(digest not in met)
+                met.add(digest)
+            batch = batch.filter(pa.array(fresh, pa.bool_()))
             _, offsets = e.encode(batch.column("text").to_pylist())
             versions = pa.array([version] * batch.num_rows, pa.binary())
             counts = pa.array(np.diff(offsets), pa.int64())
             yield pa.RecordBatch.from_arrays([versions, batch.column("digest"), counts], ["version", "digest", "n_tokens"])
 
-    texts.mapInArrow(counted, CACHE).write.mode("append").parquet(cache)
+    counts = texts.mapInArrow(counted, CACHE).dropDuplicates(["version", "digest"])
+    counts.write.mode("append").parquet(cache)
     counts = read_cache(spark, cache, version)
     return keyed.drop("text").join(counts, "digest").select(
         "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
