@@ -3,7 +3,7 @@
 Segment by segment, from the host down, a branch whose next segments vary (many
 different ones, or nearly one for every page) goes on as one wildcard; other
 segments keep their names.  From the leaves up, sibling branches whose labelled
-rates do not differ by more than chance are merged into one wildcard branch.
+rates do not differ by more than chance are merged into one branch.
 A template whose smoothed share of good labels is low is refused.  Listed rules
 come before templates.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from worklore import session
 
@@ -71,29 +71,29 @@ def _generalised(paths: DataFrame, depth: int, children: int, least: int) -> Dat
 def _merged(leaves: DataFrame, depth: int, z: float) -> DataFrame:
     """(host, template, merged): branches after merging siblings alike in their labels.
 
-    At each level, from the deepest up, a branch is set against its siblings
-    together: templates equal in host and all other segments.  If the shares of
-    good labels differ by less than z standard errors, it takes the wildcard.
-    Branches without labels are alike to all; one without siblings keeps its name.
+    At each level, from the deepest up, siblings (equal in host and all other
+    segments) are sorted by their share of good labels and cut where neighbours
+    differ by more than z standard errors; what lies between two cuts becomes one
+    branch, named by all its segments.  A branch without labels stays by itself.
+    Siblings are few: where segments vary there is one wildcard.
     """
     rows = leaves.withColumn("merged", F.col("template"))
+    siblings = Window.partitionBy("host", "masked").orderBy("share", "segment")
+    cluster = Window.partitionBy("host", "masked", "cluster")
     for level in reversed(range(depth)):
-        at = F.get("merged", F.lit(level))
-        masked = F.when(at.isNull(), F.col("merged")).otherwise(
-            F.transform("merged", lambda x, i: F.when(i == level, F.lit("*")).otherwise(x))
-        )
-        rows = rows.withColumn("masked", masked)
-        own = rows.groupBy("host", "masked", "merged").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
-        all_ = own.groupBy("host", "masked").agg(F.sum("good").alias("all_good"), F.sum("labelled").alias("all_labelled"), F.count("*").alias("branches"))
-        both = own.join(all_, ["host", "masked"])
-        n1, n2 = F.col("labelled"), F.col("all_labelled") - F.col("labelled")
-        p1, p2 = F.try_divide("good", n1), F.try_divide(F.col("all_good") - F.col("good"), n2)
-        pool = F.try_divide("all_good", "all_labelled")
-        error = F.sqrt(pool * (1 - pool) * (F.try_divide(F.lit(1), n1) + F.try_divide(F.lit(1), n2)))
-        alike = F.coalesce(F.abs(p1 - p2) <= z * error, F.lit(True))
-        fate = both.select("host", "masked", "merged", F.when((F.col("branches") > 1) & alike, F.col("masked")).otherwise(F.col("merged")).alias("fate"))
-        rows = rows.join(fate, ["host", "masked", "merged"]).withColumn("merged", F.col("fate")).drop("fate", "masked")
-        rows = session.stage(rows, "branches")
+        masked = F.transform("merged", lambda x, i: F.when(i == level, F.lit("")).otherwise(x))
+        rows = rows.withColumns({"masked": masked, "segment": F.get("merged", F.lit(level))})
+        own = rows.groupBy("host", "masked", "segment").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
+        own = own.where("labelled > 0 and segment is not null").withColumn("share", F.col("good") / F.col("labelled"))
+        before = {c: F.lag(c).over(siblings) for c in ("good", "labelled", "share")}
+        pool = (F.col("good") + before["good"]) / (F.col("labelled") + before["labelled"])
+        error = F.sqrt(pool * (1 - pool) * (1 / F.col("labelled") + 1 / before["labelled"]))
+        cut = F.coalesce((F.col("share") - before["share"] > z * error).cast("int"), F.lit(0))
+        groups = own.withColumn("cut", cut).withColumn("cluster", F.sum("cut").over(siblings))
+        names = groups.withColumn("name", F.array_join(F.array_sort(F.collect_set("segment").over(cluster)), "|"))
+        rows = rows.join(names.select("host", "masked", "segment", "name"), ["host", "masked", "segment"], "left")
+        named = F.transform("merged", lambda x, i: F.when((i == level) & F.col("name").isNotNull(), F.col("name")).otherwise(x))
+        rows = session.stage(rows.withColumn("merged", named).drop("name", "masked", "segment"), "branches")
     return rows.select("host", "template", "merged")
 
 
