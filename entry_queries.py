@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import entry_tables as E
 from worklore import session
 from worklore.functions.plans import settle
-from worklore.functions import hashing, ordering, textops
+from worklore.functions import hashing, jsonops, ordering, textops
 from worklore.operators import (
     associate, docs, evidence, extract, facets, identity, moves, normalize, pack, prose, resolve, search,
 )
@@ -401,6 +401,34 @@ def ingested_items(spark, sf_dir):
     return extract.extract_items(records).groupBy("kind", "status", "category").agg(F.count(F.lit(1)).alias("items"))
 
 
+@query("""SELECT conv_id, turn, array_to_string([x FOR x IN [text, role, 'tail'] IF x <> ''], chr(10)) AS content
+ FROM conversations""")
+def nested_content(spark, sf_dir):
+    """Text of tool results that nest as deep as their turn's number, and deeper."""
+    deep = lambda c: F.concat(F.expr("repeat('[', turn + 3)"), F.to_json(F.array(c)), F.expr("repeat(']', turn + 3)"))
+    part = F.concat(
+        F.lit('[{"type": "tool_result", "content": [{"type": "text", "text": '), F.to_json(F.array(F.coalesce("text", F.lit("")))),
+        F.lit('}, {"type": "image", "text": "left out"}, 5, null, {"text": "untyped"}, '), deep(F.col("role")), F.lit(']}, "", "tail"]'),
+    )
+    rows = settle(E.table(spark, sf_dir, "conversations").select("conv_id", "turn", jsonops.parse(part).alias("value")))
+    return rows.select("conv_id", "turn", jsonops.flat_text(F.col("value")).alias("content"))
+
+
+@query("""SELECT event_type, count(*) AS items, min(item) AS first_text, sum(length(item))::BIGINT AS letters
+ FROM (SELECT event_type, concat('Repair probe ', CAST(event_id AS VARCHAR), '.') AS item FROM events) e GROUP BY 1""")
+def long_records(spark, sf_dir):
+    """Records with as many statements as an event type has events: none is left out."""
+    line = F.concat(F.lit("TASK: Repair probe "), F.col("event_id").cast("string"), F.lit("."))
+    texts = E.table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    records = texts.select(
+        F.col("event_type").alias("record_id"), F.lit("codex").alias("provider"), F.lit("user").alias("actor"),
+        F.lit("user_intent").alias("kind"), F.col("text").alias("full_text"), F.lit(None).cast("string").alias("tool"),
+    )
+    return extract.extract_items(records).groupBy(F.col("record_id").alias("event_type")).agg(
+        F.count("*").alias("items"), F.min("text").alias("first_text"), F.sum(F.length("text")).cast("long").alias("letters")
+    )
+
+
 @query(f"SELECT item_id, lower(rtrim(text, '.')) AS topic FROM ({I}) i")
 def topic_keys(spark, sf_dir):
     return E.items(spark, sf_dir).select("item_id", textops.topic_key(F.col("text")).alias("topic"))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worklore.functions.plans import spread_small
 from worklore.operators import evidence, resolve
 
 _KEYED = """
@@ -119,7 +118,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(table(spark, sf_dir, name))
+    """Dealt by key, for a file may be a single row group and the work per row is heavy."""
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(spark.sparkContext.defaultParallelism, rows.columns[0])
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:

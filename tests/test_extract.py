@@ -109,7 +109,7 @@ def test_limit_and_tools(spark):
         ("d", "codex", "system", "metadata", "TASK: no", None),
     ]
     found = extract.statements(spark.createDataFrame(data, RECORD)).cache()
-    rows = {r.record_id: r for r in extract.number_items(found).collect()}
+    rows = {r.record_id: r for r in extract.number_items(found, most=256).collect()}
     assert set(rows) == {"b", "c"}
     assert (rows["b"].kind, rows["b"].status, rows["b"].text) == ("claim", "recorded", "TASK: not a task")
     assert (rows["c"].kind, rows["c"].status) == ("context", "proposed")

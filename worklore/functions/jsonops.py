@@ -74,29 +74,48 @@ def as_mapping(value: Column) -> Column:
     return let(value, choose)
 
 
-def _shape(value: Column, depth: int) -> Column:
-    """Flat text of a bound value."""
-    plain = F.try_variant_get(value, "$", "string")
-    kind = first_char(value)
-    if depth == 0:
-        return F.when(kind == '"', plain).otherwise("")
-
-    def by_kind(k: Column) -> Column:
-        elements = F.try_variant_get(value, "$", "array<variant>")
-        listed = F.array_join(
-            F.filter(F.transform(elements, lambda e: _shape(e, depth - 1)), lambda t: t != ""), "\n"
-        )
+def _nesting(value: Column) -> Column:
+    """How deep lists and objects lie in one another."""
+    plain = F.regexp_replace(F.regexp_replace(F.to_json(value), r"\\.", ""), r'"[^"]*"', "")
+    marks = F.regexp_replace(plain, r"[^\[\]{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, mark: Column) -> Column:
+        now = state["now"] + F.when(mark.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(F.filter(F.split(marks, ""), lambda m: m != ""), start, step, lambda state: state["most"])
+
+
+def _opened(value: Column) -> Column:
+    """A list as its elements, a typed text part as what it holds, a string as itself."""
+
+    def by_kind(kind: Column) -> Column:
         typed = F.coalesce(F.try_variant_get(value, "$.type", "string").isin(P.TEXT_PARTS), F.lit(False))
         inner = F.coalesce(node(value, "$.text"), node(value, "$.content"))
-        part = F.when(typed, let(inner, lambda i: _shape(i, depth - 1)))
-        return F.when(k == '"', plain).when(k == "[", listed).when(k == "{", part)
+        return (
+            F.when(kind == "[", F.try_variant_get(value, "$", "array<variant>"))
+            .when((kind == "{") & typed, F.array(inner))
+            .when(kind == '"', F.array(value))
+        )
+
+    none = F.filter(F.array(value), lambda _: F.lit(False))
+    return F.coalesce(let(first_char(value), by_kind), none)
 
-    return F.coalesce(let(kind, by_kind), F.lit(""))
 
+def _walked(value: Column) -> Column:
+    """Open all values of a list in place, once per level that the value has."""
+    levels = F.sequence(F.lit(1), F.greatest(_nesting(value), F.lit(1)))
+    leaves = F.aggregate(levels, F.array(value), lambda held, _: F.flatten(F.transform(held, _opened)))
+    texts = F.transform(F.filter(leaves, is_string), lambda v: F.try_variant_get(v, "$", "string"))
+    return F.array_join(F.filter(texts, lambda t: t != ""), "\n")
 
-def flat_text(value: Column, depth: int = 3) -> Column:
-    """Depth-first text of strings, lists and typed text parts, newline-joined."""
-    return F.coalesce(let(value, lambda v: _shape(v, depth)), F.lit(""))
+
+def flat_text(value: Column) -> Column:
+    """Depth-first text of strings, lists and typed text parts at any depth, newline-joined."""
+    return F.coalesce(
+        let(value, lambda v: F.when(is_string(v), F.try_variant_get(v, "$", "string")).otherwise(_walked(v))), F.lit("")
+    )
 
 
 def has_shape(value: Column, path: str, openers: str) -> Column:

@@ -14,16 +14,3 @@ def settle(df: DataFrame) -> DataFrame:
     """
     return df.select(F.inline(F.array(F.struct("*"))))
 
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a small input one slice per core before costly per-row work.
-
-    A file of a few megabytes often holds a single row group, hence one task.
-    Inputs large enough to fill the cluster by themselves are left alone, so no
-    shuffle is added to them.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    per_task = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("bB"))
-    return df.repartition(cores) if size < cores * per_task else df

@@ -196,18 +196,20 @@ def sectionize(documents: DataFrame, id_column: str = "document_id", text_column
     )
 
 
-def section_records(documents: DataFrame, observed_at: Column) -> DataFrame:
+def section_records(documents: DataFrame, observed_at: Column, most: int | None = None) -> DataFrame:
     """Identified records for the sections of registered documents.
 
     Input: document_id, relative_path, root_path, fingerprint, text and optional
-    git_head, committed_blob, tracked, modified.  Documents above the section
-    limit give no records (`section_gaps`).
+    git_head, committed_blob, tracked, modified.  Documents of more than
+    `most` sections give no records (`section_gaps`); by default there is no limit.
     """
     from .normalize import with_identity
 
     names = ["git_head", "committed_blob", "tracked", "modified"]
     given = [n for n in names if n in documents.columns]
-    sections = sectionize(documents).filter(F.col("sections") <= P.MAX_SECTIONS)
+    sections = sectionize(documents)
+    if most is not None:
+        sections = sections.filter(F.col("sections") <= most)
     facts = documents.select(
         F.col("document_id").alias("_doc"), "relative_path", "root_path", "fingerprint", *given
     )
@@ -233,7 +235,7 @@ def section_records(documents: DataFrame, observed_at: Column) -> DataFrame:
         F.concat(F.lit("section:"), number).alias("native_id"),
         F.lit("document").alias("actor"),
         F.lit("document_section").alias("kind"),
-        textops.redact(F.col("text"), P.MAX_RECORD_BYTES).alias("full_text"),
+        textops.redact(F.col("text"), None).alias("full_text"),
         F.lit(None).cast("string").alias("original_time"),
         F.col("root_path").alias("cwd"),
         meta.alias("metadata"),
@@ -241,9 +243,9 @@ def section_records(documents: DataFrame, observed_at: Column) -> DataFrame:
     return with_identity(cleaned)
 
 
-def section_gaps(sections: DataFrame, id_column: str = "document_id") -> DataFrame:
+def section_gaps(sections: DataFrame, most: int = P.MAX_SECTIONS, id_column: str = "document_id") -> DataFrame:
     return (
-        sections.filter(F.col("sections") > P.MAX_SECTIONS).select(id_column).distinct()
+        sections.filter(F.col("sections") > most).select(id_column).distinct()
         .withColumn("code", F.lit("document_section_limit"))
     )
 

@@ -165,15 +165,11 @@ def _rule(rung: Column, field: int) -> Column:
 
 
 def _suffixes(text: Column) -> Column:
-    """The text, and what remains after each leading closing sentence.
-
-    More remainders than the per-record item limit can never be used, since
-    such a record yields no items.
-    """
+    """The text, and what remains after each leading closing sentence."""
     sentences = F.split(text, P.cs(P.SENTENCE_BREAK))
     stops = F.array_append(F.transform(sentences, lambda s: ~is_transition(s)), F.lit(True))
     leading = (F.array_position(stops, F.lit(True)) - 1).cast("int")
-    last = F.least(leading, F.size(sentences) - 1, F.lit(P.MAX_ITEMS_PER_RECORD + 1))
+    last = F.least(leading, F.size(sentences) - 1)
     return F.transform(
         F.sequence(F.lit(0), last),
         lambda k: F.array_join(F.slice(sentences, k + 1, F.size(sentences)), " "),
@@ -360,13 +356,17 @@ def statements(records: DataFrame) -> DataFrame:
     return merged.unionByName(captured)
 
 
-def number_items(statements_df: DataFrame) -> DataFrame:
-    """Identified items; a record above the limit yields none (see `extraction_gaps`)."""
-    cut = lambda c: textops.truncate(c, P.MAX_EXCERPT)
-    fields = statements_df.filter(F.col("total") <= P.MAX_ITEMS_PER_RECORD).select(
+def number_items(statements_df: DataFrame, most: int | None = None) -> DataFrame:
+    """Identified items, with whole texts.
+
+    With a limit, a record of more statements yields none (`extraction_gaps`).
+    """
+    if most is not None:
+        statements_df = statements_df.filter(F.col("total") <= most)
+    fields = statements_df.select(
         "record_id",
         (F.col("owner") - 1).cast("int").alias("item_no"),
-        "cand.kind", cut(F.col("cand.text")).alias("text"), "cand.status", "cand.category",
+        "cand.kind", "cand.text", "cand.status", "cand.category",
         "cand.target", "cand.rationale", "cand.priority", "cand.dependencies", "cand.method",
     )
     return fields.withColumn("item_id", item_identity())
@@ -383,10 +383,10 @@ def extract_items(records: DataFrame) -> DataFrame:
     return number_items(statements(records))
 
 
-def extraction_gaps(statements_df: DataFrame) -> DataFrame:
-    """Records whose statements exceed the limit."""
+def extraction_gaps(statements_df: DataFrame, most: int = P.MAX_ITEMS_PER_RECORD) -> DataFrame:
+    """Records of more statements than a limit."""
     return (
-        statements_df.filter(F.col("total") > P.MAX_ITEMS_PER_RECORD)
+        statements_df.filter(F.col("total") > most)
         .groupBy("record_id")
         .agg(F.max("total").alias("statements"))
         .withColumn("code", F.lit("record_extraction_limit"))

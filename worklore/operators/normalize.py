@@ -506,7 +506,7 @@ def records_of(events: DataFrame, extra_patterns: tuple[str, ...] = ()) -> DataF
         clean("session_native_id").alias("session_native_id"),
         clean("native_id").alias("native_id"),
         "actor", "kind",
-        clean("full_text", P.MAX_RECORD_BYTES).alias("full_text"),
+        clean("full_text", None).alias("full_text"),
         "original_time",
         clean("cwd").alias("cwd"),
         "metadata",

@@ -24,10 +24,12 @@ def _with_optional(df: DataFrame, wanted: dict[str, str]) -> DataFrame:
     )
 
 
-def read_message_store(sessions: DataFrame, messages: DataFrame, after_id: int = 0) -> DataFrame:
+def read_message_store(
+    sessions: DataFrame, messages: DataFrame, after_id: int = 0, most_bytes: int | None = None
+) -> DataFrame:
     """Visible, de-duplicated messages with their session's context.
 
-    The field check runs before the join, so oversized values never shuffle twice.
+    With most_bytes, longer fields become NULL and are marked before the join.
     """
     lacking = {"id", "session_id", "role", "content", "timestamp"} - set(messages.columns)
     if lacking or not {"id", "started_at"} <= set(sessions.columns):
@@ -41,7 +43,7 @@ def read_message_store(sessions: DataFrame, messages: DataFrame, after_id: int =
     elif "active" in has:
         rows = rows.filter(F.col("active") == 1)
     fields = ["content", "tool_calls", "tool_call_id", "tool_name", "role", "display_kind"]
-    large = lambda c: F.coalesce(F.octet_length(c), F.lit(0)) > P.MAX_RECORD_BYTES
+    large = lambda c: F.lit(False) if most_bytes is None else F.coalesce(F.octet_length(c), F.lit(0)) > most_bytes
     oversized: Column = F.lit(False)
     for name in fields:
         oversized = oversized | large(name)

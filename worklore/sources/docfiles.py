@@ -39,8 +39,8 @@ def read_documents(
     project_id: str,
     worktree_id: str,
     patterns: Sequence[str] | None = None,
-    max_bytes: int = 131072,
-    max_depth: int = 2,
+    max_bytes: int | None = None,
+    max_depth: int | None = None,
     exclusions: Sequence[str] = (),
 ) -> DataFrame:
     """Selected documents of one worktree; `code` names why one was rejected."""
@@ -58,16 +58,15 @@ def read_documents(
         for pattern in patterns:
             selected = selected | F.col("relative_path").rlike(pathops.segment_glob(pattern))
     rel = F.col("relative_path")
-    chosen = listed.filter(
-        selected & ~is_private(rel) & allowed_path(rel, exclusions)
-        & (F.size(F.split(rel, "/")) <= max_depth + 1)
-    )
+    chosen = listed.filter(selected & ~is_private(rel) & allowed_path(rel, exclusions))
+    if max_depth is not None:
+        chosen = chosen.filter(F.size(F.split(rel, "/")) <= max_depth + 1)
     suffix = F.lower(F.regexp_extract(pathops.base_name(rel), r"\.([^.]+)$", 1))
     content = F.col("content")
     text = F.try_validate_utf8(F.regexp_replace(content.cast("string"), "^\ufeff", ""))
     code = (
         F.when(~suffix.isin(P.DOCUMENT_SUFFIXES) & (F.lower(pathops.base_name(rel)) != "readme"), "document_unsupported_format")
-        .when(F.col("length") > max_bytes, "document_byte_limit")
+        .when(F.col("length") > max_bytes if max_bytes is not None else F.lit(False), "document_byte_limit")
         .when(F.contains(content, F.lit(b"\x00")), "document_binary_unsupported")
     )
     code = F.coalesce(code, F.when(text.isNull(), "document_encoding_unsupported"))

@@ -84,9 +84,12 @@ def place_lines(raw: DataFrame, compressed: bool = False, exclusions: Sequence[s
     )
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Add `body` (VARIANT of a JSON object) or the `code` of the gap; drop blank lines."""
-    oversized = F.octet_length("value") + F.lit(1) > P.MAX_RECORD_BYTES
+def parse_lines(lines: DataFrame, most_bytes: int | None = None) -> DataFrame:
+    """Add `body` (VARIANT of a JSON object) or the `code` of the gap; drop blank lines.
+
+    most_bytes: longer lines are gaps; by default there is no limit.
+    """
+    oversized = F.lit(False) if most_bytes is None else F.octet_length("value") + F.lit(1) > most_bytes
     gap = (
         F.when(F.col("tail") & oversized, "oversized_incomplete_tail")
         .when(F.col("tail"), "incomplete_tail")
