@@ -20,7 +20,7 @@ HEADLINE = [
     "ingested_items", "extracted_items", "message_envelopes", "resolved_items", "tasks", "decisions",
     "daily_actor_groups", "daily_items", "daily_projects", "day_spine", "record_gaps", "record_evidence",
     "current_records", "recent_sessions", "retention_candidates", "directory_association", "redaction",
-    "search_documents", "document_sections", "packed_documents", "recent_context", "hourly_activity",
+    "search_documents", "search_index", "document_sections", "packed_documents", "recent_context", "hourly_activity",
 ]
 
 

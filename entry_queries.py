@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -904,6 +905,15 @@ def search_documents(spark, sf_dir):
     return search.search(d, "The tion", 20, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(_bm25(["the", "tion"], 20))
+def search_index(spark, sf_dir):
+    """The same search, answered from a written index."""
+    path = f"{session.shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    search.build_index(E.spread(spark, sf_dir, "documents").select("doc_id", "text"), path, "doc_id", term_buckets=16, document_buckets=2)
+    found = search.search_index(spark, path, "The tion", 20, term_buckets=16)
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query("""SELECT source, facet_rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) AS facet_rank FROM (
  SELECT doc_id, source, length(text) AS size, row_number() OVER (PARTITION BY source, lang, text ORDER BY doc_id) AS once FROM documents) d
  WHERE once = 1) r WHERE facet_rank <= 6""")

@@ -192,6 +192,13 @@ def test_search_index_agrees_with_scan(spark, tmp_path):
         a = [(r.record_id, round(r.score, 9)) for r in search.search(df, q, 15).collect()]
         b = [(r.id, round(r.score, 9)) for r in search.search_index(spark, f"{tmp_path}/ix", q, 15, term_buckets=4).collect()]
         assert a == b and a
+    assert search.search_index(spark, f"{tmp_path}/ix", "--", term_buckets=4).count() == 0
+
+
+def test_index_of_a_long_text_is_linear(spark, tmp_path):
+    text = " ".join(f"t{i}" for i in range(200_000))
+    search.build_index(spark.createDataFrame([("r", text)], "record_id string, text string"), f"{tmp_path}/long", term_buckets=2)
+    assert spark.read.parquet(f"{tmp_path}/long/postings").count() == 200_000
 
 
 def test_resume_and_export(spark):

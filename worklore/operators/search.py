@@ -100,14 +100,10 @@ def build_index(
         F.col(id_column).alias("id"), textops.search_tokens(F.col(text_column)).alias("tokens")
     )
     lengths = tokens.select("id", F.size("tokens").alias("length"))
-    # One row already holds a whole document, so counting a term needs no shuffle.
-    postings = tokens.select(
-        "id", "tokens", F.explode_outer(F.array_distinct("tokens")).alias("term")
-    ).filter("term is not null").select(
-        "term", "id",
-        F.filter(
-            F.transform("tokens", lambda t, i: F.when(t == F.col("term"), i)), lambda i: i.isNotNull()
-        ).alias("positions"),
+    # A place is shuffled once, by document and term; counting is linear in a text's length.
+    places = tokens.select("id", F.posexplode("tokens").alias("position", "term"))
+    postings = places.groupBy("term", "id").agg(F.array_sort(F.collect_list("position")).alias("positions")).select(
+        "term", "id", "positions",
         F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int").alias("bucket"),
         F.pmod(F.xxhash64("id"), F.lit(document_buckets)).cast("int").alias("part"),
     )
@@ -122,9 +118,14 @@ def search_index(
     spark, path: str, query: str, limit: int = 20, term_buckets: int = 64,
     scope: DataFrame | None = None,
 ) -> DataFrame:
-    """Search a written index; only the buckets of the query's terms are read."""
+    """Search a written index; only the buckets of the query's terms are read.
+
+    A query without tokens finds nothing, as in `search`.
+    """
     lengths = spark.read.parquet(path + "/lengths")
     phrases = query_phrases(lengths, query)
+    if not phrases:
+        return lengths.select("id", F.lit(0.0).alias("score")).filter("false")
     postings = spark.read.parquet(path + "/postings")
     stats = lengths.agg(F.count(F.lit(1)).alias("_n"), F.avg("length").alias("_avg"))
     matched = None
