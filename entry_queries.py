@@ -430,6 +430,27 @@ def long_records(spark, sf_dir):
     )
 
 
+@query("""SELECT user_id % 2 AS doc, count(*) AS sections, min(event_id)::VARCHAR AS first_id, sum(length(concat('Body of probe ', event_id, '.')))::BIGINT AS letters
+ FROM events GROUP BY 1""")
+def long_documents(spark, sf_dir):
+    """Documents with a section for every event of half the users: none is left out."""
+    number = F.col("event_id").cast("string")
+    part = F.struct("event_id", F.concat(F.lit("# Probe "), number, F.lit("\nBody of probe "), number, F.lit(".")).alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n")
+    texts = E.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 2).cast("string").alias("document_id")).agg(joined.alias("text"))
+    documents = texts.select(
+        "document_id", "text", F.concat("document_id", F.lit(".md")).alias("relative_path"), F.lit("/r").alias("root_path"),
+        F.sha2("text", 256).alias("fingerprint"),
+    )
+    records = docs.section_records(documents, F.lit("2026-01-01").cast("timestamp"))
+    body = F.regexp_extract("full_text", r"Body of probe [0-9]+\.", 0)
+    return records.groupBy(F.col("session_native_id").cast("bigint").alias("doc")).agg(
+        F.count("*").alias("sections"),
+        F.min_by(F.regexp_extract("full_text", r"probe ([0-9]+)\.", 1), "line_no").alias("first_id"),
+        F.sum(F.length(body)).cast("long").alias("letters"),
+    )
+
+
 @query(f"SELECT item_id, lower(rtrim(text, '.')) AS topic FROM ({I}) i")
 def topic_keys(spark, sf_dir):
     return E.items(spark, sf_dir).select("item_id", textops.topic_key(F.col("text")).alias("topic"))

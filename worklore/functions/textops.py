@@ -19,6 +19,30 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def gathered(entries: Column, start: Column, step, gathers: str, block: int = 512) -> Column:
+    """Fold over an array with a struct state of which one field gathers an array.
+
+    Appending copies what was gathered, so each block of entries gathers for
+    itself and whole blocks are put together: close to linear in long arrays.
+    """
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((F.greatest(F.size(entries), F.lit(1)) - 1) / block).cast("int")),
+        lambda k: F.slice(entries, k * block + 1, F.lit(block)),
+    )
+    none = F.filter(F.array(start[gathers]), lambda _: F.lit(False))
+
+    def one(state: Column, entries_: Column) -> Column:
+        done = F.aggregate(entries_, state["carry"], step)
+        return let(
+            done,
+            lambda d: F.struct(
+                d.withField(gathers, start[gathers]).alias("carry"), F.array_append(state["done"], d[gathers]).alias("done")
+            ),
+        )
+
+    return F.aggregate(blocks, F.struct(start.alias("carry"), none.alias("done")), one, lambda s: F.flatten(s["done"]))
+
+
 def matches(col: Column, pattern: str) -> Column:
     """Case-insensitive Unicode search; NULL text never matches."""
     return F.coalesce(col.rlike(P.ci(pattern)), F.lit(False))

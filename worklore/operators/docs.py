@@ -15,9 +15,13 @@ _STATE = f"struct<skip:boolean,comment:boolean,fence:string,inside:string,lazy:b
 
 def _labelled(text: Column) -> Column:
     """Fold over the lines of a document: what each line is, and where blocks are forced to start."""
-    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
-    numbered = F.transform(
-        lines, lambda l, i: F.struct(i.alias("pos"), l.alias("line"), F.get(lines, i + 1).alias("next"))
+    split = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
+    # Bound once: a lambda would split the text again for every line.
+    numbered = textops.let(
+        split,
+        lambda lines: F.transform(
+            lines, lambda l, i: F.struct(i.alias("pos"), l.alias("line"), F.get(lines, i + 1).alias("next"))
+        ),
     )
 
     def step(s: Column, e: Column) -> Column:
@@ -83,7 +87,7 @@ def _labelled(text: Column) -> Column:
         null.alias("inside"), F.lit(False).alias("lazy"),
         F.array().cast(f"array<{_LINE}>").alias("out"),
     ).cast(_STATE)
-    return F.aggregate(numbered, start, step, lambda s: s["out"])
+    return textops.let(numbered, lambda n: textops.gathered(n, start, step, "out"))
 
 
 _PIECE = "struct<text:string,line_start:int,line_end:int>"

@@ -58,7 +58,7 @@ def _outside_regions(lines: Column) -> Column:
         F.lit(False).alias("quoted"),
         F.array().cast("array<struct<pos:int,line:string>>").alias("kept"),
     ).cast(_STATE)
-    return F.aggregate(numbered, start, step, lambda s: s["kept"])
+    return textops.let(numbered, lambda n: textops.gathered(n, start, step, "kept"))
 
 
 def prose_lines(records: DataFrame, text: str = "full_text", keep: tuple[str, ...] = ()) -> DataFrame:
