@@ -825,6 +825,32 @@ def hourly_activity(spark, sf_dir):
     )
 
 
+@query("""WITH lost AS (SELECT text, count(*) AS n, min(doc_id) AS doc_id FROM documents WHERE doc_id % 3 = 0 GROUP BY 1),
+ found AS (SELECT text, count(*) AS n, min(doc_id) AS doc_id FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1)
+ SELECT concat('s', lost.doc_id) AS source_id, concat('/old/', lost.doc_id) AS old_path, concat('/new/', found.doc_id) AS new_path
+ FROM lost JOIN found ON lost.text = found.text WHERE lost.n = 1 AND found.n = 1""")
+def renamed_sources(spark, sf_dir):
+    """Every third document vanished from its path; where its content appears once at one new path, it moved."""
+    number = F.col("doc_id").cast("string")
+    gone = F.col("doc_id") % 3 == 0
+    rows = E.table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("s"), number).alias("source_id"),
+        F.concat(F.when(gone, "/old/").otherwise("/new/"), number).alias("path"),
+        F.when(gone, "missing").otherwise("new").alias("change"), F.sha2("text", 256).alias("fingerprint"),
+    )
+    prints = rows.select("path", "fingerprint")
+    return manifest.match_renames(rows.drop("fingerprint"), prints, prints)
+
+
+@query(f"""SELECT record_id, places FROM (
+ SELECT t.record_id, count(o.record_id) AS places, max(event_time) AS seen FROM (SELECT * FROM ({T}) t WHERE session_id = 's5') t
+ JOIN ({OCC}) o ON o.record_id = t.record_id GROUP BY 1) r ORDER BY seen DESC NULLS LAST, record_id LIMIT 50""")
+def session_detail(spark, sf_dir):
+    return views.session_detail(E.records(spark, sf_dir), _located(spark, sf_dir), "s5").select(
+        "record_id", F.col("places").cast("long").alias("places")
+    )
+
+
 _MEMORY = """SELECT concat('m', CAST(p_partkey % 400 AS STRING)) AS memory_id, 'principle' AS kind, p_name AS text,
  CASE WHEN p_partkey % 4 = 0 THEN 'accepted' WHEN p_partkey % 4 = 1 THEN 'rejected' ELSE 'proposed' END AS status,
  CASE WHEN p_partkey % 3 = 0 THEN 'explicit' ELSE 'inferred' END AS origin,

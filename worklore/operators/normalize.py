@@ -491,18 +491,20 @@ def _with_clean_metadata(df: DataFrame, extra: tuple[str, ...]) -> DataFrame:
     return cleaned.withColumn("metadata", F.struct(*fields)).drop("_texts", "_argv")
 
 
-def records_of(events: DataFrame, extra_patterns: tuple[str, ...] = ()) -> DataFrame:
+def records_of(
+    events: DataFrame, extra_patterns: tuple[str, ...] = (), keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Redacted, identified records with their location; one row per occurrence.
 
     `full_text` feeds hashing and extraction and is dropped at the sink; `text`
-    is the stored excerpt.
+    is the stored excerpt.  `keep` names columns of events that rows carry along.
     """
     r = events.filter("record is not null").select(
-        "source_path", "line_no", "locator", "record.*"
+        "source_path", "line_no", "locator", *keep, "record.*"
     )
     clean = lambda c, limit=P.MAX_EXCERPT: textops.redact(F.col(c), limit, extra_patterns)
     cleaned = r.select(
-        "source_path", "line_no", "locator", "provider",
+        "source_path", "line_no", "locator", *keep, "provider",
         clean("session_native_id").alias("session_native_id"),
         clean("native_id").alias("native_id"),
         "actor", "kind",

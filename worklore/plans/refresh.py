@@ -155,10 +155,9 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
         )
         due = events.join(fresh, F.col("source_path") == F.col("_path")).filter("line_no > from_line")
         staged = session.stage(due.drop("_path", "from_line"), "events")
-        placed = staged.select("source_path", "source_id", "generation").distinct()
-        found = normalize.records_of(staged.drop("source_id", "generation"), inputs.extra_patterns)
+        found = normalize.records_of(staged, inputs.extra_patterns, keep=("source_id", "generation"))
         parts.append(
-            found.join(placed, "source_path").withColumn(
+            found.withColumn(
                 "generation_id", F.concat_ws("/", "source_id", F.col("generation").cast("string"))
             ).withColumn("position", F.col("line_no"))
         )

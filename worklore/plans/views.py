@@ -301,12 +301,20 @@ def activity_page(activity: DataFrame, page: int = 50, before: int | None = None
 
 
 def hourly_activity(activity: DataFrame) -> DataFrame:
-    """Rolling 24 h windows every hour per tool; batch twin of the stream."""
-    return activity.groupBy(F.window("at", "24 hours", "1 hour"), "tool").agg(
+    """Rolling 24 h windows every hour per tool; batch twin of the stream.
+
+    Calls are summed per hour first, and only those sums spread over the windows.
+    """
+    hours = activity.groupBy(F.date_trunc("hour", "at").alias("hour"), "tool").agg(
         F.count(F.lit(1)).alias("calls"),
         F.count_if(F.col("status") != "ok").alias("failures"),
         F.sum("duration_ms").alias("total_ms"),
-    ).select(F.col("window.start").alias("window_start"), "tool", "calls", "failures", "total_ms")
+    )
+    starts = F.sequence(F.col("hour") - F.expr("interval 23 hours"), F.col("hour"), F.expr("interval 1 hour"))
+    spread = hours.filter("hour is not null").withColumn("window_start", F.explode(starts))
+    return spread.groupBy("window_start", "tool").agg(
+        *[F.sum(c).alias(c) for c in ("calls", "failures", "total_ms")]
+    )
 
 
 def entity_counts(tables: dict[str, DataFrame]) -> DataFrame:
