@@ -15,7 +15,7 @@ from worklore.operators import (
     associate, docs, evidence, extract, facets, identity, moves, normalize, pack, prose, resolve, search,
 )
 from worklore.plans import context, daily, retention, views
-from worklore.sources import chatstore, manifest, transcripts
+from worklore.sources import chatstore, manifest, sinks, transcripts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -851,6 +851,56 @@ def session_detail(spark, sf_dir):
     )
 
 
+@query("""SELECT user_id % 5 AS part, count(*) AS lines, count(*) FILTER (event_id % 89 = 0 OR event_id % 97 = 0) AS malformed,
+ sum(CASE WHEN event_id % 89 <> 0 AND event_id % 97 <> 0 THEN line_no * event_id END)::BIGINT AS ordered, sum(size)::BIGINT AS bytes
+ FROM (SELECT *, row_number() OVER (PARTITION BY user_id % 5 ORDER BY event_id) AS line_no,
+  1 + CASE WHEN event_id % 97 = 0 THEN 7 WHEN event_id % 89 = 0 THEN 3 ELSE 13 + length(CAST(event_id AS VARCHAR)) END AS size FROM events) e GROUP BY 1""")
+def scanned_transcripts(spark, sf_dir):
+    """Files of lines, some malformed, written, listed, and read back with their numbers."""
+    number = F.col("event_id").cast("string")
+    value = F.when(F.col("event_id") % 97 == 0, "{broken").when(F.col("event_id") % 89 == 0, "[1]").otherwise(
+        F.concat(F.lit('{"event_id":'), number, F.lit("}"))
+    )
+    folder = f"{session.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    rows = E.table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("part"), "event_id", value.alias("value"))
+    rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(folder)
+    part = F.regexp_extract("source_path", "/part=([0-9]+)/", 1).cast("bigint").alias("part")
+    parsed = transcripts.parse_lines(transcripts.read_transcripts(spark, folder, glob="part-*"))
+    counts = parsed.groupBy(part).agg(
+        F.count("*").alias("lines"), F.count_if(F.col("code") == "malformed_record").alias("malformed"),
+        F.sum(F.col("line_no") * jsonops.int_at(F.col("body"), "$.event_id")).cast("long").alias("ordered"),
+    )
+    listed = manifest.build_manifest(spark, [folder], "codex", "part-*").select(
+        F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("bigint").alias("part"), F.col("length").alias("bytes")
+    )
+    return counts.join(listed.groupBy("part").agg(F.sum("bytes").alias("bytes")), "part")
+
+
+@query("""SELECT CASE WHEN event_id % 2 = 0 THEN 1 ELSE 2 END AS run, event_type, count(*) AS records, sum(event_id)::BIGINT AS ids
+ FROM events GROUP BY 1, 2""")
+def appended_records(spark, sf_dir):
+    """Of two overlapping appends, the first writer of a key wins."""
+    path = f"{session.shared_dir(spark)}/appended-{uuid.uuid4().hex}"
+    events = E.table(spark, sf_dir, "events").select("event_id", "event_type")
+    shape = "event_id long, event_type string, run int"
+    for run, rows in ((1, events.filter("event_id % 2 = 0")), (2, events.union(events))):
+        sinks.append_new(rows.withColumn("run", F.lit(run)), sinks.read_table(spark, path, shape), ["event_id"], path)
+    stored = sinks.read_table(spark, path, shape)
+    return stored.groupBy("run", "event_type").agg(F.count("*").alias("records"), F.sum("event_id").alias("ids"))
+
+
+@query(f"""SELECT COALESCE(project_id, 'unassociated') AS scope, concat('Keep probe ', CAST(substring(record_id, 2) AS INT), ' explicit.') AS text,
+ record_id FROM ({T}) t WHERE actor = 'user'""")
+def proposed_principles(spark, sf_dir):
+    """A stated principle becomes a proposal in the scope of its record's project."""
+    number = F.expr("cast(substring(record_id, 2) as int)").cast("string")
+    records = E.spread_records(spark, sf_dir).filter("actor = 'user'").withColumn(
+        "full_text", F.concat(F.lit("PRINCIPLE: Keep probe "), number, F.lit(" explicit."))
+    )
+    found = extract.proposed_principles(extract.extract_items(records), records, F.lit("2026-01-01").cast("timestamp"))
+    return found.filter("status = 'proposed'").select("scope", "text", F.element_at("refs", 1).alias("record_id"))
+
+
 _MEMORY = """SELECT concat('m', CAST(p_partkey % 400 AS STRING)) AS memory_id, 'principle' AS kind, p_name AS text,
  CASE WHEN p_partkey % 4 = 0 THEN 'accepted' WHEN p_partkey % 4 = 1 THEN 'rejected' ELSE 'proposed' END AS status,
  CASE WHEN p_partkey % 3 = 0 THEN 'explicit' ELSE 'inferred' END AS origin,
