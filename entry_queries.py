@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import entry_tables as E
 from worklore import session
 from worklore.functions.plans import settle
-from worklore.functions import hashing, jsonops, ordering, textops
+from worklore.functions import hashing, jsonops, ordering, patterns as P, textops
 from worklore.operators import (
     associate, docs, evidence, extract, facets, identity, moves, normalize, pack, prose, resolve, search,
 )
@@ -901,6 +901,51 @@ def proposed_principles(spark, sf_dir):
     return found.filter("status = 'proposed'").select("scope", "text", F.element_at("refs", 1).alias("record_id"))
 
 
+def _spelled(names: list[str]) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
+def _spelled_records(spark, sf_dir, names, text):
+    """User records whose text starts from the spelling that an event's number picks."""
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % len(names) + 1).cast("int"))
+    rows = E.spread(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("record_id"), name.alias("name"))
+    return rows.select(
+        "record_id", "name", F.lit("codex").alias("provider"), F.lit("user").alias("actor"), F.lit("user_intent").alias("kind"),
+        text(F.col("name"), F.col("record_id")).alias("full_text"), F.lit(None).cast("string").alias("tool"),
+    )
+
+
+_KINDS = [P.MARKERS[n] for n in P.MARKERS]
+
+
+@query(f"""SELECT event_id::VARCHAR AS record_id, name,
+ CASE WHEN meaning IN ('cancelled', 'superseded', 'user_completed') THEN 'correction' ELSE meaning END AS kind,
+ CASE WHEN meaning IN ('cancelled', 'superseded', 'user_completed') THEN meaning ELSE '-' END AS change
+ FROM (SELECT event_id, {_spelled(list(P.MARKERS))}[event_id % {len(P.MARKERS)} + 1] AS name,
+  {_spelled(_KINDS)}[event_id % {len(P.MARKERS)} + 1] AS meaning FROM events) e""")
+def marker_spellings(spark, sf_dir):
+    """Every spelling of a marker gives one item of its kind."""
+    records = _spelled_records(spark, sf_dir, list(P.MARKERS), lambda n, i: F.concat(n, F.lit(": Probe "), i, F.lit(" stays in view.")))
+    items = extract.extract_items(records.drop("name")).select("record_id", "kind", "status")
+    return items.join(records.select("record_id", "name"), "record_id").select(
+        "record_id", "name", "kind", F.when(F.col("kind") == "correction", F.col("status")).otherwise("-").alias("change")
+    )
+
+
+@query(f"""SELECT event_id::VARCHAR AS record_id, CASE WHEN meaning = 'priority' THEN 'high' END AS priority,
+ CASE WHEN meaning = 'rationale' THEN 'high' END AS rationale, CASE WHEN meaning = 'dependencies' THEN 'high' ELSE '' END AS dependencies
+ FROM (SELECT event_id, {_spelled([P.ATTRIBUTE_NAMES[n] for n in P.ATTRIBUTE_NAMES])}[event_id % {len(P.ATTRIBUTE_NAMES)} + 1] AS meaning FROM events) e""")
+def attribute_lines(spark, sf_dir):
+    """Every spelling of an attribute on its own line belongs to the item above it."""
+    records = _spelled_records(
+        spark, sf_dir, list(P.ATTRIBUTE_NAMES),
+        lambda n, i: F.concat(F.lit("TASK: Repair probe "), i, F.lit(".\n"), n, F.lit(": high")),
+    )
+    return extract.extract_items(records.drop("name")).select(
+        "record_id", "priority", "rationale", F.array_join("dependencies", ",").alias("dependencies")
+    )
+
+
 _MEMORY = """SELECT concat('m', CAST(p_partkey % 400 AS STRING)) AS memory_id, 'principle' AS kind, p_name AS text,
  CASE WHEN p_partkey % 4 = 0 THEN 'accepted' WHEN p_partkey % 4 = 1 THEN 'rejected' ELSE 'proposed' END AS status,
  CASE WHEN p_partkey % 3 = 0 THEN 'explicit' ELSE 'inferred' END AS origin,
