@@ -946,6 +946,47 @@ def attribute_lines(spark, sf_dir):
     )
 
 
+# Who says what, and the item that must come of it; a percent sign stands for a number.
+_SAID = [
+    ("user", "Please inspect probe %.", "next_action", "active", "user_intent"),
+    ("user", "If probe % fails we stop.", "constraint", "recorded", "recorded_instruction"),
+    ("user", "Cancel probe %.", "correction", "cancelled", "user_correction"),
+    ("user", "Probe % was completed.", "correction", "user_completed", "user_correction"),
+    ("user", "Probe % is deferred.", "context", "deferred", "recorded_instruction"),
+    ("user", "Probe % is blocked.", "blocker", "blocked", "user_intent"),
+    ("user", "Probe % is unfinished.", "task", "active", "user_intent"),
+    ("user", "No pending work on probe %.", "context", "reported", "user_report"),
+    ("user", "Thanks!", "conversation", "unresolved", "conversation_management"),
+    ("user", "For example probe % is blocked.", None, None, None),
+    ("assistant", "Probe % is blocked.", "blocker", "blocked", "agent_claim"),
+    ("assistant", "Probe % is unfinished.", "task", "active", "agent_claim"),
+    ("assistant", "If probe % fails we stop.", "constraint", "recorded", "agent_proposal"),
+    ("assistant", "Probe % is deferred.", "context", "deferred", "agent_proposal"),
+    ("assistant", "Probe % was fixed and verified.", "claim", "unverified", "agent_claim"),
+    ("assistant", "NEXT: Inspect probe %.", "next_action", "proposed", "agent_proposal"),
+    ("assistant", "DONE: Probe % runs.", "claim", "unverified", "agent_claim"),
+    ("assistant", "Cancel probe %.", None, None, None),
+]
+_SAID_SQL = ", ".join(
+    f"({i}, " + ", ".join("NULL" if x is None else f"'{x}'" for x in (row[0], *row[2:])) + ")" for i, row in enumerate(_SAID)
+)
+
+
+@query(f"""SELECT event_id::VARCHAR AS record_id, actor, kind, status, category FROM events
+ JOIN (VALUES {_SAID_SQL}) s(i, actor, kind, status, category) ON event_id % {len(_SAID)} = i WHERE kind IS NOT NULL""")
+def prose_rungs(spark, sf_dir):
+    """Each rule for unmarked sentences, by who says them."""
+    pick = lambda k: F.element_at(F.array(*[F.lit(row[k]) for row in _SAID]), (F.col("event_id") % len(_SAID) + 1).cast("int"))
+    number = F.col("event_id").cast("string")
+    records = E.spread(spark, sf_dir, "events").select(
+        number.alias("record_id"), F.lit("codex").alias("provider"), pick(0).alias("actor"),
+        F.when(pick(0) == "user", "user_intent").otherwise("agent_claim").alias("kind"),
+        F.replace(pick(1), F.lit("%"), number).alias("full_text"), F.lit(None).cast("string").alias("tool"),
+    )
+    items = extract.extract_items(records).select("record_id", "kind", "status", "category")
+    return items.join(records.select("record_id", "actor"), "record_id").select("record_id", "actor", "kind", "status", "category")
+
+
 _MEMORY = """SELECT concat('m', CAST(p_partkey % 400 AS STRING)) AS memory_id, 'principle' AS kind, p_name AS text,
  CASE WHEN p_partkey % 4 = 0 THEN 'accepted' WHEN p_partkey % 4 = 1 THEN 'rejected' ELSE 'proposed' END AS status,
  CASE WHEN p_partkey % 3 = 0 THEN 'explicit' ELSE 'inferred' END AS origin,
