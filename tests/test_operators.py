@@ -228,6 +228,12 @@ def test_resume_and_export(spark):
     assert [(a.text, a.availability) for a in actions] == [("doc work", "source_partial_last_known_pending"), ("build", "current")]
     assert parts["latest_instruction"].first()["text"] == "keep"
     assert {(r.code, r.detail) for r in parts["uncertainties"].collect()} == {("incomplete_source", "src")}
+    parts = {name: df.cache() for name, df in parts.items()}
+    hard = dict(parts)
+    hard["items"] = parts["items"].withColumn("text", F.concat("text", F.repeat(F.lit("<&*_\"\\"), 80)))
+    for form, budget in (("markdown", 2000), ("json", 2600)):
+        sizes = [len(r["document"]) for r in resume.export(hard, tables["projects"], budget, form).collect()]
+        assert sizes and max(sizes) <= budget
     doc = resume.export(parts, tables["projects"], 4000).first()["document"]
     assert doc.startswith("# Resume: Probe") and len(doc) <= 4000 and "doc work" in doc
     assert json.loads(resume.export(parts, tables["projects"], 4000, "json").first()["document"])["entries"]

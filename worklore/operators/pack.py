@@ -41,48 +41,58 @@ def pack(
     text: str = "text",
     reserved: int = 0,
     max_entries: int | None = None,
+    cost: Column | None = None,
+    room_column: str | None = None,
 ) -> DataFrame:
     """The kept entries of each group with `position` and `used` so far.
 
-    `reserved` is the size of the required document parts.
+    `reserved` is the size of the required document parts.  `cost`: an entry's
+    exact size (at least 1) instead of its text plus an overhead; `room_column`:
+    the room of an entry's group, where groups differ in it.
     """
     if not MIN_BUDGET <= budget <= MAX_BUDGET:
         raise ValueError("export_budget_must_be_2000_to_1000000_characters")
     room = budget - 1 - reserved
     if room < 0:
         raise ValueError("export_budget_too_small_for_required_metadata")
-    cost = (F.length(text) + ENTRY_OVERHEAD).cast("int")
+    least = ENTRY_OVERHEAD if cost is None else 1
+    cost = (F.length(text) + ENTRY_OVERHEAD if cost is None else cost).cast("int")
+    own = F.lit(room) if room_column is None else F.least(F.col(room_column), F.lit(budget)).cast("int")
     rank = F.struct(*order, entry_id)
-    sized = entries.select(group, entry_id, rank.alias("_rank"), cost.alias("_cost")).filter(
-        F.col("_cost") <= room
+    sized = entries.select(group, entry_id, rank.alias("_rank"), cost.alias("_cost"), own.alias("_room")).filter(
+        F.col("_cost") <= F.col("_room")
     )
     alike = W.partitionBy(group, "_cost").orderBy("_rank")
     bounded = (
         sized.withColumn("_r", F.row_number().over(alike))
-        .filter(F.col("_r") <= room // ENTRY_OVERHEAD)
-        .filter(F.col("_r") * F.col("_cost") <= room)
+        .filter(F.col("_r") <= budget // least)
+        .filter(F.col("_r") * F.col("_cost") <= F.col("_room"))
     )
     id_type = dict(entries.dtypes)[entry_id]
     kept_type = f"array<struct<id:{id_type},used:int>>"
-    state = f"struct<used:int,kept:{kept_type}>"
+    state = f"struct<used:int,many:int,kept:{kept_type}>"
     queue = F.sort_array(F.collect_list(F.struct("_rank", "_cost")))
 
     def step(s: Column, e: Column) -> Column:
-        fits = s["used"] + e["_cost"] <= room
+        fits = s["used"] + e["_cost"] <= F.col("_room")
         if max_entries is not None:
-            fits = fits & (F.size(s["kept"]) < max_entries)
+            fits = fits & (s["many"] < max_entries)
         used = F.when(fits, s["used"] + e["_cost"]).otherwise(s["used"])
         item = F.struct(e["_rank"][entry_id].alias("id"), used.alias("used"))
         return F.struct(
             used.alias("used"),
+            (s["many"] + fits.cast("int")).alias("many"),
             F.when(fits, F.array_append(s["kept"], item)).otherwise(s["kept"]).alias("kept"),
         ).cast(state)
 
-    start = F.struct(F.lit(0).alias("used"), F.array().cast(kept_type).alias("kept")).cast(state)
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("many"), F.array().cast(kept_type).alias("kept")).cast(state)
     kept = (
         bounded.groupBy(group)
-        .agg(F.aggregate(queue, start, step, lambda s: s["kept"]).alias("_kept"))
-        .select(F.col(group).alias("_g"), F.posexplode_outer("_kept").alias("_pos", "_k"))
+        .agg(queue.alias("_queue"), F.max("_room").alias("_room"))
+        .select(
+            F.col(group).alias("_g"),
+            F.posexplode_outer(textops.gathered(F.col("_queue"), start, step, "kept")).alias("_pos", "_k"),
+        )
         .filter("_k is not null")
         .select("_g", (F.col("_pos") + 1).alias("position"), F.col("_k.id").alias("_id"), F.col("_k.used").alias("used"))
     )

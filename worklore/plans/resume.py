@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import patterns as P
 from ..operators import evidence as ev, facets, pack, resolve
@@ -88,6 +88,12 @@ def resume(tables: dict[str, DataFrame], project_id: str, limit: int = 50, workt
     return out
 
 
+def _first_items(items: DataFrame) -> DataFrame:
+    """The first items of each project, at most as many as an export lists."""
+    first = F.row_number().over(W.partitionBy("project_id").orderBy("rank"))
+    return items.withColumn("_n", first).filter(F.col("_n") <= pack.MAX_ITEMS).drop("_n")
+
+
 def export_entries(parts: dict[str, DataFrame]) -> DataFrame:
     """Hand-off entries of all collections in priority order: tier, then order."""
     null = F.lit(None).cast("string")
@@ -117,7 +123,7 @@ def export_entries(parts: dict[str, DataFrame]) -> DataFrame:
         ),
         entry(parts["agent_updates"], "context", 7, nth("rank"), "text"),
         entry(
-            parts["items"].filter(~F.col("category").startswith("documented_") & (F.length("text") <= 1500)),
+            _first_items(parts["items"].filter(~F.col("category").startswith("documented_") & (F.length("text") <= 1500))),
             "items", 8, nth("rank"), "text",
         ),
     ]
@@ -130,11 +136,22 @@ def export_entries(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def export(parts: dict[str, DataFrame], projects: DataFrame, budget: int = 24000, format: str = "markdown") -> DataFrame:
-    """Bounded hand-off document per project."""
-    entries = export_entries(parts)
-    reserved = 700
-    kept = pack.pack(entries, budget, ["tier", "place"], reserved=reserved)
+    """Bounded hand-off document per project.
+
+    Lines are rendered first and packed by their exact length, the room being
+    what the project's empty document leaves; a budget below that is an error.
+    """
     line = pack.markdown_line(
         F.col("collection"), F.col("status"), F.col("tier").cast("string"), F.col("text"), F.coalesce("ref", F.lit(""))
     )
-    return pack.export_documents(kept, projects.select("project_id", "name"), line, format)
+    entries = export_entries(parts).withColumn("line", line)
+    named = projects.select("project_id", "name")
+    size = F.length("line") + 1 if format != "json" else F.length(F.to_json(F.array("line"))) - 1
+    none = entries.filter("false").withColumn("position", F.lit(0))
+    empty = pack.export_documents(none, named, F.col("line"), format)
+    small = F.raise_error(F.lit("export_budget_too_small_for_required_metadata")).cast("int")
+    left = F.lit(budget) - F.length("document")
+    rooms = empty.select(F.col("project_id").alias("_p"), F.when(left >= 0, left + 1).otherwise(small).alias("_left"))
+    entries = entries.join(rooms, F.col("project_id") == F.col("_p")).drop("_p")
+    kept = pack.pack(entries, budget, ["tier", "place"], text="line", cost=size, room_column="_left")
+    return pack.export_documents(kept, named, F.col("line"), format)
