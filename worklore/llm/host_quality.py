@@ -95,17 +95,16 @@ def host_rates(failures: DataFrame) -> DataFrame:
     spread of the hosts' rates leaves after what chance alone spreads them; with
     one host or no spread beyond chance it is large and all rates are the mean.
     """
-    total = failures.agg(F.sum("n").alias("all"), F.sum("failed").alias("bad"), F.count("*").alias("hosts"), F.sum(F.col("n") * F.col("n")).alias("squares"))
-    total = total.withColumn("mean", F.col("bad") / F.col("all"))
-    apart = F.sum(F.col("n") * F.pow(F.col("failed") / F.col("n") - F.col("mean"), 2)).alias("apart")
-    spread = failures.crossJoin(F.broadcast(total)).groupBy("all", "hosts", "squares", "mean").agg(apart)  # one row
-    chance = F.col("mean") * (1 - F.col("mean"))
-    beyond = F.try_divide(F.col("apart") - (F.col("hosts") - 1) * chance, F.col("all") - F.col("squares") / F.col("all"))
-    strength = F.when(beyond > 1e-12, F.greatest(chance / beyond - 1, F.lit(1.0))).otherwise(F.lit(1e9))
-    prior = spread.select("mean", strength.alias("strength"))
-    return failures.crossJoin(F.broadcast(prior)).withColumn(
-        "rate", (F.col("failed") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
-    ).drop("mean", "strength")
+    total = failures.agg(F.sum("n").alias("n"), F.sum("failed").alias("bad"), F.count("*").alias("hosts"), F.sum(F.col("n") * F.col("n")).alias("squares")).first()
+    if not total["n"]:
+        return failures.withColumn("rate", F.lit(None).cast("double"))
+    mean = total["bad"] / total["n"]
+    own = F.col("failed") / F.col("n")
+    apart = failures.agg(F.sum(F.col("n") * F.pow(own - mean, 2))).first()[0]
+    chance, freedom = mean * (1 - mean), total["n"] - total["squares"] / total["n"]
+    beyond = (apart - (total["hosts"] - 1) * chance) / freedom if total["hosts"] > 1 else 0.0
+    strength = max(chance / beyond - 1, 1.0) if beyond > 1e-12 else 1e9
+    return failures.withColumn("rate", (F.col("failed") + mean * strength) / (F.col("n") + strength))
 
 
 def _judged(documents: DataFrame, host: str, most: float) -> DataFrame:

@@ -35,17 +35,16 @@ def byte_shards(df: DataFrame, shards: int, *order: str, size: str = "size") ->
         F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"),
         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("base_rows"),
     )
-    all_bytes = totals.agg(F.sum("bytes").cast("decimal(38,0)").alias("all_bytes"))
-    cuts = bases.join(F.broadcast(all_bytes))  # one row
+    all_bytes = totals.agg(F.sum("bytes")).first()[0] or 1
     start = (F.col("base") + F.col("above")).cast("decimal(38,0)")
     # div keeps whole numbers, so equal cuts fall alike on every engine
-    placed = inside.join(cuts, "part").withColumns(
+    placed = inside.join(bases, "part").withColumns(
         {
             "start": start,
             "row": F.col("base_rows") + F.col("nth"),
         }
     )
-    shard = F.expr(f"cast(start * {int(shards)} div all_bytes as int)")
+    shard = F.expr(f"cast(start * {int(shards)} div {int(all_bytes)} as int)")
     placed = placed.withColumn("shard", F.least(shard, F.lit(shards - 1)))
     firsts = placed.groupBy("shard").agg(F.min("row").alias("first"))  # a row per shard
     return placed.join(firsts, "shard").select(*df.columns, "shard", (F.col("row") - F.col("first")).alias("slot"))
