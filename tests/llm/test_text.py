@@ -48,6 +48,19 @@ def test_similar_documents_odd_rows(odd, odd_rows, none):
     assert ngram_join.keep_one_of_each(none).count() == 0
 
 
+def test_members_of_one_group_link_past_its_lead(spark):
+    """Documents 1 to 4 form one group that shares no n-gram with another; 3 and 4 resemble each other but not 1."""
+    text = [f"t{i}" for i in range(103)]
+    changed = {1: (20, 40), 2: (20, 40), 3: (30, 50), 4: (30, 50)} | {i: (70, 80) for i in range(5, 25)}
+    rows = []
+    for number, places in changed.items():
+        own = [f"own{number}x{i}" if i in places else word for i, word in enumerate(text)]
+        rows.append((number, " ".join(own), "en", "s", 0))
+    want, _ = plain.component_ids([r[:2] for r in rows], 4, 85)
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(spark.createDataFrame(rows, DOCUMENTS), 4, 85).collect()}
+    assert got == dict(zip(changed, want, strict=True)) and got[4] == 3 and got[2] == 1
+
+
 def test_long_chains_are_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i != 30] + [(100, 5)], "a long, b long")
     roots = {r.node: r.root for r in components.components(links).collect()}
