@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import entry_tables as E
 from worklore import session
@@ -418,14 +418,14 @@ def nested_content(spark, sf_dir):
 @query("""SELECT event_type, count(*) AS items, min(item) AS first_text, sum(length(item))::BIGINT AS letters
  FROM (SELECT event_type, concat('Repair probe ', CAST(event_id AS VARCHAR), '.') AS item FROM events) e GROUP BY 1""")
 def long_records(spark, sf_dir):
-    """Records with as many statements as an event type has events: none is left out."""
-    line = F.concat(F.lit("TASK: Repair probe "), F.col("event_id").cast("string"), F.lit("."))
-    texts = E.table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    """Records of up to 3000 statements: none is left out."""
+    texts = E.statement_texts(E.table(spark, sf_dir, "events"))
     records = texts.select(
-        F.col("event_type").alias("record_id"), F.lit("codex").alias("provider"), F.lit("user").alias("actor"),
+        F.to_json(F.struct("event_type", "block")).alias("record_id"), F.lit("codex").alias("provider"), F.lit("user").alias("actor"),
         F.lit("user_intent").alias("kind"), F.col("text").alias("full_text"), F.lit(None).cast("string").alias("tool"),
     )
-    return extract.extract_items(records).groupBy(F.col("record_id").alias("event_type")).agg(
+    event_type = F.get_json_object("record_id", "$.event_type").alias("event_type")
+    return extract.extract_items(records).groupBy(event_type).agg(
         F.count("*").alias("items"), F.min("text").alias("first_text"), F.sum(F.length("text")).cast("long").alias("letters")
     )
 
@@ -433,21 +433,18 @@ def long_records(spark, sf_dir):
 @query("""SELECT user_id % 2 AS doc, count(*) AS sections, min(event_id)::VARCHAR AS first_id, sum(length(concat('Body of probe ', event_id, '.')))::BIGINT AS letters
  FROM events GROUP BY 1""")
 def long_documents(spark, sf_dir):
-    """Documents with a section for every event of half the users: none is left out."""
-    number = F.col("event_id").cast("string")
-    part = F.struct("event_id", F.concat(F.lit("# Probe "), number, F.lit("\nBody of probe "), number, F.lit(".")).alias("text"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n")
-    texts = E.table(spark, sf_dir, "events").groupBy((F.col("user_id") % 2).cast("string").alias("document_id")).agg(joined.alias("text"))
+    """Documents of up to 6000 sections, for either half of the users: none is left out."""
+    texts = E.section_texts(E.table(spark, sf_dir, "events"))
     documents = texts.select(
         "document_id", "text", F.concat("document_id", F.lit(".md")).alias("relative_path"), F.lit("/r").alias("root_path"),
         F.sha2("text", 256).alias("fingerprint"),
     )
     records = docs.section_records(documents, F.lit("2026-01-01").cast("timestamp"))
     body = F.regexp_extract("full_text", r"Body of probe [0-9]+\.", 0)
-    return records.groupBy(F.col("session_native_id").cast("bigint").alias("doc")).agg(
-        F.count("*").alias("sections"),
-        F.min_by(F.regexp_extract("full_text", r"probe ([0-9]+)\.", 1), "line_no").alias("first_id"),
-        F.sum(F.length(body)).cast("long").alias("letters"),
+    number = F.regexp_extract("full_text", r"probe ([0-9]+)\.", 1).cast("bigint")
+    doc = F.substring_index("session_native_id", ".", 1).cast("bigint").alias("doc")
+    return records.groupBy(doc).agg(
+        F.count("*").alias("sections"), F.min(number).cast("string").alias("first_id"), F.sum(F.length(body)).cast("long").alias("letters")
     )
 
 
@@ -862,13 +859,22 @@ def scanned_transcripts(spark, sf_dir):
         F.concat(F.lit('{"event_id":'), number, F.lit("}"))
     )
     folder = f"{session.shared_dir(spark)}/lines-{uuid.uuid4().hex}"
-    rows = E.table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("part"), "event_id", value.alias("value"))
-    rows.repartition("part").sortWithinPartitions("part", "event_id").select("part", "value").write.partitionBy("part").text(folder)
+    block = F.floor(F.col("event_id") / 20000).alias("block")
+    rows = E.table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("part"), block, "event_id", value.alias("value"))
+    rows = rows.repartition("part", "block").sortWithinPartitions("part", "block", "event_id").drop("event_id")
+    rows.write.partitionBy("part", "block").text(folder)
     part = F.regexp_extract("source_path", "/part=([0-9]+)/", 1).cast("bigint").alias("part")
+    block = F.regexp_extract("source_path", "/block=([0-9]+)/", 1).cast("bigint").alias("block")
     parsed = transcripts.parse_lines(transcripts.read_transcripts(spark, folder, glob="part-*"))
-    counts = parsed.groupBy(part).agg(
+    number = jsonops.int_at(F.col("body"), "$.event_id")
+    files = parsed.groupBy(part, block).agg(
         F.count("*").alias("lines"), F.count_if(F.col("code") == "malformed_record").alias("malformed"),
-        F.sum(F.col("line_no") * jsonops.int_at(F.col("body"), "$.event_id")).cast("long").alias("ordered"),
+        F.sum(F.col("line_no") * number).alias("ordered"), F.sum(number).alias("ids"),
+    )
+    earlier = F.sum("lines").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    counts = files.withColumn("earlier", F.coalesce(earlier, F.lit(0))).groupBy("part").agg(
+        F.sum("lines").alias("lines"), F.sum("malformed").alias("malformed"),
+        F.sum(F.col("ordered") + F.col("earlier") * F.col("ids")).cast("long").alias("ordered"),
     )
     listed = manifest.build_manifest(spark, [folder], "codex", "part-*").select(
         F.regexp_extract("path", "/part=([0-9]+)/", 1).cast("bigint").alias("part"), F.col("length").alias("bytes")

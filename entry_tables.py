@@ -165,3 +165,21 @@ def view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_items(view(spark, sf_dir), derived(spark, sf_dir, CORRECTIONS))
+
+
+def statement_texts(events: DataFrame) -> DataFrame:
+    """(event_type, block, text) of up to 3000 statements: more events give more texts, not longer ones."""
+    line = F.concat(F.lit("TASK: Repair probe "), F.col("event_id").cast("string"), F.lit("."))
+    return events.groupBy("event_type", F.floor(F.col("event_id") / 3000).alias("block")).agg(
+        F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text")
+    )
+
+
+def section_texts(events: DataFrame) -> DataFrame:
+    """(document_id, text) of up to 6000 sections; an id is a half of the users, a point and a block."""
+    number = F.col("event_id").cast("string")
+    part = F.struct("event_id", F.concat(F.lit("# Probe "), number, F.lit("\nBody of probe "), number, F.lit(".")).alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n")
+    block = F.floor(F.col("event_id") / 6000).cast("string")
+    document_id = F.concat((F.col("user_id") % 2).cast("string"), F.lit("."), block).alias("document_id")
+    return events.groupBy(document_id).agg(joined.alias("text"))
