@@ -99,6 +99,30 @@ def test_templates(spark, tree):
     assert url_templates.judge_urls(pages, labels).count() == pages.count()
 
 
+def test_a_bad_branch_is_told_apart_among_many_and_far_down(spark):
+    """One spam section of 21, of 40, and a bad branch at the seventh segment."""
+    pages, labels = [], []
+
+    def add(url, good):
+        pages.append((len(pages), url))
+        labels.append((len(pages) - 1, good))
+
+    for sections in (21, 40):
+        for section in range(sections):
+            for i in range(30):
+                add(f"http://host{sections}.net/s{section}/{i * 37}.html", section != 7)
+    for name in ("fine", "good", "spam"):
+        for i in range(30):
+            add(f"http://deep.net/a/b/c/d/e/f/{name}/{i * 37}.html", name != "spam")
+    pages += [(9001, "http://host40.net/s7/new.html"), (9002, "http://host40.net/unknown/new.html"), (9003, "http://deep.net/a/b/c/d/e/f/spam/new.html")]
+    got = url_templates.judge_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, good boolean"))
+    rows = {r.page_id: r for r in got.collect()}
+    assert len(rows) == len(pages)
+    for page_id, url in pages:
+        assert rows[page_id].verdict == ("block" if "/s7/" in url or "/spam/" in url else "allow"), rows[page_id]
+    assert "|+" not in rows[0].template and rows[700].template.endswith("|+19/*")
+
+
 def test_urls_without_labels_or_pages(tree):
     pages, labels = tree
     assert url_templates.judge_urls(pages, labels.limit(0)).where("verdict != 'allow'").count() == 0

@@ -1,8 +1,8 @@
 """Verdicts on urls from a tree of path templates per host.
 
 Segment by segment, from the host down, a branch whose next segments vary (many
-different ones, or nearly one for every page) goes on as one wildcard; other
-segments keep their names.  From the leaves up, sibling branches whose labelled
+different ones, or nearly one for every page) goes on as one wildcard; segments
+with labels enough of their own keep their names, as do all others.  From the leaves up, sibling branches whose labelled
 rates do not differ by more than chance are merged into one branch.
 A template whose smoothed share of good labels is low is refused.  Listed rules
 come before templates.
@@ -47,39 +47,42 @@ def matching_rule(rules: Sequence[tuple[str, str]], host: Column, path: Column)
     return rule, verdict
 
 
-def _generalised(paths: DataFrame, depth: int, children: int, least: int) -> DataFrame:
+def _generalised(paths: DataFrame, depth: int | None, children: int, least: int, own: int) -> DataFrame:
     """Adds template (array of segments) to rows (host, path, n, good, labelled)."""
     rows = paths.withColumns({"segments": F.split("path", "/"), "template": F.array().cast("array<string>")})
     deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    for level in range(min(depth, deepest)):
-        rows = rows.withColumn("next", F.get("segments", F.lit(level)))
-        named = rows.where("next is not null").groupBy("host", "template", "next").agg(F.sum("n").alias("n"))
+    finished = []
+    for level in range(deepest if depth is None else min(depth, deepest)):
+        finished.append(rows.where(F.size("segments") <= level))
+        rows = rows.where(F.size("segments") > level).withColumn("next", F.get("segments", F.lit(level)))
+        named = rows.groupBy("host", "template", "next").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"))
         nodes = named.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("pages"))
         varied = (F.col("kinds") > children) | ((F.col("pages") >= least) & (2 * F.col("kinds") > F.col("pages")))
         nodes = nodes.select("host", "template", varied.alias("varied"))
-        step = F.when(F.col("varied"), F.lit("*")).otherwise(F.col("next"))
-        rows = rows.join(nodes, ["host", "template"], "left").withColumn(
-            "template", F.when(F.col("next").isNull(), F.col("template")).otherwise(F.concat("template", F.array(step)))
-        )
-        rows = session.stage(rows.drop("next", "varied"), "templates")
-    if deepest > depth:
+        kept = named.where(F.col("labelled") >= own).select("host", "template", "next", F.lit(True).alias("kept"))
+        step = F.when(F.col("varied") & F.col("kept").isNull(), F.lit("*")).otherwise(F.col("next"))
+        rows = rows.join(nodes, ["host", "template"]).join(kept, ["host", "template", "next"], "left")
+        rows = rows.withColumn("template", F.concat("template", F.array(step)))
+        rows = session.stage(rows.drop("next", "varied", "kept"), "templates")
+    if depth is not None and deepest > depth:
         deeper = F.size("segments") > depth
         rows = rows.withColumn("template", F.when(deeper, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")))
+    for part in finished:
+        rows = rows.unionByName(part)
     return rows.drop("segments")
 
 
-def _merged(leaves: DataFrame, depth: int, z: float) -> DataFrame:
+def _merged(leaves: DataFrame, depth: int, z: float, shown: int) -> DataFrame:
     """(host, template, merged): branches after merging siblings alike in their labels.
 
     At each level, from the deepest up, siblings (equal in host and all other
     segments) are sorted by their share of good labels and cut where neighbours
     differ by more than z standard errors; what lies between two cuts becomes one
-    branch, named by all its segments.  A branch without labels stays by itself.
-    Siblings are few: where segments vary there is one wildcard.
+    branch, named by its segments (the first `shown` and the number of others: a
+    segment is in one branch only).  A branch without labels stays by itself.
     """
     rows = leaves.withColumn("merged", F.col("template"))
     siblings = Window.partitionBy("host", "masked").orderBy("share", "segment")
-    cluster = Window.partitionBy("host", "masked", "cluster")
     for level in reversed(range(depth)):
         masked = F.transform("merged", lambda x, i: F.when(i == level, F.lit("")).otherwise(x))
         rows = rows.withColumns({"masked": masked, "segment": F.get("merged", F.lit(level))})
@@ -90,7 +93,11 @@ def _merged(leaves: DataFrame, depth: int, z: float) -> DataFrame:
         error = F.sqrt(pool * (1 - pool) * (1 / F.col("labelled") + 1 / before["labelled"]))
         cut = F.coalesce((F.col("share") - before["share"] > z * error).cast("int"), F.lit(0))
         groups = own.withColumn("cut", cut).withColumn("cluster", F.sum("cut").over(siblings))
-        names = groups.withColumn("name", F.array_join(F.array_sort(F.collect_set("segment").over(cluster)), "|"))
+        groups = groups.select("host", "masked", "segment", "cluster")
+        alike = groups.groupBy("host", "masked", "cluster").agg(F.array_sort(F.collect_set("segment")).alias("all"))
+        others = F.when(F.size("all") > shown, F.concat(F.lit("|+"), F.size("all") - shown)).otherwise("")
+        name = F.concat(F.array_join(F.slice("all", 1, shown), "|"), others).alias("name")
+        names = groups.join(alike.select("host", "masked", "cluster", name), ["host", "masked", "cluster"])
         rows = rows.join(names.select("host", "masked", "segment", "name"), ["host", "masked", "segment"], "left")
         named = F.transform("merged", lambda x, i: F.when((i == level) & F.col("name").isNotNull(), F.col("name")).otherwise(x))
         rows = session.stage(rows.withColumn("merged", named).drop("name", "masked", "segment"), "branches")
@@ -101,18 +108,20 @@ def judge_urls(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str]] = (),
-    depth: int = 6,
+    depth: int | None = None,
     children: int = 20,
     least: int = 10,
+    own: int = 5,
     z: float = 1.96,
     weight: float = 4.0,
     purity: float = 0.5,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every page.
 
-    labels: (page_id, good) for some pages.  depth: segments told apart; longer
-    paths share the rest as one wildcard.  children, least: more than `children`
+    labels: (page_id, good) for some pages.  children, least: more than `children`
     next segments, or from `least` pages on over half as many as pages, vary.
+    own: labels that keep a segment's name where segments vary.  depth: where
+    given, segments told apart; longer paths share the rest as one wildcard.
     weight: labels' worth of the overall share that smooths every template's.
     A null url has an empty host and path.  Repeated pages stay repeated, and
     count as often; several labels of a page all count.  Without any labels
@@ -133,11 +142,11 @@ def judge_urls(
         ),
         "paths",
     )
-    templates = session.stage(_generalised(paths, depth, children, least), "templates")
+    templates = session.stage(_generalised(paths, depth, children, least, own), "templates")
     leaves = templates.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
     leaves = session.stage(leaves, "leaves")
     levels = leaves.agg(F.max(F.size("template"))).first()[0] or 0
-    merged = _merged(leaves, levels, z)
+    merged = _merged(leaves, levels, z, children)
     total = leaves.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).first()
     prior = (total["g"] / total["l"]) if total["l"] else 1.0
     stats = leaves.join(merged, ["host", "template"])
