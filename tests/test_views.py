@@ -38,3 +38,15 @@ def test_segment_globs(spark):
     }
     for (glob, path), want in cases.items():
         assert spark.range(1).select(F.lit(path).rlike(pathops.segment_glob(glob))).first()[0] is want, (glob, path)
+
+
+def test_latest_instruction_is_found_behind_many_acknowledgements(spark):
+    from worklore.plans import context
+
+    rows = [("p", f"r{i:02}", f"2026-01-01 00:{i:02}:00", "thanks") for i in range(1, 40)]
+    rows += [("p", "r00", "2026-01-01 00:00:00", "Repair the probe."), ("p", "old", None, "Inspect the probe.")]
+    records = spark.createDataFrame(rows, "project_id string, record_id string, event_time string, text string").selectExpr(
+        "*", "'user' AS actor", "'w' AS worktree_id"
+    ).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    found = context.latest_instruction(records, records.select("record_id")).collect()
+    assert [(r.project_id, r.record_id, r.text) for r in found] == [("p", "r00", "Repair the probe.")]

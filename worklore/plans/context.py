@@ -8,7 +8,6 @@ from ..functions import patterns as P, textops
 from ..operators import evidence as ev
 
 WINDOW_ROWS = 60
-INSTRUCTION_ROWS = 20
 
 
 def _newest(per: str, id_column: str = "record_id"):
@@ -35,16 +34,13 @@ def recent_context(records: DataFrame, per: str = "project_id") -> DataFrame:
 
 
 def latest_instruction(records: DataFrame, current_ids: DataFrame, per: str = "project_id") -> DataFrame:
-    """First substantive one of the newest current user records per project."""
-    mine = records.filter(F.col(per).isNotNull() & (F.col("actor") == "user")).join(
+    """Newest substantive one of all current user records per project."""
+    said = records.filter(F.col(per).isNotNull() & (F.col("actor") == "user") & is_substantive(F.col("text"))).join(
         current_ids, "record_id", "left_semi"
     )
-    newest = mine.withColumn("_r", F.row_number().over(_newest(per))).filter(
-        F.col("_r") <= INSTRUCTION_ROWS
-    )
-    said = newest.filter(is_substantive(F.col("text")))
+    newest_first = F.struct(F.col("event_time").isNull(), -F.unix_micros("event_time"), F.col("record_id"))
     return said.groupBy(per).agg(
-        F.min_by(F.struct("record_id", "worktree_id", "event_time", "text"), "_r").alias("_i")
+        F.min_by(F.struct("record_id", "worktree_id", "event_time", "text"), newest_first).alias("_i")
     ).select(
         per, "_i.record_id", "_i.worktree_id", "_i.event_time",
         F.substring("_i.text", 1, 4000).alias("text"),
