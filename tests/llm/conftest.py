@@ -25,6 +25,11 @@ def odd_rows():
         9: "first own line here\n" + passage + "\nlast own line here", 10: passage, 11: "x " * 40, 12: "Straße Σίσυφος 日本語 e\u0301 \u00a0",
         13: "same same same\nsame same same\n\nsame same same", 14: "\n".join(["rep eat"] * 9), 15: "'ll 'S don't", 16: "ends with feed\n",
     }
+    for n, step in enumerate((10, 11, 12)):  # regular words that power sums cannot tell apart
+        turns = [bin(i).count("1") % 2 for i in range(1 << step)]
+        texts[20 + n] = "".join("ab"[x] for x in turns) + "\n" + "".join("ba"[x] for x in turns)
+        texts[30 + n] = "".join("-="[x] for x in turns)
+        texts[40 + n] = "".join("=-"[x] for x in turns)
     rows = [(i, t, "en", "s" if i % 2 else None, None) for i, t in texts.items()]
     return [*rows, rows[7], rows[4], (None, "no id here", None, "s", 3), (8, "other text under a used id", "en", "s", 1)]
 

@@ -7,6 +7,7 @@ batch costs the same whether it holds many short texts or a few long ones.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,8 @@ except OSError:  # another C library has no such call
     _LIBC = None
 
 _ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_LONG = 2048  # bytes
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -31,37 +33,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) <= n:
-            size = 1 << int(n + 1).bit_length()
-            inverse = pow(_ODD, -1, 1 << 64)
-            for name, base in (("up", _ODD), ("down", inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for every span; equal spans hash equal.
+    """A 64-bit hash of values[start:end] for every span, never 0; equal spans hash equal.
 
-    values: an array of small integers, as bytes or code units.
+    values: bytes or 16-bit code units.  A span is folded eight bytes at a time, with
+    a bijective scramble between the steps, so that spans of one length that first
+    differ in some step differ after it; long spans go through a digest.
     """
-    up, down = _POWERS.to(len(values))
-    table = _mixed(np.arange(1, int(values.max(initial=0)) + 2, dtype=np.uint64) * np.uint64(_ODD))
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(table[values] * up[: len(values)], out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    size = values.dtype.itemsize
+    raw = np.concatenate([np.ascontiguousarray(values).view(np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) - 7, np.uint64, raw, strides=(1,))
+    at, left = np.asarray(starts, np.int64) * size, (np.asarray(ends, np.int64) - starts) * size
+    out = _mixed((left.astype(np.uint64) + np.uint64(1)) * np.uint64(_ODD))
+    for i in np.flatnonzero(left > _LONG):
+        digest = hashlib.blake2b(raw[at[i] : at[i] + left[i]], digest_size=8).digest()
+        out[i] = int.from_bytes(digest, "little")
+    live = np.flatnonzero((left > 0) & (left <= _LONG))
+    at, left, state = at[live], left[live], out[live]
+    while len(live):
+        block = eight[at] & _KEEP[np.minimum(left, 8)]
+        state = _mixed((state ^ block) * np.uint64(_ODD))
+        more = left > 8
+        out[live[~more]] = state[~more]
+        live, at, left, state = live[more], at[more] + 8, left[more] - 8, state[more]
+    return np.maximum(out, np.uint64(1))
 
 
 @dataclass
