@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from worklore import session
 from worklore.llm import (
     bpe,
+    centroids,
     host_quality,
     line_windows,
     nearest,
@@ -98,6 +99,10 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(pages, page_labels(pages, table(spark, sf_dir, "labels")), URL_RULES)
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("measured")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_records": op1_token_records,
     "op2_packing": op2_packing,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_url_templates": op10_url_templates,
+    "op13_centroids": op13_centroids,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -152,4 +158,31 @@ SELECT doc_id, CASE WHEN gone IS NULL THEN text
        coalesce(len(lines), 0) AS n_lines, coalesce(len(gone), 0) AS n_removed FROM g
 """
 
-CHECKS: dict[str, str] = {"op7_quality_rules": OP7_SQL, "op8_line_dedup": OP8_SQL}
+
+
+def _round_sql(i: int) -> str:
+    return f"""
+d{i} AS (SELECT vec_id, q, cluster, list_sum([(q[i] - c[i]) * (q[i] - c[i]) FOR i IN range(1, 65)]) AS d FROM v, c{i}),
+a{i} AS (SELECT * FROM d{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1),"""
+
+
+def _mean_sql(i: int) -> str:
+    return f"""
+s{i} AS (SELECT cluster, i, sum(q[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) AS t(i) GROUP BY ALL),
+m{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{i} GROUP BY 1),
+c{i + 1} AS (SELECT c{i}.cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON c{i}.cluster = m{i}.cluster),"""
+
+
+OP13_SQL = f"""
+WITH v AS (
+ SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+ WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster, q AS c FROM v ORDER BY cluster LIMIT 16),
+{_round_sql(0)}{_mean_sql(0)}{_round_sql(1)}{_mean_sql(1)}{_round_sql(2)}{_mean_sql(2)}{_round_sql(3)}
+e AS (SELECT cluster, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY 1)
+SELECT vec_id, CAST(a3.cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, cluster_inertia,
+       (SELECT CAST(sum(cluster_inertia) AS BIGINT) FROM e) AS inertia, sha256(array_to_string(c3.c, ',')) AS centroid_sha256
+FROM a3 JOIN e ON a3.cluster = e.cluster JOIN c3 ON a3.cluster = c3.cluster
+"""
+
+CHECKS: dict[str, str] = {"op7_quality_rules": OP7_SQL, "op8_line_dedup": OP8_SQL, "op13_centroids": OP13_SQL}
