@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from worklore import session
 from worklore.llm import (
+    alignment,
     bpe,
     centroids,
     host_quality,
@@ -25,6 +26,7 @@ from worklore.llm import (
 from worklore.llm.shipping import ship
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -99,6 +101,11 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(pages, page_labels(pages, table(spark, sf_dir, "labels")), URL_RULES)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_documents(documents, BYTE_BPE, PIECE_BPE).drop("text")
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(table(spark, sf_dir, "embeddings")).drop("measured")
 
@@ -114,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_url_templates": op10_url_templates,
+    "op12_alignment": op12_alignment,
     "op13_centroids": op13_centroids,
 }
 
