@@ -22,6 +22,7 @@ from worklore.llm import (
     token_counts,
     token_records,
     url_templates,
+    vector_dedup,
 )
 from worklore.llm.shipping import ship
 
@@ -101,6 +102,10 @@ def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_templates.judge_urls(pages, page_labels(pages, table(spark, sf_dir, "labels")), URL_RULES)
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.align_documents(documents, BYTE_BPE, PIECE_BPE).drop("text")
@@ -121,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_sharding": op9_sharding,
     "op10_url_templates": op10_url_templates,
+    "op11_near_vectors": op11_near_vectors,
     "op12_alignment": op12_alignment,
     "op13_centroids": op13_centroids,
 }
