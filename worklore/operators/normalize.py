@@ -44,8 +44,19 @@ def _emit(df: DataFrame, record: Column, code: Column, message: Column | None =
     return settle(emitted).filter(F.col("record").isNotNull() | F.col("code").isNotNull())
 
 
-def normalize_rollout(parsed: DataFrame) -> DataFrame:
-    """Rollout envelopes: `type` x `payload.type`, context carried through the file."""
+CONTEXT = "struct<session:string,line:bigint,boundary:bigint,agent:string,cwd:string>"
+
+
+def _with_context(lines: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """Adds `before`, the context carried into each source (source_path, context); null where there is none."""
+    if prior is None:
+        return lines.withColumn("before", F.lit(None).cast(CONTEXT))
+    known = prior.select(F.col("source_path").alias("_known"), F.col("context").cast(CONTEXT).alias("before"))
+    return lines.join(known, lines.source_path == known._known, "left").drop("_known")
+
+
+def _rollout_lines(parsed: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """Lines with their source's header (`head`) and, where a line sets it, context_cwd."""
     v, p = F.col("body"), F.col("payload")
     base = parsed.select(
         "source_path", "block", "line_no", "locator", "code", "body",
@@ -75,13 +86,15 @@ def normalize_rollout(parsed: DataFrame) -> DataFrame:
                     F.col("line_no").alias("line"),
                     F.coalesce(
                         J.int_at(p, "$.subagent_history_start_ordinal"), F.lit(0)
-                    ).alias("boundary"),
+                    ).cast("long").alias("boundary"),
                 ),
                 "line_no",
-            ).alias("head")
+            ).alias("_own")
         )
     )
-    joined = base.join(heads, base.source_path == heads._path, "left").drop("_path")
+    joined = _with_context(base.join(heads, base.source_path == heads._path, "left").drop("_path"), prior)
+    earlier = F.when(F.col("before.session").isNotNull(), F.struct("before.session", "before.line", "before.boundary"))
+    joined = joined.withColumn("head", F.coalesce(earlier, "_own")).drop("_own")
     started = F.coalesce(F.col("line_no") >= F.col("head.line"), F.lit(False))
     inherited = (
         ~is_header & F.coalesce(F.col("ordinal") < F.col("head.boundary"), F.lit(False))
@@ -91,10 +104,22 @@ def normalize_rollout(parsed: DataFrame) -> DataFrame:
         own_header | (F.col("outer") == "turn_context") & started & ~inherited & F.col("shaped"),
         F.col("payload_cwd"),
     )
+    dropped = (is_header & valid_header & ~own_header) | (started & inherited)
+    return joined.withColumns(
+        {"context_cwd": context, "is_header": is_header, "valid_header": valid_header, "started": started, "_dropped": dropped}
+    )
+
+
+def normalize_rollout(parsed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Rollout envelopes: `type` x `payload.type`, context carried through the file.
+
+    prior (source_path, context): what `contexts` gave for the lines before these.
+    """
+    v, p = F.col("body"), F.col("payload")
     carried = ordering.carry_forward(
-        joined.withColumn("context_cwd", context),
-        ["source_path"], "block", "line_no", ["context_cwd"],
-    ).filter(~(is_header & valid_header & ~own_header) & ~(started & inherited))
+        _rollout_lines(parsed, prior), ["source_path"], "block", "line_no", ["context_cwd"],
+    ).filter(~F.col("_dropped")).withColumn("context_cwd", F.coalesce("context_cwd", "before.cwd"))
+    is_header, valid_header, started = F.col("is_header"), F.col("valid_header"), F.col("started")
 
     outer, inner = F.col("outer"), F.col("inner")
     response, event = outer == "response_item", outer == "event_msg"
@@ -215,8 +240,8 @@ def normalize_rollout(parsed: DataFrame) -> DataFrame:
     return _emit(coded, F.when(keep, record), F.col("_code"))
 
 
-def normalize_messages(parsed: DataFrame) -> DataFrame:
-    """Message envelopes: one record per content block."""
+def _message_lines(parsed: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """Lines with the session, agent and directory that they themselves name, and whether a session was named by then."""
     v = F.col("body")
     named = F.nullif(J.string_at(v, "$.sessionId"), F.lit(""))
     base = parsed.select(
@@ -230,12 +255,24 @@ def normalize_messages(parsed: DataFrame) -> DataFrame:
         .groupBy(F.col("source_path").alias("_path"))
         .agg(F.min("line_no").alias("_first"))
     )
-    joined = base.join(heads, base.source_path == heads._path, "left").drop("_path")
-    started = F.coalesce(F.col("line_no") >= F.col("_first"), F.lit(False))
+    joined = _with_context(base.join(heads, base.source_path == heads._path, "left").drop("_path"), prior)
+    started = F.col("before.session").isNotNull() | F.coalesce(F.col("line_no") >= F.col("_first"), F.lit(False))
+    return joined.withColumn("started", started).withColumn("cwd", F.when(F.col("started"), F.col("cwd")))
+
+
+def normalize_messages(parsed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """Message envelopes: one record per content block.
+
+    prior (source_path, context): what `contexts` gave for the lines before these.
+    """
+    v = F.col("body")
     carried = ordering.carry_forward(
-        joined.withColumn("cwd", F.when(started, F.col("cwd"))),
-        ["source_path"], "block", "line_no", ["root_session", "agent", "cwd"],
-    )
+        _message_lines(parsed, prior), ["source_path"], "block", "line_no", ["root_session", "agent", "cwd"],
+    ).withColumns({
+        "root_session": F.coalesce("root_session", "before.session"),
+        "agent": F.coalesce("agent", "before.agent"), "cwd": F.coalesce("cwd", "before.cwd"),
+    })
+    started = F.col("started")
     message = J.node(v, "$.message")
     shaped = carried.withColumns(
         {
@@ -460,15 +497,38 @@ NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def register(provider: str, normalizer: Callable[[DataFrame], DataFrame]) -> None:
-    """Extension point: parsed lines -> (source_path, line_no, locator, record, code, message)."""
+def register(provider: str, normalizer: Callable[..., DataFrame]) -> None:
+    """Extension point: (parsed lines, prior contexts or None) -> (source_path, line_no, locator, record, code, message)."""
     NORMALIZERS[provider] = normalizer
 
 
-def normalize(provider: str, parsed: DataFrame) -> DataFrame:
+def normalize(provider: str, parsed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
     if provider not in NORMALIZERS:
         raise ValueError("unsupported_format")
-    return NORMALIZERS[provider](parsed)
+    return NORMALIZERS[provider](parsed, prior)
+
+
+def contexts(provider: str, parsed: DataFrame, prior: DataFrame | None = None) -> DataFrame:
+    """(source_path, context): what lines appended later need to know of these and of those before them.
+
+    One row per source of parsed; a provider without carried context gives null.
+    """
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
+    if provider == P.PROVIDER_ROLLOUT:
+        ends = _rollout_lines(parsed, prior).groupBy("source_path").agg(
+            F.first("head", ignorenulls=True).alias("h"), last("context_cwd").alias("cwd"), F.first("before").alias("b")
+        )
+        fields = ["h.session", "h.line", "h.boundary", F.lit(None).cast("string").alias("agent"), F.coalesce("cwd", "b.cwd").alias("cwd")]
+    elif provider == P.PROVIDER_MESSAGES:
+        ends = _message_lines(parsed, prior).groupBy("source_path").agg(
+            last("root_session").alias("session"), last("agent").alias("agent"), last("cwd").alias("cwd"), F.first("before").alias("b")
+        )
+        none = F.lit(None).cast("long")
+        named = {c: F.coalesce(c, "b." + c).alias(c) for c in ("session", "agent", "cwd")}
+        fields = [named["session"], none.alias("line"), none.alias("boundary"), named["agent"], named["cwd"]]
+    else:
+        return parsed.select("source_path", F.lit(None).cast(CONTEXT).alias("context")).distinct()
+    return ends.select("source_path", F.struct(*fields).cast(CONTEXT).alias("context"))
 
 
 def _with_clean_metadata(df: DataFrame, extra: tuple[str, ...]) -> DataFrame:

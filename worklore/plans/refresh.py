@@ -15,16 +15,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schema, session
 from ..functions import hashing, patterns as P
 from ..operators import associate as assoc, docs, extract, identity, normalize, resolve
-from ..sources import chatstore, manifest, sinks, transcripts
+from ..sources import chatstore, manifest, ranges, sinks, transcripts
 
 PIPELINE = "worklore-1"
+UNREADABLE = "source_unreadable"
 RUNS = "run_id long, started_at timestamp, ended_at timestamp, status string, pipeline string, stats map<string,bigint>"
 ITEMS = schema.ITEMS + (
     ", session_id string, native_id string, project_id string, worktree_id string, provider string, "
     "actor string, event_time timestamp, time_status string"
 )
 TABLES = {
-    "records": schema.RECORDS,
+    "records": schema.RECORDS + ", text_digest string",
+    "texts": "digest string, full_text string, bucket string",
+    "marks": "source_id string, byte_offset long, context " + normalize.CONTEXT,
     "occurrences": schema.OCCURRENCES,
     "generations": "generation_id string, source_id string, number int",
     "sources": schema.SOURCES,
@@ -35,9 +38,19 @@ TABLES = {
 }
 
 
+OCCURRING = (
+    "record_id string, session_id string, session_native_id string, native_id string, provider string, actor string, "
+    "kind string, text string, full_text string, event_time timestamp, original_time string, time_status string, cwd string, "
+    f"metadata {schema.METADATA_TYPE}, generation_id string, locator string, position long"
+)
+
+
 @dataclass
 class Inputs:
-    """What a refresh reads: (provider, root paths) pairs, tables and rules."""
+    """What a refresh reads: (provider, root paths) pairs, tables and rules.
+
+    most_statements: records of more statements yield none and are a gap; by default there is no limit.
+    """
 
     transcripts: Sequence[tuple[str, Sequence[str]]] = ()
     documents: DataFrame | None = None
@@ -48,7 +61,9 @@ class Inputs:
     corrections: DataFrame | None = None
     exclusions: Sequence[str] = ()
     extra_patterns: tuple[str, ...] = ()
-    glob: str = "*.jsonl"
+    glob: str = "*.jsonl*"
+    most_statements: int | None = None
+    chunk_bytes: int = ranges.CHUNK
 
 
 class Store:
@@ -65,12 +80,12 @@ class Store:
         return row["n"] or 0
 
     def table(self, name: str) -> DataFrame:
-        """Committed rows; sources and diagnostics are full snapshots of the last run."""
+        """Committed rows; sources, marks and diagnostics are full snapshots of the last run."""
         last = self.last_run()
         rows = sinks.read_table(
             self.spark, f"{self.root}/{name}", TABLES[name] + ", run_id long"
         )
-        if name in ("sources", "diagnostics"):
+        if name in ("sources", "marks", "diagnostics"):
             rows = rows.filter(F.col("run_id") == last)
         else:
             rows = rows.filter(F.col("run_id") <= last)
@@ -82,46 +97,67 @@ class Store:
             return identity.generation_status(rows.drop("run_id").withColumn("status", F.lit("")))
         return rows.drop("run_id")
 
-    def write(self, name: str, df: DataFrame, run_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}/run_id={run_id}")
+    def full_records(self) -> DataFrame:
+        """Records with their whole redacted text as full_text; no source is opened."""
+        texts = self.table("texts").select(F.col("digest").alias("_digest"), F.col("full_text").alias("_whole"))
+        records = self.table("records")
+        joined = records.join(texts, F.col("text_digest") == F.col("_digest"), "left")
+        return joined.select(*records.columns, F.coalesce("_whole", "text").alias("full_text"))
+
+    def write(self, name: str, df: DataFrame, run_id: int, *partition_by: str) -> None:
+        df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{self.root}/{name}/run_id={run_id}")
+
+    def write_texts(self, records: DataFrame, run_id: int) -> None:
+        """Each whole text that a record's excerpt cuts, once, under its digest."""
+        cut = records.filter("text_digest is not null").select(F.col("text_digest").alias("digest"), "full_text")
+        fresh = cut.dropDuplicates(["digest"]).join(self.table("texts").select("digest"), "digest", "left_anti")
+        self.write("texts", fresh.withColumn("bucket", F.substring("digest", 1, 1)), run_id, "bucket")
 
     def commit(self, row: DataFrame) -> None:
         row.write.mode("append").parquet(f"{self.root}/refresh_runs")
 
 
-def _changed_paths(classified: DataFrame, provider: str, changes: Sequence[str]) -> list[str]:
-    """Paths to open.  A scan needs its file list on the driver in any case."""
-    rows = classified.filter((F.col("provider") == provider) & F.col("change").isin(list(changes)))
-    return [r["path"] for r in rows.select("path").toLocalIterator()]
+def text_digest() -> F.Column:
+    """Digest of the whole text where the excerpt is not the whole text."""
+    return F.when(F.col("full_text") != F.col("text"), F.sha2("full_text", 256))
 
 
-def _grown(spark: SparkSession, prior: DataFrame, listing: DataFrame, inputs: Inputs) -> DataFrame | None:
-    """Digests of the known prefix of sources that may have been appended to."""
-    first = manifest.classify_sources(prior, listing)
-    known = prior.select("path", "line")
-    out = None
-    for provider, _ in inputs.transcripts:
-        paths = _changed_paths(first.filter("prior_line > 0"), provider, ["replaced"])
-        if paths:
-            lines = transcripts.read_transcripts(spark, paths, glob=inputs.glob)
-            part = manifest.prefix_digests(lines, known)
-            out = part if out is None else out.unionByName(part)
-    return out
+def _packed_lines(spark: SparkSession, changes: DataFrame, provider: str) -> DataFrame | None:
+    """Lines of changed compressed files, which are read whole; a scan needs its file list on the driver."""
+    rows = changes.filter((F.col("provider") == provider) & F.col("reads") & _packed("path"))
+    paths = [r["path"] for r in rows.select("path").toLocalIterator()]
+    return transcripts.read_transcripts(spark, paths, compressed=True, glob="*") if paths else None
+
+
+def _packed(path: str) -> F.Column:
+    return F.col(path).endswith(".zst")
+
+
+def _measured(listing: DataFrame, prior: DataFrame, known: DataFrame, inputs: Inputs) -> DataFrame:
+    """Chunks of new and changed files, read once for counts and digests."""
+    first = manifest.classify_sources(prior, listing).filter(F.col("change").isin("new", "replaced"))
+    seen = known.select(F.col("source_id"), F.col("byte_offset").alias("seen"))
+    files = first.join(seen, "source_id", "left").filter(~_packed("path")).select(
+        F.col("path").alias("source_path"), F.coalesce("seen", F.lit(0)).cast("long").alias("seen"), "length"
+    )
+    return session.stage(ranges.measured(ranges.chunked(files, inputs.chunk_bytes)), "measured")
 
 
 def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = False) -> DataFrame:
     """Run once and return the report row.
 
-    A changed pipeline version implies a rebuild: every source is read again and
-    all items are derived anew, with explicit corrections carried over.
+    Of an appended file the known prefix is verified by its bytes and only the lines
+    behind it are parsed.  A changed pipeline version implies a rebuild: all items
+    are derived anew from the stored records and whole texts, no source being opened
+    for it, with explicit corrections carried over.  A file that cannot be read is
+    failed and keeps what it had; the others go on.
     """
     store = Store(spark, root)
     rebuild = rebuild or needs_reextraction(store)
     run_id = store.last_run() + 1
     started = spark.sql("select current_timestamp() as t").first()["t"]
     prior = session.stage(store.table("sources"), "prior")
-    if rebuild:
-        prior = prior.withColumns({"length": F.lit(-1).cast("long"), "prefix_hash": F.lit(None).cast("string")})
+    known = session.stage(store.table("marks"), "marks")
 
     listing = None
     for provider, roots in inputs.transcripts:
@@ -131,30 +167,54 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
     listing = empty_listing if listing is None else listing
     listing = listing.filter(transcripts.allowed_path(F.col("path"), inputs.exclusions))
     file_prior = prior.filter(F.col("provider").isin([p for p, _ in inputs.transcripts] or [""]))
-    verified = _grown(spark, file_prior, listing, inputs)
-    changes = session.stage(
-        manifest.next_generation(manifest.classify_sources(file_prior, listing, verified)), "changes"
-    )
-
-    events, digests = None, None
+    chunks = _measured(listing, file_prior, known, inputs)
+    ends = session.stage(ranges.marks(chunks), "ends")
+    verified = ends.filter("seen_hash is not null").select("source_path", F.col("seen_hash").alias("prefix_hash"))
+    classified = manifest.classify_sources(file_prior, listing, verified)
+    broken = ends.filter("error is not null").select(F.col("source_path").alias("path"), F.lit(True).alias("_failed"))
+    classified = classified.join(broken, "path", "left").withColumn("change", F.when(F.col("_failed"), "failed").otherwise(F.col("change"))).drop("_failed")
+    before = known.select("source_id", F.col("byte_offset").alias("_offset"), "context")
+    changes = manifest.next_generation(classified).join(before, "source_id", "left").withColumns(
+        {"from_offset": F.when(F.col("from_line") > 0, F.col("_offset")).otherwise(F.lit(0)).cast("long"),
+         "context": F.when(F.col("from_line") > 0, F.col("context"))}
+    ).drop("_offset")
+    changes = session.stage(changes, "changes")
+
+    events, packed_marks, contexts = None, None, None
     for provider, _ in inputs.transcripts:
-        paths = _changed_paths(changes, provider, ["new", "replaced", "appended", "reread"])
-        if not paths:
-            continue
-        lines = transcripts.read_transcripts(spark, paths, glob=inputs.glob)
-        part = normalize.normalize(provider, transcripts.parse_lines(lines))
-        events = part if events is None else events.unionByName(part)
-        prefix = manifest.prefix_digests(lines)
-        digests = prefix if digests is None else digests.unionByName(prefix)
+        own = changes.filter((F.col("provider") == provider) & F.col("reads"))
+        due = own.filter(~_packed("path")).select(F.col("path").alias("source_path"), "from_offset", F.col("from_line").alias("from_line"), "context")
+        sides = []
+        if due.limit(1).count():
+            # Written once, for numbering, headers and carried context each pass over the lines.
+            lines = session.stage(ranges.read_lines(chunks, due.drop("context")), "lines")
+            sides.append((lines, due.select("source_path", "context")))
+        packed = _packed_lines(spark, changes, provider)
+        if packed is not None:
+            sides.append((packed, None))
+            prefix = manifest.prefix_digests(packed)
+            packed_marks = prefix if packed_marks is None else packed_marks.unionByName(prefix)
+        for lines, prior_context in sides:
+            parsed = transcripts.parse_lines(lines)
+            part = normalize.normalize(provider, parsed, prior_context)
+            events = part if events is None else events.unionByName(part)
+            if prior_context is not None:
+                part = normalize.contexts(provider, parsed.filter("not coalesce(code in ('incomplete_tail', 'oversized_incomplete_tail'), false)"), prior_context)
+                contexts = part if contexts is None else contexts.unionByName(part)
+    digests = ends.filter("error is null").join(changes.filter("reads").select(F.col("path").alias("source_path"), "from_line"), "source_path").select(
+        "source_path", (F.col("from_line") + F.when(F.col("from_line") > 0, F.col("later")).otherwise(F.col("lines"))).alias("line"), "prefix_hash"
+    )
+    if packed_marks is not None:
+        digests = digests.unionByName(packed_marks)
 
     null = F.lit(None).cast("string")
     parts, problems = [], []
     if events is not None:
         fresh = changes.filter("reads").select(
-            F.col("path").alias("_path"), "source_id", "generation", "from_line"
+            F.col("path").alias("_path"), "source_id", "generation"
         )
-        due = events.join(fresh, F.col("source_path") == F.col("_path")).filter("line_no > from_line")
-        staged = session.stage(due.drop("_path", "from_line"), "events")
+        due = events.join(fresh, F.col("source_path") == F.col("_path"))
+        staged = session.stage(due.drop("_path"), "events")
         found = normalize.records_of(staged, inputs.extra_patterns, keep=("source_id", "generation"))
         parts.append(
             found.withColumn(
@@ -162,6 +222,11 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
             ).withColumn("position", F.col("line_no"))
         )
         problems.append(staged.filter("code is not null").select("source_id", "code", "message", "locator", "line_no"))
+    problems.append(
+        ends.filter("error is not null").join(changes.select(F.col("path").alias("source_path"), "source_id"), "source_path").select(
+            "source_id", F.lit(UNREADABLE).alias("code"), F.col("error").alias("message"), null.alias("locator"), F.lit(None).cast("long").alias("line_no")
+        )
+    )
     extra_sources = []
     if inputs.documents is not None:
         sections, source_rows, gaps = _document_parts(store, prior, inputs, run_id)
@@ -175,14 +240,14 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
         problems.append(gaps)
 
     stats = {"sources": changes.filter("change <> 'missing'").count()}
-    for name in ("unchanged", "missing"):
+    for name in ("unchanged", "missing", "failed"):
         stats[name] = changes.filter(F.col("change") == name).count()
     columns = [
         "record_id", "session_id", "session_native_id", "native_id", "provider", "actor", "kind", "text",
         "full_text", "event_time", "original_time", "time_status", "cwd", "metadata", "generation_id",
         "locator", "position",
     ]
-    occurring = None
+    occurring = spark.createDataFrame([], OCCURRING) if rebuild else None
     for part in parts:
         chosen = part.select(*columns)
         occurring = chosen if occurring is None else occurring.unionByName(chosen)
@@ -201,9 +266,10 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
         problems.append(fresh_gaps)
 
     _write_sources(store, prior, changes, digests, extra_sources, problems, run_id)
+    _write_marks(store, known, changes, ends, contexts, run_id)
     written = store.spark.read.schema(TABLES["sources"]).parquet(f"{root.rstrip('/')}/sources/run_id={run_id}")
     stats["partial"] = written.filter("status = 'partial'").count()
-    status = "partial" if stats["partial"] or stats["missing"] else "passed"
+    status = "partial" if stats["partial"] or stats["missing"] or stats["failed"] else "passed"
     report = spark.range(1).select(
         F.lit(run_id).cast("long").alias("run_id"), F.lit(started).alias("started_at"),
         F.current_timestamp().alias("ended_at"), F.lit(status).alias("status"), F.lit(PIPELINE).alias("pipeline"),
@@ -215,19 +281,19 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
 
 def _write_records(
     store: Store, occurring: DataFrame, inputs: Inputs, run_id: int, stats: dict, rebuild: bool
-) -> DataFrame:
+) -> DataFrame | None:
     spark = store.spark
     known = store.table("records").select(F.col("record_id").alias("_known"))
     seen = identity.distinct_records(
         occurring, [c for c in occurring.columns if c not in ("generation_id", "locator", "position")]
-    ).join(known, F.col("record_id") == F.col("_known"), "left")
-    if not rebuild:
-        seen = seen.filter("_known is null")
+    ).join(known, F.col("record_id") == F.col("_known"), "left_anti")
     worktrees = inputs.worktrees if inputs.worktrees is not None else spark.createDataFrame([], schema.WORKTREES)
-    new = session.stage(assoc.associate(seen, worktrees, inputs.associations), "new-records")
-    fresh = new.filter("_known is null")
-    stats["inserted"] = fresh.count()
-    store.write("records", fresh.select(*_names(schema.RECORDS)), run_id)
+    new = session.stage(assoc.associate(seen, worktrees, inputs.associations).withColumn("text_digest", text_digest()), "new-records")
+    stats["inserted"] = new.count()
+    store.write_texts(new, run_id)
+    store.write("records", new.select(*_names(TABLES["records"])), run_id)
+    if rebuild:
+        new = session.stage(store.full_records().unionByName(new.select(*_names(TABLES["records"]), "full_text")), "all-records")
     occurrences = identity.distinct_occurrences(occurring)
     old = store.table("occurrences").select("record_id", "generation_id", "locator")
     store.write(
@@ -242,19 +308,19 @@ def _write_records(
     found = session.stage(
         extract.statements(shaped).unionByName(docs.document_statements(shaped)), "statements"
     )
-    items = resolve.with_scope(extract.number_items(found), new).select(*_names(ITEMS))
+    items = resolve.with_scope(extract.number_items(found, inputs.most_statements), new).select(*_names(ITEMS))
     if rebuild:
         before = store.table("items")
         if inputs.corrections is not None:
             store.write("corrections", identity.carry_overrides(before, items, inputs.corrections), run_id)
-        # Records no longer in any source keep the items they had.
-        items = items.unionByName(before.join(new.select("record_id"), "record_id", "left_anti").select(*_names(ITEMS)))
         stats["items_base"] = run_id
     store.write("items", items, run_id)
-    principles = extract.proposed_principles(extract.number_items(found), new, F.current_timestamp())
+    principles = extract.proposed_principles(extract.number_items(found, inputs.most_statements), new, F.current_timestamp())
     memory = store.table("memory").select("memory_id")
     store.write("memory", principles.join(memory, "memory_id", "left_anti"), run_id)
-    gaps = extract.extraction_gaps(found)
+    if inputs.most_statements is None:
+        return None
+    gaps = extract.extraction_gaps(found, inputs.most_statements)
     # An over-full record is a gap of every source that holds it.
     return gaps.join(occurrences, "record_id").select(
         F.regexp_replace("generation_id", r"/\d+$", "").alias("source_id"), "code",
@@ -283,8 +349,8 @@ def _write_sources(store, prior, changes, digests, extra_sources, problems, run_
     for part in problems:
         fresh = fresh.unionByName(part)
     # Gaps of complete lines stay until that part is verified again; tails are re-judged.
-    kept = store.table("diagnostics").filter(~F.col("code").isin("incomplete_tail", "oversized_incomplete_tail")).join(
-        changes.filter(F.col("change").isin("appended", "unchanged", "missing", "reread")).select("source_id"),
+    kept = store.table("diagnostics").filter(~F.col("code").isin("incomplete_tail", "oversized_incomplete_tail", UNREADABLE)).join(
+        changes.filter(F.col("change").isin("appended", "unchanged", "missing", "reread", "failed")).select("source_id"),
         "source_id", "left_semi",
     )
     tails = store.table("diagnostics").filter(F.col("code").isin("incomplete_tail", "oversized_incomplete_tail")).join(
@@ -293,7 +359,7 @@ def _write_sources(store, prior, changes, digests, extra_sources, problems, run_
     diagnostics = session.stage(fresh.unionByName(kept).unionByName(tails), "diagnostics")
     store.write("diagnostics", diagnostics, run_id)
     broken = diagnostics.select(F.col("source_id").alias("_bad")).distinct()
-    marks = digests if digests is not None else spark.createDataFrame([], "source_path string, line long, prefix_hash string")
+    marks = digests
     old = prior.select(
         F.col("source_id").alias("_old"), F.col("line").alias("_old_line"),
         F.col("prefix_hash").alias("_old_hash"), F.col("last_refresh").alias("_old_refresh"),
@@ -306,7 +372,7 @@ def _write_sources(store, prior, changes, digests, extra_sources, problems, run_
         .join(broken, F.col("source_id") == F.col("_bad"), "left")
         .select(
             "source_id", "provider", "path", null.alias("fingerprint"), "length", "modified_at",
-            F.when(F.col("change") == "missing", "missing").when(F.col("_bad").isNotNull(), "partial").otherwise("ready").alias("status"),
+            F.when(F.col("change").isin("missing", "failed"), F.col("change")).when(F.col("_bad").isNotNull(), "partial").otherwise("ready").alias("status"),
             "generation",
             F.when(read, F.coalesce("_line", F.lit(0))).otherwise(F.col("_old_line")).cast("long").alias("line"),
             F.when(read, F.col("_hash")).otherwise(F.col("_old_hash")).alias("prefix_hash"),
@@ -328,6 +394,17 @@ def _write_sources(store, prior, changes, digests, extra_sources, problems, run_
     )
 
 
+def _write_marks(store: Store, known: DataFrame, changes: DataFrame, ends: DataFrame, contexts: DataFrame | None, run_id: int) -> None:
+    """Where the next run starts in each file, and the context carried to there."""
+    shape = _names(TABLES["marks"])
+    rows = known.join(changes.filter("reads").select("source_id"), "source_id", "left_anti").select(*shape)
+    if contexts is not None:
+        read = changes.filter("reads").select("source_id", F.col("path").alias("source_path"), F.col("context").alias("_before"))
+        done = read.join(ends, "source_path").join(contexts, "source_path", "left")
+        rows = rows.unionByName(done.select("source_id", "byte_offset", F.coalesce("context", "_before").alias("context")))
+    store.write("marks", rows, run_id)
+
+
 def _document_parts(store: Store, prior: DataFrame, inputs: Inputs, run_id: int):
     """Section records of new or changed documents, source rows, and gaps."""
     null = F.lit(None).cast("string")
