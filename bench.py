@@ -14,6 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import entry_queries  # noqa: E402
+import entry_store  # noqa: E402, F401 - adds its queries to those of entry_queries
 from worklore import session  # noqa: E402
 
 HEADLINE = [
@@ -21,6 +22,7 @@ HEADLINE = [
     "daily_actor_groups", "daily_items", "daily_projects", "day_spine", "record_gaps", "record_evidence",
     "current_records", "recent_sessions", "retention_candidates", "directory_association", "redaction",
     "search_documents", "search_index", "document_sections", "packed_documents", "recent_context", "hourly_activity",
+    "appended_tails", "stored_texts", "recorded_moves",
 ]
 
 
