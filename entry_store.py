@@ -263,3 +263,47 @@ def revoked_moves(spark, sf_dir):
     linked = lambda seen: session.stage(moves.move_associations(live, moves.reconcile_moves(live, worktrees, seen, projects)), "linked")
     given = moves.apply_associations(live, linked(observed.limit(0)))
     return moves.revoke_unsupported(given, linked(observed)).select("record_id", "worktree_id", "association_reason")
+
+
+def _shaped(rows: DataFrame, table: str) -> DataFrame:
+    """The columns of a table; those that rows lack are null."""
+    return rows.select(
+        *[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields(refresh.TABLES[table])]
+    )
+
+
+_GONE = f"""SELECT DISTINCT t.session_id FROM ({E.for_check(E.TRANSCRIPTS)}) t JOIN ({E.for_check(E.OCCURRENCES)}) o USING (record_id)
+ JOIN ({E.for_check(E.GENERATIONS)}) g USING (generation_id) JOIN ({E.for_check(E.SOURCES)}) s ON s.source_id = g.source_id
+ WHERE s.path LIKE '/sessions/src3.jsonl'"""
+
+
+@query(f"""WITH gone AS ({_GONE}), kept AS (SELECT * FROM ({E.for_check(E.TRANSCRIPTS)}) t WHERE session_id NOT IN (SELECT session_id FROM gone))
+ SELECT 'records' AS entity, count(*) AS rows, sum(substring(record_id, 2)::BIGINT)::BIGINT AS ids FROM kept
+ UNION ALL SELECT 'items', count(*), sum(substring(record_id, 2)::BIGINT)::BIGINT FROM kept
+ UNION ALL SELECT 'occurrences', count(*), sum(substring(record_id, 2)::BIGINT)::BIGINT FROM ({E.for_check(E.OCCURRENCES)}) o JOIN kept USING (record_id)
+ UNION ALL SELECT 'texts', count(DISTINCT text), 0 FROM kept
+ UNION ALL SELECT 'excluded', count(*), 0 FROM ({E.for_check(E.SOURCES)}) s WHERE path LIKE '/sessions/src3.jsonl'
+ UNION ALL SELECT 'marks', count(*), 0 FROM ({E.for_check(E.SOURCES)}) s WHERE path NOT LIKE '/sessions/src3.jsonl'""")
+def forgotten_store(spark, sf_dir):
+    """A store of two runs after a source was excluded: what hangs on it is gone from every table, the rest is as it was."""
+    store = refresh.Store(spark, _folder(spark, "store"))
+    texts = E.records(spark, sf_dir).withColumn("full_text", F.repeat("text", 200)).withColumn("text", F.substring("full_text", 1, 4096))
+    records = session.stage(texts.withColumn("text_digest", refresh.text_digest()), "records")
+    occurrences, sources = E.derived(spark, sf_dir, E.OCCURRENCES), E.derived(spark, sf_dir, E.SOURCES)
+    number = F.substring("record_id", 2, 20).cast("long")
+    for run in (1, 2):
+        mine = number % 2 == run - 1
+        store.write_texts(records.filter(mine), run)
+        for name, rows in (("records", records), ("occurrences", occurrences), ("items", E.items(spark, sf_dir))):
+            store.write(name, _shaped(rows.filter(mine), name), run)
+        for name, rows in (("sources", sources), ("marks", sources), ("diagnostics", sources.limit(0))):
+            store.write(name, _shaped(rows, name), run)
+        refresh._commit(store, run, spark.sql("select current_timestamp() as t").first()["t"], "passed", {"parsed": 0})
+    store.write("generations", _shaped(E.derived(spark, sf_dir, E.GENERATIONS), "generations"), 2)
+    refresh.exclude_sources(store, "/sessions/src3.jsonl")
+    refresh.purge(store)
+    ids = lambda name: store.table(name).agg(F.lit(name).alias("entity"), F.count("*").alias("rows"), F.sum(number).alias("ids"))
+    count = lambda name, rows: rows.agg(F.lit(name).alias("entity"), F.count("*").alias("rows"), F.lit(0).cast("long").alias("ids"))
+    out = ids("records").unionAll(ids("items")).unionAll(ids("occurrences")).unionAll(count("texts", store.table("texts")))
+    excluded = store.table("sources").filter("status = 'excluded'")
+    return out.unionAll(count("excluded", excluded)).unionAll(count("marks", store.table("marks")))

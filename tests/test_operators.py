@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from worklore import schema
 from worklore.functions import textops
-from worklore.operators import associate, docs, facets, moves, pack, resolve, search
+from worklore.operators import associate, docs, facets, moves, normalize, pack, resolve, search
 from worklore.plans import resume
+from worklore.sources import transcripts
 from worklore.streaming import activity, landing
 
 VIEW = (
@@ -244,20 +245,33 @@ def test_streams(spark, tmp_path):
 
     def drop(name, ids):
         rows = [{"type": "session_meta", "payload": {"id": "s", "cwd": "/w"}}] + [
-            {"timestamp": "2026-01-01T00:00:00Z", "type": "response_item", "payload": {"type": "message", "id": i, "role": "user", "content": f"TASK: {i}"}} for i in ids]
+            {"timestamp": "2026-01-01T00:00:00Z", "type": "response_item", "payload": {"type": "message", "id": i, "role": "user", "content": f"TASK: {i}"}} for i in ids] + [{"type": "mystery", "payload": {}}] * (name == "b")
         open(f"{tmp_path}/in/{name}.jsonl", "w").write("".join(json.dumps(r) + "\n" for r in rows))
 
+    trees = spark.createDataFrame([("w1", "p1", "id1", "/w", True)], schema.WORKTREES)
+
     def go():
-        q = landing.ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp", "codex")
+        landing.arrive(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp1", "codex", trees).awaitTermination(120)
+        q = landing.publish(spark, f"{tmp_path}/out", f"{tmp_path}/cp2")
         q.awaitTermination(120)
+        return q.lastProgress
 
     drop("a", ["1", "2"])
     go()
     drop("b", ["2", "3"])
-    go()
-    rows = spark.read.parquet(f"{tmp_path}/out/records").collect()
-    assert sorted(r.native_id for r in rows) == ["1", "2", "3"] and {r.session_native_id for r in rows} == {"s"}
-    assert spark.read.parquet(f"{tmp_path}/out/undated").count() == 1
+    progress = go()
+    assert progress["sources"][0]["numInputRows"] <= 3  # the second batch reads what arrived for it, not history
+    table = lambda name: spark.read.parquet(f"{tmp_path}/out/{name}")
+    rows = table("records").collect()
+    assert sorted(r.native_id for r in rows) == ["1", "2", "3", "line:1"] and {(r.session_native_id, r.project_id) for r in rows} == {("s", "p1")}
+    # the streams give what one pass over all files gives
+    events = normalize.normalize("codex", transcripts.parse_lines(transcripts.read_transcripts(spark, f"{tmp_path}/in")))
+    whole = normalize.records_of(events)
+    assert {r.record_id for r in rows} == {r.record_id for r in whole.collect()}
+    places = lambda df: sorted((r.record_id, r.locator) for r in df.select("record_id", "locator", "source_path").collect())
+    assert places(table("occurrences")) == places(whole)
+    assert sorted(r.text for r in table("items").collect()) == ["1", "2", "3"] and {r.project_id for r in table("items").collect()} == {"p1"}
+    assert table("gaps").count() == events.filter("code is not null").count() == 1
 
     calls = [(i, T0 + dt.timedelta(minutes=30 * i), "run", "ok" if i % 3 else "failed", 10) for i in range(8)] + [(99, T0 + dt.timedelta(days=9), "run", "ok", 10)]
     spark.createDataFrame(calls, "activity_id long, at timestamp, tool string, status string, duration_ms long").coalesce(1).write.parquet(f"{tmp_path}/act")

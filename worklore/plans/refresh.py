@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema, session
-from ..functions import hashing, patterns as P
-from ..operators import associate as assoc, docs, extract, identity, normalize, resolve
+from ..functions import hashing, pathops, patterns as P
+from ..operators import associate as assoc, docs, evidence, extract, identity, normalize, resolve
 from ..sources import chatstore, manifest, ranges, sinks, transcripts
 
 PIPELINE = "worklore-1"
@@ -27,6 +27,7 @@ ITEMS = schema.ITEMS + (
 TABLES = {
     "records": schema.RECORDS + ", text_digest string",
     "texts": "digest string, full_text string, bucket string",
+    "retired": "name string, retired_run long",
     "marks": "source_id string, byte_offset long, context " + normalize.CONTEXT,
     "occurrences": schema.OCCURRENCES,
     "generations": "generation_id string, source_id string, number int",
@@ -79,8 +80,12 @@ class Store:
         row = self.runs().agg(F.max("run_id").alias("n")).first()
         return row["n"] or 0
 
-    def table(self, name: str) -> DataFrame:
-        """Committed rows; sources, marks and diagnostics are full snapshots of the last run."""
+    def items_base(self) -> int:
+        """The run of the last rebuild, which wrote the items of all records; earlier ones are history."""
+        return self.runs().agg(F.max(F.col("stats")["items_base"]).alias("b")).first()["b"] or 0
+
+    def rows(self, name: str) -> DataFrame:
+        """Committed rows with their run_id; sources, marks and diagnostics are full snapshots of the last run."""
         last = self.last_run()
         rows = sinks.read_table(
             self.spark, f"{self.root}/{name}", TABLES[name] + ", run_id long"
@@ -88,14 +93,21 @@ class Store:
         if name in ("sources", "marks", "diagnostics"):
             rows = rows.filter(F.col("run_id") == last)
         else:
-            rows = rows.filter(F.col("run_id") <= last)
-        if name == "items":
-            # A rebuild writes the items of all records; earlier ones are history.
-            base = self.runs().agg(F.max(F.col("stats")["items_base"]).alias("b")).first()["b"] or 0
-            rows = rows.filter(F.col("run_id") >= base)
+            rows = rows.filter((F.col("run_id") <= last) & ~F.col("run_id").isin(self.retired(name)))
+        return rows.filter(F.col("run_id") >= self.items_base()) if name == "items" else rows
+
+    def table(self, name: str) -> DataFrame:
+        rows = self.rows(name).drop("run_id")
         if name == "generations":
-            return identity.generation_status(rows.drop("run_id").withColumn("status", F.lit("")))
-        return rows.drop("run_id")
+            return identity.generation_status(rows.withColumn("status", F.lit("")))
+        return rows
+
+    def retired(self, name: str) -> list[int]:
+        """Runs whose rows of a table were written anew without forgotten ones; at most one number a run."""
+        if name == "retired":
+            return []
+        rows = self.table("retired").filter(F.col("name") == name)
+        return sorted(r["retired_run"] for r in rows.select("retired_run").distinct().collect())
 
     def full_records(self) -> DataFrame:
         """Records with their whole redacted text as full_text; no source is opened."""
@@ -117,6 +129,74 @@ class Store:
         row.write.mode("append").parquet(f"{self.root}/refresh_runs")
 
 
+def forget_sessions(store: Store, sessions: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Remove sessions (session_id), and what hangs on their records, from every table; returns the report row.
+
+    Only runs that hold such rows are written anew; their old folders are retired
+    with the commit and can then be deleted (`purge`).  Whole texts go when no
+    record points to them any more.  Memory, corrections and other records stay.
+    excluded: sources (source_id) that become `excluded` and lose marks and gaps.
+    """
+    spark, run_id = store.spark, store.last_run() + 1
+    started = spark.sql("select current_timestamp() as t").first()["t"]
+    gone = session.stage(sessions.select("session_id").distinct(), "gone")
+    removed = session.stage(store.table("records").join(gone, "session_id", "left_semi").select("record_id"), "removed")
+    kept_texts = store.table("records").join(gone, "session_id", "left_anti").filter("text_digest is not null").select(F.col("text_digest").alias("digest"))
+    orphans = session.stage(store.table("texts").select("digest").join(kept_texts, "digest", "left_anti"), "orphans")
+    retired: list[tuple[str, int]] = []
+    for name, key, lost in (("records", "record_id", removed), ("occurrences", "record_id", removed), ("items", "record_id", removed), ("texts", "digest", orphans)):
+        rows = store.rows(name)
+        hit = [r["run_id"] for r in rows.join(lost, key, "left_semi").select("run_id").distinct().collect()]  # at most one a run
+        if hit:
+            kept = rows.filter(F.col("run_id").isin(hit)).join(lost, key, "left_anti").select(*_names(TABLES[name]))
+            store.write(name, kept, run_id, *(["bucket"] if name == "texts" else []))
+            retired += [(name, n) for n in hit]
+    store.write("retired", spark.createDataFrame(retired, TABLES["retired"]), run_id)
+    out = excluded.select("source_id").distinct() if excluded is not None else spark.createDataFrame([], "source_id string")
+    out = session.stage(out, "excluded")
+    for name in ("marks", "diagnostics"):
+        store.write(name, store.table(name).join(out, "source_id", "left_anti"), run_id)
+    marked = store.table("sources").join(out.withColumn("_out", F.lit(True)), "source_id", "left")
+    status = F.when(F.col("_out"), "excluded").otherwise(F.col("status"))
+    store.write("sources", marked.withColumn("status", status).select(*_names(TABLES["sources"])), run_id)
+    stats = {"forgotten": removed.count(), "excluded": out.count()}
+    base = store.items_base()
+    if base:
+        stats["items_base"] = base
+    return _commit(store, run_id, started, "passed", stats)
+
+
+def exclude_sources(store: Store, glob: str) -> DataFrame:
+    """Forget every session found in sources whose path or name matches; returns the report row."""
+    regex = pathops.file_glob(glob)
+    sources = store.table("sources").filter(F.col("path").rlike(regex) | pathops.base_name(F.col("path")).rlike(regex))
+    sessions = evidence.sessions_of_sources(
+        store.table("records"), store.table("occurrences"), store.table("generations"), store.table("sources"), glob
+    )
+    return forget_sessions(store, sessions, sources)
+
+
+def purge(store: Store) -> int:
+    """Delete the folders of retired runs; returns how many.  No reader may hold an older snapshot."""
+    jvm, gone = store.spark.sparkContext._jvm, 0
+    for row in store.table("retired").distinct().collect():
+        target = jvm.org.apache.hadoop.fs.Path(f"{store.root}/{row['name']}/run_id={row['retired_run']}")
+        gone += bool(target.getFileSystem(store.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True))
+    return gone
+
+
+def _commit(store: Store, run_id: int, started, status: str, stats: dict[str, int]) -> DataFrame:
+    pairs = [F.lit(x).cast("string" if i % 2 == 0 else "long") for kv in stats.items() for i, x in enumerate(kv)]
+    store.commit(
+        store.spark.range(1).select(
+            F.lit(run_id).cast("long").alias("run_id"), F.lit(started).alias("started_at"),
+            F.current_timestamp().alias("ended_at"), F.lit(status).alias("status"), F.lit(PIPELINE).alias("pipeline"),
+            F.create_map(*pairs).alias("stats"),
+        )
+    )
+    return store.runs().filter(F.col("run_id") == run_id)
+
+
 def text_digest() -> F.Column:
     """Digest of the whole text where the excerpt is not the whole text."""
     return F.when(F.col("full_text") != F.col("text"), F.sha2("full_text", 256))
@@ -174,6 +254,9 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
     broken = ends.filter("error is not null").select(F.col("source_path").alias("path"), F.lit(True).alias("_failed"))
     classified = classified.join(broken, "path", "left").withColumn("change", F.when(F.col("_failed"), "failed").otherwise(F.col("change"))).drop("_failed")
     before = known.select("source_id", F.col("byte_offset").alias("_offset"), "context")
+    ruled_out = (F.col("change") == "missing") & ~transcripts.allowed_path(F.col("path"), inputs.exclusions)
+    gone_by_rule = ruled_out | ((F.col("change") == "missing") & (F.col("prior_status") == "excluded"))
+    classified = classified.withColumn("change", F.when(gone_by_rule, "excluded").otherwise(F.col("change")))
     changes = manifest.next_generation(classified).join(before, "source_id", "left").withColumns(
         {"from_offset": F.when(F.col("from_line") > 0, F.col("_offset")).otherwise(F.lit(0)).cast("long"),
          "context": F.when(F.col("from_line") > 0, F.col("context"))}
@@ -239,8 +322,8 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
         extra_sources.append(source_rows)
         problems.append(gaps)
 
-    stats = {"sources": changes.filter("change <> 'missing'").count()}
-    for name in ("unchanged", "missing", "failed"):
+    stats = {"sources": changes.filter("change not in ('missing', 'excluded')").count()}
+    for name in ("unchanged", "missing", "excluded", "failed"):
         stats[name] = changes.filter(F.col("change") == name).count()
     columns = [
         "record_id", "session_id", "session_native_id", "native_id", "provider", "actor", "kind", "text",
@@ -270,13 +353,7 @@ def refresh(spark: SparkSession, root: str, inputs: Inputs, rebuild: bool = Fals
     written = store.spark.read.schema(TABLES["sources"]).parquet(f"{root.rstrip('/')}/sources/run_id={run_id}")
     stats["partial"] = written.filter("status = 'partial'").count()
     status = "partial" if stats["partial"] or stats["missing"] or stats["failed"] else "passed"
-    report = spark.range(1).select(
-        F.lit(run_id).cast("long").alias("run_id"), F.lit(started).alias("started_at"),
-        F.current_timestamp().alias("ended_at"), F.lit(status).alias("status"), F.lit(PIPELINE).alias("pipeline"),
-        F.create_map(*[F.lit(x).cast("string" if i % 2 == 0 else "long") for kv in stats.items() for i, x in enumerate(kv)]).alias("stats"),
-    )
-    store.commit(report)
-    return store.runs().filter(F.col("run_id") == run_id)
+    return _commit(store, run_id, started, status, stats)
 
 
 def _write_records(
@@ -350,7 +427,7 @@ def _write_sources(store, prior, changes, digests, extra_sources, problems, run_
         fresh = fresh.unionByName(part)
     # Gaps of complete lines stay until that part is verified again; tails are re-judged.
     kept = store.table("diagnostics").filter(~F.col("code").isin("incomplete_tail", "oversized_incomplete_tail", UNREADABLE)).join(
-        changes.filter(F.col("change").isin("appended", "unchanged", "missing", "reread", "failed")).select("source_id"),
+        changes.filter(F.col("change").isin("appended", "unchanged", "missing", "excluded", "reread", "failed")).select("source_id"),
         "source_id", "left_semi",
     )
     tails = store.table("diagnostics").filter(F.col("code").isin("incomplete_tail", "oversized_incomplete_tail")).join(
@@ -372,7 +449,7 @@ def _write_sources(store, prior, changes, digests, extra_sources, problems, run_
         .join(broken, F.col("source_id") == F.col("_bad"), "left")
         .select(
             "source_id", "provider", "path", null.alias("fingerprint"), "length", "modified_at",
-            F.when(F.col("change").isin("missing", "failed"), F.col("change")).when(F.col("_bad").isNotNull(), "partial").otherwise("ready").alias("status"),
+            F.when(F.col("change").isin("missing", "excluded", "failed"), F.col("change")).when(F.col("_bad").isNotNull(), "partial").otherwise("ready").alias("status"),
             "generation",
             F.when(read, F.coalesce("_line", F.lit(0))).otherwise(F.col("_old_line")).cast("long").alias("line"),
             F.when(read, F.col("_hash")).otherwise(F.col("_old_hash")).alias("prefix_hash"),

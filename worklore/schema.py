@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StructField, StructType
 
 # One wide, typed struct instead of a free-form map: columnar, prunable, comparable.
 METADATA_FIELDS: dict[str, str] = {
@@ -126,3 +127,8 @@ def metadata(**given: Column) -> Column:
             for name, kind in METADATA_FIELDS.items()
         ]
     )
+
+
+def fields(table: str) -> list[StructField]:
+    """The columns of a table's DDL."""
+    return StructType.fromDDL(table).fields
