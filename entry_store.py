@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 import entry_tables as E
 from entry_queries import query
@@ -12,7 +12,7 @@ from worklore import schema, session
 from worklore.functions import patterns as P
 from worklore.operators import docs, extract, moves, normalize
 from worklore.plans import refresh
-from worklore.sources import manifest, ranges, transcripts
+from worklore.sources import docfiles, manifest, ranges, transcripts
 
 _EARLY = "event_id % 2000 < 1000"
 
@@ -307,3 +307,25 @@ def forgotten_store(spark, sf_dir):
     out = ids("records").unionAll(ids("items")).unionAll(ids("occurrences")).unionAll(count("texts", store.table("texts")))
     excluded = store.table("sources").filter("status = 'excluded'")
     return out.unionAll(count("excluded", excluded)).unionAll(count("marks", store.table("marks")))
+
+
+@query("""WITH d AS (SELECT doc_id // 50 AS block, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents WHERE text IS NOT NULL GROUP BY 1)
+ SELECT block, 'docs' AS folder, CAST(NULL AS VARCHAR) AS code, sha256(content) AS fingerprint, length(content) AS characters FROM d
+ UNION ALL SELECT block, 'raw', 'document_binary_unsupported', sha256(chr(0) || content), NULL FROM d""")
+def scanned_documents(spark, sf_dir):
+    """A tree of document files, binary ones and a private folder among them; what is private is never opened."""
+    folder = _folder(spark, "tree")
+    rows = E.table(spark, sf_dir, "documents").filter("text is not null").select(F.floor(F.col("doc_id") / 50).alias("block"), "doc_id", "text")
+    dealt = rows.repartition("block").sortWithinPartitions("block", "doc_id")
+    first = F.col("doc_id") == F.min("doc_id").over(Window.partitionBy("block"))
+    raw = rows.withColumn("text", F.when(first, F.concat(F.lit("\x00"), "text")).otherwise(F.col("text")))
+    for place, texts in (("docs", dealt), ("docs/raw", raw.repartition("block").sortWithinPartitions("block", "doc_id")), ("logs", dealt)):
+        texts.select("block", "text").write.mode("append").partitionBy("block").text(f"{folder}/{place}")
+    root = folder.removeprefix("file:").replace("///", "/")
+    found = docfiles.read_documents(spark, root, "p", "w", patterns=["**/part-*.txt"])
+    relative = F.col("relative_path")
+    return found.select(
+        F.regexp_extract(relative, "block=([0-9]+)/", 1).cast("bigint").alias("block"),
+        F.when(relative.startswith("docs/raw/"), "raw").otherwise(F.regexp_extract(relative, "^([^/]+)/", 1)).alias("folder"),
+        "code", "fingerprint", F.length("text").cast("bigint").alias("characters"),
+    )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import hashing, pathops, patterns as P
+from .ranges import open_file
 from .transcripts import allowed_path
 
 
@@ -33,6 +35,25 @@ def is_private(relative: Column) -> Column:
     )
 
 
+def with_content(listed: DataFrame) -> DataFrame:
+    """Adds content (binary) and `unreadable` to a listing (path, ...): only the files of its rows are opened."""
+
+    def run(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arriving:
+            for at, path in enumerate(batch.column("path").to_pylist()):
+                content, failed = None, False
+                try:
+                    with open_file(path) as f:
+                        content = f.read()
+                except OSError:
+                    failed = True
+                row = batch.slice(at, 1)
+                yield row.append_column("content", pa.array([content], pa.binary())).append_column("unreadable", pa.array([failed]))
+
+    kinds = ", ".join(f"`{n}` {t}" for n, t in listed.dtypes)
+    return listed.repartition("path").mapInArrow(run, f"{kinds}, content binary, unreadable boolean")
+
+
 def read_documents(
     spark: SparkSession,
     root: str,
@@ -43,10 +64,13 @@ def read_documents(
     max_depth: int | None = None,
     exclusions: Sequence[str] = (),
 ) -> DataFrame:
-    """Selected documents of one worktree; `code` names why one was rejected."""
+    """Selected documents of one worktree; `code` names why one was rejected.
+
+    Files are listed and selected by path and length first; only those selected are opened.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*").load(root)
+        .option("pathGlobFilter", "*").load(root).select("path", "length", "modificationTime")
     )
     path = F.coalesce(pathops.clean_absolute(F.col("path")), F.col("path"))
     relative = F.substr(F.col("_path"), F.lit(len(root.rstrip("/")) + 2))
@@ -62,14 +86,20 @@ def read_documents(
     if max_depth is not None:
         chosen = chosen.filter(F.size(F.split(rel, "/")) <= max_depth + 1)
     suffix = F.lower(F.regexp_extract(pathops.base_name(rel), r"\.([^.]+)$", 1))
+    too_long = F.col("length") > max_bytes if max_bytes is not None else F.lit(False)
+    wrong_kind = ~suffix.isin(P.DOCUMENT_SUFFIXES) & (F.lower(pathops.base_name(rel)) != "readme")
+    early = F.when(wrong_kind, "document_unsupported_format").when(too_long, "document_byte_limit")
+    judged = chosen.withColumn("_early", early)
+    unopened = judged.filter("_early is not null").withColumns({"content": F.lit(None).cast("binary"), "unreadable": F.lit(False)})
+    chosen = with_content(judged.filter("_early is null")).unionByName(unopened)
     content = F.col("content")
     text = F.try_validate_utf8(F.regexp_replace(content.cast("string"), "^\ufeff", ""))
     code = (
-        F.when(~suffix.isin(P.DOCUMENT_SUFFIXES) & (F.lower(pathops.base_name(rel)) != "readme"), "document_unsupported_format")
-        .when(F.col("length") > max_bytes if max_bytes is not None else F.lit(False), "document_byte_limit")
+        F.when(F.col("_early").isNotNull(), F.col("_early"))
+        .when(F.col("unreadable"), "document_unreadable")
         .when(F.contains(content, F.lit(b"\x00")), "document_binary_unsupported")
+        .when(text.isNull(), "document_encoding_unsupported")
     )
-    code = F.coalesce(code, F.when(text.isNull(), "document_encoding_unsupported"))
     return chosen.select(
         hashing.content_id(F.lit(P.PROVIDER_DOCUMENT), F.lit(worktree_id), rel).alias("document_id"),
         F.lit(project_id).alias("project_id"), F.lit(worktree_id).alias("worktree_id"),

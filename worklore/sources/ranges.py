@@ -25,7 +25,8 @@ _MEASURED = (
 _LINES = "source_path string, block long, line_no long, byte_offset long, value string, tail boolean"
 
 
-def _open(path: str) -> io.BufferedReader:
+def open_file(path: str) -> io.BufferedReader:
+    """A file of any store that the workers' Arrow reaches, for reading."""
     from pyarrow import fs
 
     if path.startswith("file:"):
@@ -47,7 +48,7 @@ def _measure(row: dict) -> dict:
     block, stop, seen = row["block"], row["stop"], row["seen"]
     out = {"lines": 0, "later": 0, "last": None, "whole": None, "upto_last": None, "upto_seen": None, "error": None}
     try:
-        with _open(row["source_path"]) as f:
+        with open_file(row["source_path"]) as f:
             f.seek(block)
             whole, at = hashlib.sha256(), block
             while at < stop:
@@ -156,7 +157,7 @@ def _lines_of(row: dict) -> Iterator[pa.RecordBatch]:
         ]
         return pa.RecordBatch.from_arrays(columns, ["source_path", "block", "line_no", "byte_offset", "value", "tail"])
 
-    with _open(row["source_path"]) as f:
+    with open_file(row["source_path"]) as f:
         if not row["whole"]:  # the line that reaches into this chunk belongs to an earlier one
             f.seek(at - 1)
             skipped = len(f.readline()) - 1
