@@ -31,7 +31,9 @@ def _windows(keyed: DataFrame, size: int) -> DataFrame:
     """One row per window: its hash, the document, and its place among lines with words."""
     numbers = F.sequence(F.lit(1), F.size("at") - (size - 1))
     line = lambda i: F.element_at("lines", F.element_at("at", i))
-    window = lambda i: F.xxhash64(*(line(i + k) for k in range(size)), *(F.octet_length(line(i + k)) for k in range(size)))
+    parts = lambda i: [*(line(i + k) for k in range(size)), *(F.octet_length(line(i + k)) for k in range(size))]
+    # 128 bits: by 64 alone, some of very many windows would be equal by chance
+    window = lambda i: F.struct(F.xxhash64(*parts(i)), F.xxhash64(F.lit("again"), *reversed(parts(i))))
     hashes = F.transform(numbers, window)
     return (
         _with_lines(keyed, F.col("text").isNotNull())
