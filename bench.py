@@ -14,7 +14,8 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import entry_queries  # noqa: E402
-import entry_store  # noqa: E402, F401 - adds its queries to those of entry_queries
+import entry_rules  # noqa: E402, F401 - these add their queries to those of entry_queries
+import entry_store  # noqa: E402, F401
 from worklore import session  # noqa: E402
 
 HEADLINE = [
