@@ -10,6 +10,7 @@ come before templates.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -47,14 +48,40 @@ def matching_rule(rules: Sequence[tuple[str, str]], host: Column, path: Column)
     return rule, verdict
 
 
+def _shared(low: Column, high: Column) -> Column:
+    """How many first segments two arrays have in common."""
+    same = F.zip_with(low, high, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    first = F.array_position(same, False).cast("int")
+    return F.when(first > 0, first - 1).otherwise(F.least(F.size(low), F.size(high)))
+
+
 def _generalised(paths: DataFrame, depth: int | None, children: int, least: int, own: int) -> DataFrame:
-    """Adds template (array of segments) to rows (host, path, n, good, labelled)."""
-    rows = paths.withColumns({"segments": F.split("path", "/"), "template": F.array().cast("array<string>")})
-    deepest = rows.agg(F.max(F.size("segments"))).first()[0] or 0
-    finished = []
-    for level in range(deepest if depth is None else min(depth, deepest)):
-        finished.append(rows.where(F.size("segments") <= level))
-        rows = rows.where(F.size("segments") > level).withColumn("next", F.get("segments", F.lit(level)))
+    """Adds template (array of segments) to rows (host, path, n, good, labelled).
+
+    A round takes every branch to its next fork, over all segments that its paths
+    share (the least and the greatest path of a branch show them), and passes that
+    fork.  So a path that is alone in its branch is done at once, and rounds follow
+    the forks on a path, not its length.  Finished rows go to one folder.
+    """
+    spark = paths.sparkSession
+    whole = F.split("path", "/")
+    segments = whole if depth is None else F.slice(whole, 1, depth)
+    rows = paths.withColumns({"segments": segments, "template": F.array().cast("array<string>")})
+    done = f"{session.shared_dir(spark)}/finished-{uuid.uuid4().hex}"
+    schema = rows.drop("segments").schema
+    while True:
+        rest = F.slice("segments", F.size("template") + 1, F.size("segments"))
+        ends = rows.groupBy("host", "template").agg(F.min(rest).alias("low"), F.max(rest).alias("high"))
+        # One next segment only is never varied, unless these parameters say so.
+        shared = _shared(F.col("low"), F.col("high")) if children >= 1 and least >= 2 else F.lit(0)
+        ends = ends.select("host", "template", shared.alias("shared"))
+        gone = F.slice("segments", 1, F.size("template") + F.col("shared"))
+        literal = F.slice(gone, F.size("template") + 1, F.col("shared"))
+        rows = rows.join(ends, ["host", "template"]).withColumn("template", F.concat("template", literal)).drop("shared")
+        rows = session.stage(rows, "forks")
+        at_end = F.size("segments") <= F.size("template")
+        rows.where(at_end).drop("segments").write.mode("append").parquet(done)
+        rows = rows.where(~at_end).withColumn("next", F.get("segments", F.size("template")))
         named = rows.groupBy("host", "template", "next").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"))
         nodes = named.groupBy("host", "template").agg(F.count("*").alias("kinds"), F.sum("n").alias("pages"))
         varied = (F.col("kinds") > children) | ((F.col("pages") >= least) & (2 * F.col("kinds") > F.col("pages")))
@@ -64,15 +91,16 @@ def _generalised(paths: DataFrame, depth: int | None, children: int, least: int,
         rows = rows.join(nodes, ["host", "template"]).join(kept, ["host", "template", "next"], "left")
         rows = rows.withColumn("template", F.concat("template", F.array(step)))
         rows = session.stage(rows.drop("next", "varied", "kept"), "templates")
-    if depth is not None and deepest > depth:
-        deeper = F.size("segments") > depth
-        rows = rows.withColumn("template", F.when(deeper, F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template")))
-    for part in finished:
-        rows = rows.unionByName(part)
-    return rows.drop("segments")
+        if rows.isEmpty():
+            break
+    rows = spark.read.schema(schema).parquet(done)
+    if depth is not None:
+        longer = F.concat("template", F.array(F.lit("**")))
+        rows = rows.withColumn("template", F.when(F.size(whole) > depth, longer).otherwise(F.col("template")))
+    return rows
 
 
-def _merged(leaves: DataFrame, depth: int, z: float, shown: int) -> DataFrame:
+def _merged(leaves: DataFrame, z: float, shown: int) -> DataFrame:
     """(host, template, merged): branches after merging siblings alike in their labels.
 
     At each level, from the deepest up, siblings (equal in host and all other
@@ -80,10 +108,19 @@ def _merged(leaves: DataFrame, depth: int, z: float, shown: int) -> DataFrame:
     differ by more than z standard errors; what lies between two cuts becomes one
     branch, named by its segments (the first `shown` and the number of others: a
     segment is in one branch only).  A branch without labels stays by itself.
+    Only labelled branches of equal length can be siblings, and only at places
+    where such branches of a host differ; no other place takes a round.
     """
-    rows = leaves.withColumn("merged", F.col("template"))
+    length = F.size("template").alias("length")
+    marked = leaves.where("labelled > 0").select("host", "template", "good", "labelled", length)
+    places = marked.select("host", "length", F.posexplode("template").alias("place", "segment"))
+    differ = places.groupBy("host", "length", "place").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
+    differ = session.stage(differ.where("low <> high").select("host", "length", "place"), "places")
+    levels = sorted((r["place"] for r in differ.select("place").distinct().collect()), reverse=True)
+    several = differ.select("host", "length").distinct()
+    rows = session.stage(marked.join(several, ["host", "length"], "left_semi").withColumn("merged", F.col("template")), "branches")
     siblings = Window.partitionBy("host", "masked").orderBy("share", "segment")
-    for level in reversed(range(depth)):
+    for level in levels:
         masked = F.transform("merged", lambda x, i: F.when(i == level, F.lit("")).otherwise(x))
         rows = rows.withColumns({"masked": masked, "segment": F.get("merged", F.lit(level))})
         own = rows.groupBy("host", "masked", "segment").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
@@ -101,7 +138,8 @@ def _merged(leaves: DataFrame, depth: int, z: float, shown: int) -> DataFrame:
         rows = rows.join(names.select("host", "masked", "segment", "name"), ["host", "masked", "segment"], "left")
         named = F.transform("merged", lambda x, i: F.when((i == level) & F.col("name").isNotNull(), F.col("name")).otherwise(x))
         rows = session.stage(rows.withColumn("merged", named).drop("name", "masked", "segment"), "branches")
-    return rows.select("host", "template", "merged")
+    renamed = rows.select("host", "template", F.col("merged").alias("into"))
+    return leaves.join(renamed, ["host", "template"], "left").withColumn("merged", F.coalesce("into", "template")).drop("into")
 
 
 def judge_urls(
@@ -145,11 +183,9 @@ def judge_urls(
     templates = session.stage(_generalised(paths, depth, children, least, own), "templates")
     leaves = templates.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
     leaves = session.stage(leaves, "leaves")
-    levels = leaves.agg(F.max(F.size("template"))).first()[0] or 0
-    merged = _merged(leaves, levels, z, children)
+    stats = session.stage(_merged(leaves, z, children), "merged")
     total = leaves.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).first()
     prior = (total["g"] / total["l"]) if total["l"] else 1.0
-    stats = leaves.join(merged, ["host", "template"])
     share = (F.sum("good") + weight * prior) / (F.sum("labelled") + weight)
     judged = stats.groupBy("host", "merged").agg(share.alias("purity"))
     by_leaf = stats.join(judged, ["host", "merged"]).select(
