@@ -90,3 +90,71 @@ def best_fit_decreasing(lengths, capacity):
             gaps[fit] -= 1
         gaps[fit - length] += 1
     return opened
+
+
+def url_verdicts(pages, labels, children=20, least=10, own=5, z=1.96, weight=4.0, purity=0.5):
+    """(template, verdict) of each (host, path), from pages [(id, host, path)] and labels {id: [good]}."""
+    seen = defaultdict(lambda: [0, 0, 0])
+    for page_id, host, path in pages:
+        marks = labels.get(page_id, [])
+        seen[host, path] = [a + b for a, b in zip(seen[host, path], [1, sum(marks), len(marks)])]
+    template = {key: () for key in seen}
+    for level in range(max((len(path.split("/")) for _, path in seen), default=0)):
+        nodes = defaultdict(lambda: defaultdict(list))
+        for host, path in seen:
+            segments = path.split("/")
+            if len(segments) > level:
+                nodes[host, template[host, path]][segments[level]].append((host, path))
+        for below in nodes.values():
+            total = sum(seen[key][0] for keys in below.values() for key in keys)
+            varied = len(below) > children or (total >= least and 2 * len(below) > total)
+            for segment, keys in below.items():
+                named = not varied or sum(seen[key][2] for key in keys) >= own
+                for key in keys:
+                    template[key] += (segment if named else "*",)
+    leaves = defaultdict(lambda: [0, 0])
+    for key, (_, good, marks) in seen.items():
+        leaves[key[0], template[key]] = [a + b for a, b in zip(leaves[key[0], template[key]], (good, marks))]
+    into = {leaf: leaf[1] for leaf in leaves}
+    for level in reversed(range(max((len(t) for _, t in leaves), default=0))):
+        families = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+        for leaf, sums in leaves.items():
+            now = into[leaf]
+            if len(now) > level:
+                family = families[leaf[0], now[:level], now[level + 1 :]]
+                family[now[level]] = [a + b for a, b in zip(family[now[level]], sums)]
+        names = {}
+        for family, branches in families.items():
+            order = sorted((g / n, segment, g, n) for segment, (g, n) in branches.items() if n)
+            groups = []
+            for at, (share, segment, g, n) in enumerate(order):
+                if at:
+                    before, _, g0, n0 = order[at - 1]
+                    pool = (g + g0) / (n + n0)
+                    if share - before > z * (pool * (1 - pool) * (1 / n + 1 / n0)) ** 0.5:
+                        groups.append([])
+                else:
+                    groups.append([])
+                groups[-1].append(segment)
+            for group in map(sorted, groups):
+                name = "|".join(group[:children]) + (f"|+{len(group) - children}" if len(group) > children else "")
+                names.update({(family, segment): name for segment in group})
+        for leaf in leaves:
+            now = into[leaf]
+            if len(now) > level:
+                name = names.get(((leaf[0], now[:level], now[level + 1 :]), now[level]), now[level])
+                into[leaf] = (*now[:level], name, *now[level + 1 :])
+    sums = defaultdict(lambda: [0, 0])
+    for leaf, own_sums in leaves.items():
+        now = into[leaf]
+        for place in ((), (leaf[0],), (leaf[0], now[:-1], "above"), (leaf[0], now)):
+            sums[place] = [a + b for a, b in zip(sums[place], own_sums)]
+    base = sums[()][0] / sums[()][1] if sums[()][1] else 1.0
+    out = {}
+    for key in seen:
+        host, now = key[0], into[key[0], template[key]]
+        share = base
+        for place in ((host,), (host, now[:-1], "above"), (host, now)):
+            share = (sums[place][0] + weight * share) / (sums[place][1] + weight)
+        out[key] = ("/".join(now), "block" if share < purity else "allow")
+    return out

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import plain
 from worklore.llm import nearest, url_templates
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -127,3 +128,34 @@ def test_urls_without_labels_or_pages(tree):
     pages, labels = tree
     assert url_templates.judge_urls(pages, labels.limit(0)).where("verdict != 'allow'").count() == 0
     assert url_templates.judge_urls(pages.limit(0), labels).count() == 0
+
+
+def _agrees_with_plain(pages, labels, **options):
+    found = url_templates.judge_urls(pages, labels, **options).collect()
+    marks = {}
+    for row in labels.collect():
+        marks.setdefault(row.page_id, []).append(int(row.good))
+    want = plain.url_verdicts([(r.page_id, r.host, r.path) for r in found], marks, **options)
+    assert {(r.host, r.path): (r.template, r.verdict) for r in found} == want
+    return found
+
+
+def test_whole_method_on_a_table(spark):
+    from worklore.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    labels = queries.page_labels(pages, spark.read.parquet(f"{sf}/labels.parquet"))
+    assert len(_agrees_with_plain(pages, labels)) == pages.count()
+
+
+def test_whole_method_on_long_and_nested_urls(spark):
+    """A url of a thousand segments takes a round or two, not a thousand."""
+    urls = ["http://t/" + "/".join(f"x{i}" for i in range(1000)), "http://t/" + "/".join(f"y{i % 7}" for i in range(1000))]
+    urls += [f"http://n/{'/'.join('ab'[:1 + i % 2] for i in range(d))}" for d in range(8)]
+    urls += [f"http://m/{i % 3}/v{i}/{'good' if i % 4 else 'bad'}/{i % 5}" for i in range(80)] + ["http://m", None, "http://m//", "http://e/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = [(i, i % 4 != 2) for i in range(10, 90) if i % 3] + [(0, False), (1, True), (0, False)]
+    labels = spark.createDataFrame(marks, "page_id long, good boolean")
+    _agrees_with_plain(pages, labels)
+    _agrees_with_plain(pages, labels, children=3, least=4, own=2)

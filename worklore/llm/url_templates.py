@@ -4,8 +4,8 @@ Segment by segment, from the host down, a branch whose next segments vary (many
 different ones, or nearly one for every page) goes on as one wildcard; segments
 with labels enough of their own keep their names, as do all others.  From the leaves up, sibling branches whose labelled
 rates do not differ by more than chance are merged into one branch.
-A template whose smoothed share of good labels is low is refused.  Listed rules
-come before templates.
+A template whose share of good labels, smoothed by its siblings', is low is refused.
+Listed rules come before templates.
 """
 
 from __future__ import annotations
@@ -100,6 +100,21 @@ def _generalised(paths: DataFrame, depth: int | None, children: int, least: int,
     return rows
 
 
+def _next_level(rows: DataFrame, above: int | None) -> int | None:
+    """The deepest level below `above` at which two branches differ and all their other segments agree.
+
+    The others are compared by hash; a chance hit costs a round that merges nothing.
+    """
+    marks = F.transform("merged", lambda x, i: F.xxhash64(i, x))
+    total = F.aggregate(marks, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(x)).alias("total")
+    places = rows.select("host", F.size("merged").alias("length"), total, F.posexplode("merged").alias("place", "segment"))
+    if above is not None:
+        places = places.where(F.col("place") < above)
+    others = F.col("total").bitwiseXOR(F.xxhash64("place", "segment")).alias("others")
+    groups = places.groupBy("host", "length", "place", others).agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
+    return groups.where("low <> high").agg(F.max("place")).first()[0]
+
+
 def _merged(leaves: DataFrame, z: float, shown: int) -> DataFrame:
     """(host, template, merged): branches after merging siblings alike in their labels.
 
@@ -108,19 +123,13 @@ def _merged(leaves: DataFrame, z: float, shown: int) -> DataFrame:
     differ by more than z standard errors; what lies between two cuts becomes one
     branch, named by its segments (the first `shown` and the number of others: a
     segment is in one branch only).  A branch without labels stays by itself.
-    Only labelled branches of equal length can be siblings, and only at places
-    where such branches of a host differ; no other place takes a round.
+    Only levels at which labelled siblings differ take a round.
     """
-    length = F.size("template").alias("length")
-    marked = leaves.where("labelled > 0").select("host", "template", "good", "labelled", length)
-    places = marked.select("host", "length", F.posexplode("template").alias("place", "segment"))
-    differ = places.groupBy("host", "length", "place").agg(F.min("segment").alias("low"), F.max("segment").alias("high"))
-    differ = session.stage(differ.where("low <> high").select("host", "length", "place"), "places")
-    levels = sorted((r["place"] for r in differ.select("place").distinct().collect()), reverse=True)
-    several = differ.select("host", "length").distinct()
-    rows = session.stage(marked.join(several, ["host", "length"], "left_semi").withColumn("merged", F.col("template")), "branches")
+    marked = leaves.where("labelled > 0").select("host", "template", "good", "labelled")
+    rows = session.stage(marked.withColumn("merged", F.col("template")), "branches")
     siblings = Window.partitionBy("host", "masked").orderBy("share", "segment")
-    for level in levels:
+    level = None
+    while (level := _next_level(rows, level)) is not None:
         masked = F.transform("merged", lambda x, i: F.when(i == level, F.lit("")).otherwise(x))
         rows = rows.withColumns({"masked": masked, "segment": F.get("merged", F.lit(level))})
         own = rows.groupBy("host", "masked", "segment").agg(F.sum("good").alias("good"), F.sum("labelled").alias("labelled"))
@@ -142,6 +151,22 @@ def _merged(leaves: DataFrame, z: float, shown: int) -> DataFrame:
     return leaves.join(renamed, ["host", "template"], "left").withColumn("merged", F.coalesce("into", "template")).drop("into")
 
 
+def _judged(stats: DataFrame, prior: float, weight: float) -> DataFrame:
+    """(host, merged, purity): a branch's share of good labels, smoothed by that of its siblings.
+
+    Siblings (all branches one segment up) are smoothed by their host's share, and
+    a host's by the overall one, each with the same weight.
+    """
+    sums = [F.sum("good").alias("good"), F.sum("labelled").alias("labelled")]
+    smoothed = lambda base: (F.col("good") + weight * base) / (F.col("labelled") + weight)
+    above = F.slice("merged", 1, F.size("merged") - 1)
+    branches = stats.groupBy("host", "merged").agg(*sums).withColumn("above", above)
+    parents = branches.groupBy("host", "above").agg(*sums)
+    hosts = parents.groupBy("host").agg(*sums).select("host", smoothed(F.lit(prior)).alias("base"))
+    parents = parents.join(hosts, "host").select("host", "above", smoothed(F.col("base")).alias("base"))
+    return branches.join(parents, ["host", "above"]).select("host", "merged", smoothed(F.col("base")).alias("purity"))
+
+
 def judge_urls(
     pages: DataFrame,
     labels: DataFrame,
@@ -160,7 +185,8 @@ def judge_urls(
     next segments, or from `least` pages on over half as many as pages, vary.
     own: labels that keep a segment's name where segments vary.  depth: where
     given, segments told apart; longer paths share the rest as one wildcard.
-    weight: labels' worth of the overall share that smooths every template's.
+    weight: labels' worth of the siblings' share that smooths every template's, of the
+    host's that smooths the siblings', and of the overall one that smooths the host's.
     A null url has an empty host and path.  Repeated pages stay repeated, and
     count as often; several labels of a page all count.  Without any labels
     nothing is refused.
@@ -186,8 +212,7 @@ def judge_urls(
     stats = session.stage(_merged(leaves, z, children), "merged")
     total = leaves.agg(F.sum("good").alias("g"), F.sum("labelled").alias("l")).first()
     prior = (total["g"] / total["l"]) if total["l"] else 1.0
-    share = (F.sum("good") + weight * prior) / (F.sum("labelled") + weight)
-    judged = stats.groupBy("host", "merged").agg(share.alias("purity"))
+    judged = _judged(stats, prior, weight)
     by_leaf = stats.join(judged, ["host", "merged"]).select(
         "host", "template", F.array_join("merged", "/").alias("shown"), "purity"
     )
