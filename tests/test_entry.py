@@ -7,7 +7,7 @@ def test_every_check_has_a_query():
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", ["daily_actor_groups", "packed_documents", "context_carry", "appended_tails", "recorded_moves", "observed_metadata"])
+@pytest.mark.parametrize("name", ["daily_actor_groups", "packed_documents", "context_carry", "appended_tails", "recorded_moves", "observed_metadata", "document_rungs", "briefing_facets"])
 def test_query_agrees_with_check(spark, name):
     import duckdb
 
