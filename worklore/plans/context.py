@@ -61,7 +61,7 @@ def stopping_point(context: DataFrame, per: str = "project_id") -> DataFrame:
 def moved_stopping_point(stops: DataFrame, verdicts: DataFrame) -> DataFrame:
     """A later supported directory move replaces the stopping point."""
     moved = verdicts.filter("project_id is not null").groupBy(F.col("project_id").alias("_p")).agg(
-        F.max_by(F.struct("record_id", "event_time"), "event_time").alias("_m")
+        F.max_by(F.struct("record_id", "event_time"), F.struct("event_time", "record_id")).alias("_m")
     )
     later = F.col("_m.event_time").isNotNull() & (
         F.col("event_time").isNull() | (F.col("_m.event_time") >= F.col("event_time"))
