@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 import entry_tables as E
 from entry_queries import query
 from entry_store import _move_tables
-from worklore import schema
+from worklore import schema, session
 from worklore.operators import moves
 from worklore.plans import resume
 
@@ -215,5 +215,6 @@ def resume_relations(spark, sf_dir):
         counted = rows.filter("project_id is not null").groupBy(F.lit(name).alias("relation"), "project_id").agg(
             F.count(F.lit(1)).alias("rows"), details.get(name, F.lit("-")).alias("detail")
         )
+        counted = session.stage(counted, f"resume-{name}")  # one plan of all relations would be planned anew after each of its stages
         out = counted if out is None else out.unionByName(counted)
     return out

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ordering, pathops, patterns as P
+from ..functions.plans import settle
 
 _SESSION = ["session_id", "generation_id"]
 
@@ -25,32 +26,42 @@ def command_words(command: Column, argv: Column) -> Column:
     return F.when((F.size(words) > 0) & (F.size(words) <= 8), words)
 
 
-def _move_paths(words: Column) -> Column:
+def _move_ends(words: Column) -> list[Column]:
+    """(bare, old, new): arguments behind the options, and the first two as paths."""
     args = F.slice(words, F.lit(2), F.lit(8))
     no_flag = F.when(F.get(args, F.lit(0)).isin("-n", "--no-clobber"), F.slice(args, F.lit(2), F.lit(8))).otherwise(args)
     bare = F.when(F.get(no_flag, F.lit(0)) == "--", F.slice(no_flag, F.lit(2), F.lit(8))).otherwise(no_flag)
-    old = pathops.clean_absolute(F.get(bare, F.lit(0)))
-    new = pathops.clean_absolute(F.get(bare, F.lit(1)))
+    path = lambda at: pathops.clean_absolute(F.get(bare, F.lit(at)))
+    return [F.size(bare).alias("ends"), path(0).alias("old"), path(1).alias("new")]
+
+
+def _move_paths() -> Column:
+    old, new = F.col("old"), F.col("new")
     return F.when(
-        F.get(words, F.lit(0)).isin(P.MOVE_COMMANDS) & (F.size(bare) == 2)
+        F.get(F.col("words"), F.lit(0)).isin(P.MOVE_COMMANDS) & (F.col("ends") == 2)
         & old.isNotNull() & new.isNotNull() & (old != new)
         & (pathops.parent(old) == pathops.parent(new)),
-        F.struct(old.alias("old"), new.alias("new")),
+        F.struct("old", "new"),
     )
 
 
-def _root_path(words: Column, cwd: Column, text: Column) -> Column:
-    """Directory that a repository-root query confirmed."""
+def _root_query(words: Column, cwd: Column, text: Column) -> list[Column]:
+    """(asked, at, output): the query, the directory it was asked in, and its answer."""
     args = F.slice(words, F.lit(2), F.lit(8))
     elsewhere = F.get(args, F.lit(0)) == "-C"
     at = pathops.clean_absolute(F.when(elsewhere, F.get(args, F.lit(1))).otherwise(cwd))
-    query = F.array_join(F.when(elsewhere, F.slice(args, F.lit(3), F.lit(8))).otherwise(args), " ")
+    asked = F.array_join(F.when(elsewhere, F.slice(args, F.lit(3), F.lit(8))).otherwise(args), " ")
     output = F.regexp_replace(text, r"\n\z", "")
+    return [asked.alias("asked"), at.alias("at"), F.when(output.startswith("/"), pathops.clean_absolute(output)).alias("output")]
+
+
+def _root_path() -> Column:
+    """Directory that a repository-root query confirmed."""
     return F.when(
-        F.get(words, F.lit(0)).isin(P.ROOT_COMMANDS)
-        & query.isin("rev-parse --show-toplevel", "rev-parse --path-format=absolute --show-toplevel")
-        & output.startswith("/") & (pathops.clean_absolute(output) == at),
-        at,
+        F.get(F.col("words"), F.lit(0)).isin(P.ROOT_COMMANDS)
+        & F.col("asked").isin("rev-parse --show-toplevel", "rev-parse --path-format=absolute --show-toplevel")
+        & (F.col("output") == F.col("at")),
+        F.col("at"),
     )
 
 
@@ -82,18 +93,16 @@ def live_rows(
 def executions(live: DataFrame) -> DataFrame:
     """Successful native commands with what they did."""
     m = F.col("metadata")
-    return (
-        live.filter(
-            (F.col("actor") == "tool") & (F.col("kind") == "recorded_tool_result")
-            & (m["execution_source"] == "native_command_execution") & (m["exit_status"] == 0)
-        )
-        .withColumn("words", command_words(m["command"], m["command_argv"]))
-        .select(
-            "record_id", "native_id", *_SESSION, "position", "event_time", "words",
-            _move_paths(F.col("words")).alias("move"),
-            _root_path(F.col("words"), F.col("cwd"), F.col("text")).alias("root"),
-        )
-    )
+    done = live.filter(
+        (F.col("actor") == "tool") & (F.col("kind") == "recorded_tool_result")
+        & (m["execution_source"] == "native_command_execution") & (m["exit_status"] == 0)
+    )
+    kept = ["record_id", "native_id", *_SESSION, "position", "event_time"]
+    # Each step is computed once: later filters and joins would copy the definitions of these columns.
+    worded = settle(done.select(*kept, "cwd", "text", command_words(m["command"], m["command_argv"]).alias("words")))
+    words = F.col("words")
+    ended = settle(worded.select(*kept, "words", *_move_ends(words), *_root_query(words, F.col("cwd"), F.col("text"))))
+    return settle(ended.select(*kept, "words", _move_paths().alias("move"), _root_path().alias("root")))
 
 
 def reconcile_moves(
