@@ -61,6 +61,25 @@ def test_members_of_one_group_link_past_its_lead(spark):
     assert got == dict(zip(changed, want, strict=True)) and got[4] == 3 and got[2] == 1
 
 
+def _link_counts(rows, n, percent):
+    """How many other rows every row links with, by all pairs."""
+    _, sets = plain.component_ids(rows, n, percent)
+    alike = lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+    return [sum(alike(a, b) for b in sets) - bool(a) for a in sets]
+
+
+@pytest.mark.parametrize("block", [256, 7])
+def test_every_link_is_counted(spark, families, odd, odd_rows, block):
+    """Near copies of one text link with each other, not only with those that connect them; copies count."""
+    found = ngram_join.similar_documents(spark.createDataFrame(families, DOCUMENTS).repartition(5), 4, 85, block).collect()
+    want = _link_counts([r[:2] for r in families], 4, 85)
+    assert {r.doc_id: r.n_links for r in found} == {r[0]: w for r, w in zip(families, want, strict=True)}
+    assert 60 < max(want) < 139
+    found = ngram_join.similar_documents(odd, 4, 85, block).collect()
+    want = _link_counts([r[:2] for r in odd_rows], 4, 85)
+    assert sorted(str((r.doc_id, r.n_links)) for r in found) == sorted(str((r[0], w)) for r, w in zip(odd_rows, want, strict=True))
+
+
 def test_long_chains_are_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60) if i != 30] + [(100, 5)], "a long, b long")
     roots = {r.node: r.root for r in components.components(links).collect()}

@@ -13,12 +13,17 @@ A document is the set of its distinct n-grams of words; two documents link when
    allow enough overlap.
 4. Pairs are expanded to members and verified on whole sets.
 
-Only which documents are connected is asked for, so pairs come in two steps that
-together lose no link.  First, the members of every group meet one hub of each of
-its prefix n-grams (the first member of the group with the fewest rarer n-grams)
-and the first member of their own group.  Then all remaining pairs meet whose members are not yet
-connected.  A family of many near copies is thus joined by a number of pairs in
-proportion to its size.
+Which documents are connected is found by pairs in two steps.  First, the members
+of every group meet one hub of each of its prefix n-grams (the first member of the
+group with the fewest rarer n-grams) and the first member of their own group.  Then
+all remaining pairs meet whose members are not yet connected.  A family of many near
+copies is thus joined by a number of pairs in proportion to its size.
+
+All links lie inside these components, so links are counted there: a component is
+complete when its verified links are all its pairs; the classes of any other are
+dealt into blocks, and every two blocks meet once, as matrices of shared n-grams.
+The comparisons grow with the square of a component, but no row is made for a pair
+and a task holds two blocks.
 
 Counting crosses the network as packed arrays: a batch of documents sends each
 slice of the n-gram space one array of 48-bit names.  A name stands for an n-gram
@@ -41,6 +46,7 @@ from worklore.llm.joins import sized
 _SLICED = "slice long, batch long, names binary, refs binary, counts binary, ids binary, sizes binary, digests binary"
 _PLACED = "id long, n_shingles long, digest binary, places array<int>, names array<long>"
 _NO_ID = (1 << 63) - 1
+_NODE = "struct<id:long,digest:binary>"
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,10 +184,8 @@ def _names(raw: bytes) -> np.ndarray:
     return parts[:, 0] | parts[:, 1] << np.uint64(16) | parts[:, 2] << np.uint64(32)
 
 
-def _linked(documents: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of nodes (id, digest): those whose sets are similar enough."""
-    pairs = session.stage(pairs, "pairs")
-    nodes = pairs.select(F.col("a.id").alias("id")).union(pairs.select(F.col("b.id"))).distinct()
+def _sets(documents: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """(node, grams) of the nodes' documents: the hashes of a set, ascending."""
 
     def sets(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textscan.batches(arriving, "text"):
@@ -192,8 +196,15 @@ def _linked(documents: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
             columns = [batch.column("id"), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "grams"])
 
-    held = documents.join(sized(nodes), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, digest binary, grams binary")
-    held = held.dropDuplicates(["id", "digest"]).select(F.struct("id", "digest").alias("node"), "grams")
+    ids = nodes.select("node.id").distinct()
+    held = documents.join(sized(ids), "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, digest binary, grams binary")
+    return held.dropDuplicates(["id", "digest"]).select(F.struct("id", "digest").alias("node"), "grams")
+
+
+def _linked(documents: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of nodes (id, digest): those whose sets are similar enough."""
+    pairs = session.stage(pairs, "pairs")
+    held = _sets(documents, pairs.select(F.col("a").alias("node")).union(pairs.select("b")), n)
 
     def compared(arriving: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arriving:
@@ -204,26 +215,79 @@ def _linked(documents: DataFrame, pairs: DataFrame, n: int, percent: int) -> Dat
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    node = "struct<id:long,digest:binary>"
     whole = pairs.join(held.select(F.col("node").alias("a"), F.col("grams").alias("grams_a")), "a")
     whole = whole.join(held.select(F.col("node").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return session.stage(whole.select("a", "b", "grams_a", "grams_b").mapInArrow(compared, f"a {node}, b {node}"), "linked")
+    return session.stage(whole.select("a", "b", "grams_a", "grams_b").mapInArrow(compared, f"a {_NODE}, b {_NODE}"), "linked")
+
+
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many elements the sets numbered a share with those numbered b, a few thousand elements at a time."""
+    ends = np.cumsum([len(x) for x in sets])
+    member = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, name, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(times > 1) - 1
+    shared = times[name] > 1
+    member, name = member[shared], rank[name[shared]]
+    by = np.argsort(name, kind="stable")
+    member, name = member[by], name[by]
+    out, width = np.zeros((len(a), len(b)), np.int64), 4096
+    for low in range(0, int(rank[-1]) + 1 if len(ends) else 0, width):
+        at, to = np.searchsorted(name, [low, low + width])
+        held = np.zeros((len(sets), width), np.float32)
+        held[member[at:to], name[at:to] - low] = 1
+        out += np.rint(held[a] @ held[b].T).astype(np.int64)
+    return out
+
+
+def _links(documents: DataFrame, classes: DataFrame, links: DataFrame, roots: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """(node, others): the rows outside a class that its rows link with, for every class of a component."""
+    rooted = session.stage(roots.join(classes.select("node", "n_shingles", "copies"), "node"), "rooted")
+    found = links.select(F.col("a").alias("node")).join(roots, "node").groupBy("root").agg(F.count("*").alias("found"))
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("k"), F.sum("copies").alias("rows"), F.sum("n_shingles").alias("weight")).join(found, "root")
+    blocks = F.ceil(F.greatest(F.col("k") / block, F.col("weight") / (4096 * block)))
+    sizes = sizes.select("root", "rows", "weight", (2 * F.col("found") == F.col("k") * (F.col("k") - 1)).alias("whole"), blocks.alias("blocks"))
+    rooted = session.stage(rooted.join(sizes, "root"), "families")
+    whole = rooted.where("whole").select("node", (F.col("rows") - F.col("copies")).alias("others"))
+    part = rooted.where("not whole")
+    cells = 1 + (part.where("blocks = 1").agg(F.sum("n_shingles")).first()[0] or 0) // (1024 * block)
+    family, own = F.xxhash64("root"), F.pmod(F.xxhash64("node"), "blocks")
+    dealt = part.join(_sets(documents, part, n), "node").select("node", "copies", "grams", "blocks", family.alias("family"), own.alias("own"))
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    cell = F.when(F.col("blocks") == 1, F.pmod("family", F.lit(cells))).otherwise(F.xxhash64("family", low, high))
+    dealt = dealt.select(cell.alias("cell"), "family", low.alias("low"), high.alias("high"), "own", "node.id", "node.digest", "copies", "grams")
 
-
-def similar_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links of every row.
-
-    component_id is the smallest doc_id that links reach, the row's own included;
-    n_links counts the verified links of the row's class to other classes, which
-    connect the component (a class is the rows whose sets are equal).
-    A row without words has no set and links with nothing; rows with a null
-    doc_id take part and have a null component_id unless a link gives them one.
-    Repeated rows are copies of one another.  Further columns are ignored.
+    def counted(key: tuple, rows: pa.Table) -> pa.Table:
+        family, low, high, own, copies = (rows.column(c).to_numpy() for c in ("family", "low", "high", "own", "copies"))
+        sets = [np.frombuffer(x, "<u8") for x in rows.column("grams").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        others = np.zeros(len(sets), np.int64)
+        by = np.lexsort((high, low, family))
+        new = np.any(np.stack([x[by][1:] != x[by][:-1] for x in (family, low, high)]), 0)
+        for among in np.split(by, np.flatnonzero(new) + 1):
+            first, second = (np.flatnonzero(own[among] == x[among]) for x in (low, high))
+            common = _common([sets[i] for i in among], first, second)
+            a, b = among[first], among[second]
+            good = (100 + percent) * common >= percent * (size[a][:, None] + size[b][None, :])
+            good &= a[:, None] != b[None, :]
+            others[a] += good @ copies[b]
+            if low[among[0]] != high[among[0]]:
+                others[b] += copies[a] @ good
+        return pa.Table.from_arrays([rows.column("id"), rows.column("digest"), pa.array(others)], ["id", "digest", "others"])
+
+    counts = dealt.groupBy("cell").applyInArrow(counted, "id long, digest binary, others long")
+    counts = counts.groupBy(F.struct("id", "digest").alias("node")).agg(F.sum("others").alias("others"))
+    return whole.union(counts)
+
+
+def _families(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (id, n_shingles, digest), classes (node, n_shingles, copies), and of classes verified links and roots.
+
+    The links connect all that is connected; inside a component there may be more.
     """
-    documents = documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = _prefixes(documents, n, percent)
-    classes = rows.where("n_shingles > 0").groupBy("digest", "n_shingles", "places", "names").agg(F.min("id").alias("id"))
-    classes = session.stage(classes.select(F.struct("id", "digest").alias("node"), "n_shingles", "places", "names"), "classes")
+    classes = rows.where("n_shingles > 0").groupBy("digest", "n_shingles", "places", "names").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    classes = session.stage(classes.select(F.struct("id", "digest").alias("node"), "n_shingles", "copies", "places", "names"), "classes")
 
     near = classes.where(F.size("names") > 0)
     groups = near.groupBy("n_shingles", "places", "names").agg(F.min("node").alias("lead"), F.count("*").alias("members"))
@@ -263,23 +327,46 @@ def similar_documents(documents: DataFrame, n: int = 5, percent: int = 80) -> Da
     rest = rest.select("lead_a", "root_a", "lead_b", "root_b").distinct()
     rest = rest.join(rooted.toDF("lead_a", "a", "root_a"), ["lead_a", "root_a"]).join(rooted.toDF("lead_b", "b", "root_b"), ["lead_b", "root_b"])
     links = links.union(_linked(documents, ordered(rest.select("a", "b")), n, percent))
-    roots = components(links)
+    return rows.select("id", "n_shingles", "digest"), classes.select("node", "n_shingles", "copies"), links, components(links)
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    labelled = classes.join(roots, "node", "left").join(degree, "node", "left").select(
-        F.col("node.digest").alias("digest"), F.coalesce("root.id", "node.id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+
+def _labelled(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, and n_links of its class."""
+    labels = classes.join(roots, "node", "left").select(
+        F.col("node.digest").alias("digest"), F.coalesce("root.id", "node.id").alias("component_id"), "n_links"
     )
-    alone = F.col("component_id").isNull()
     id_or_null = lambda c: F.nullif(c, F.lit(_NO_ID))
-    return rows.select("id", "n_shingles", "digest").join(labelled, "digest", "left").select(
+    return rows.join(labels, "digest", "left").select(
         id_or_null(F.col("id")).alias("doc_id"),
         "n_shingles",
-        id_or_null(F.when(alone, F.col("id")).otherwise(F.col("component_id"))).alias("component_id"),
+        id_or_null(F.coalesce("component_id", "id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
+def similar_documents(documents: DataFrame, n: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links of every row.
+
+    component_id is the smallest doc_id that links reach, the row's own included;
+    n_links counts the other rows that the row links with, copies included.
+    A row without words has no set and links with nothing; rows with a null
+    doc_id take part and have a null component_id unless a link gives them one.
+    Repeated rows are copies of one another.  Further columns are ignored.
+    block: classes of a component that are counted at once on either side.
+    """
+    documents = _keyed(documents)
+    rows, classes, links, roots = _families(documents, n, percent)
+    others = _links(documents, classes, links, roots, n, percent, block)
+    n_links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
+    return _labelled(rows, classes.join(others, "node", "left").select("node", n_links.alias("n_links")), roots)
+
+
 def keep_one_of_each(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of documents whose doc_id is the smallest of its component; null ids stay."""
-    found = similar_documents(documents, n, percent).where("doc_id != component_id").select("doc_id").distinct()
+    rows, classes, _, roots = _families(_keyed(documents), n, percent)
+    found = _labelled(rows, classes.withColumn("n_links", F.lit(0)), roots).where("doc_id != component_id").select("doc_id").distinct()
     return documents.join(sized(session.stage(found, "copies")), "doc_id", "left_anti").select(documents.columns)
