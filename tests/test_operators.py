@@ -196,6 +196,20 @@ def test_search_index_agrees_with_scan(spark, tmp_path):
     assert search.search_index(spark, f"{tmp_path}/ix", "--", term_buckets=4).count() == 0
 
 
+def test_index_shuffles_postings_not_places(spark, tmp_path):
+    """Rows of one id share their postings; null, empty and wordless texts have none, but a length."""
+    rows = [("a", "x y x"), ("a", "y x"), (None, "x"), (None, "x z"), ("b", ""), ("c", None), ("d", "--"), ("e", "y" + " x" * 300)]
+    df = spark.createDataFrame(rows, "record_id string, text string").repartition(3)
+    search.build_index(df, f"{tmp_path}/odd", term_buckets=3, document_buckets=2)
+    found = {(r.term, r.id): r.positions for r in spark.read.parquet(f"{tmp_path}/odd/postings").collect()}
+    want = {("x", "a"): [0, 1, 2], ("y", "a"): [0, 1], ("x", None): [0, 0], ("z", None): [1], ("y", "e"): [0], ("x", "e"): [*range(1, 301)]}
+    assert found == want
+    lengths = [(r.id, r.length) for r in spark.read.parquet(f"{tmp_path}/odd/lengths").collect()]
+    assert sorted(map(str, lengths)) == sorted(map(str, [("a", 3), ("a", 2), (None, 1), (None, 2), ("b", 0), ("c", None), ("d", 0), ("e", 301)]))
+    plan = search.postings(df, "record_id", "text", 3, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and plan.count("Sort [") == 1 and "ENSURE_REQUIREMENTS" not in plan
+
+
 def test_index_of_a_long_text_is_linear(spark, tmp_path):
     text = " ".join(f"t{i}" for i in range(200_000))
     search.build_index(spark.createDataFrame([("r", text)], "record_id string, text string"), f"{tmp_path}/long", term_buckets=2)

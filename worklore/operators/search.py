@@ -7,7 +7,7 @@ that a very common term is spread over many files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import textops
 
@@ -91,26 +91,60 @@ def search(
     return scored.orderBy(F.col("score"), F.col(id_column)).limit(limit)
 
 
+def _places(tokens: Column) -> Column:
+    """Per distinct token, in order: the token and its positions; linear in a sorted text."""
+    placed = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("term"), i.alias("position"))))
+    starts = lambda s: F.filter(
+        F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"])
+    )
+    one = lambda s, at, to: F.struct(
+        F.get(s, at)["term"].alias("term"), F.transform(F.slice(s, at + 1, to - at), lambda p: p["position"]).alias("positions")
+    )
+    cut = lambda s: textops.let(
+        starts(s), lambda at: F.transform(at, lambda i, k: one(s, i, F.coalesce(F.get(at, k + 1), F.size(s))))
+    )
+    return F.when(F.size(tokens) > 0, textops.let(placed, cut))
+
+
+def postings(records: DataFrame, id_column: str, text_column: str, term_buckets: int, document_buckets: int) -> DataFrame:
+    """(term, id, positions, bucket, part) of the terms of every document.
+
+    The places of a text are gathered in its own row, so one row per document and
+    term is shuffled, once, and sorted once.
+    """
+    tokens = _tokens(records, id_column, text_column)
+    rows = tokens.select("id", F.explode_outer(_places(F.col("tokens"))).alias("_one")).filter("_one is not null")
+    dealt = rows.select(
+        "_one.term", "id", "_one.positions",
+        (F.pmod(F.xxhash64("_one.term"), F.lit(16 * term_buckets)) * document_buckets
+         + F.pmod(F.xxhash64("id"), F.lit(document_buckets))).cast("int").alias("_deal"),
+    ).repartition("_deal").withColumns(
+        {
+            "bucket": F.floor(F.col("_deal") / document_buckets).cast("int") % term_buckets,
+            "part": F.col("_deal") % document_buckets,
+        }
+    )
+    # Rows of one id are one document: their places meet in its first row.
+    same = W.partitionBy("bucket", "_deal", "term", "id").orderBy("id")
+    whole = same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    return dealt.select(
+        "term", "id", F.array_sort(F.flatten(F.collect_list("positions").over(whole))).alias("positions"), "bucket", "part",
+        F.row_number().over(same).alias("_nth"),
+    ).filter("_nth = 1").drop("_nth")
+
+
+def _tokens(records: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return records.select(F.col(id_column).alias("id"), textops.search_tokens(F.col(text_column)).alias("tokens"))
+
+
 def build_index(
     records: DataFrame, path: str, id_column: str = "record_id", text_column: str = "text",
     term_buckets: int = 64, document_buckets: int = 8,
 ) -> None:
     """Write postings (term, id, tf, positions) and per-document lengths."""
-    tokens = records.select(
-        F.col(id_column).alias("id"), textops.search_tokens(F.col(text_column)).alias("tokens")
-    )
-    lengths = tokens.select("id", F.size("tokens").alias("length"))
-    # A place is shuffled once, by document and term; counting is linear in a text's length.
-    places = tokens.select("id", F.posexplode("tokens").alias("position", "term"))
-    postings = places.groupBy("term", "id").agg(F.array_sort(F.collect_list("position")).alias("positions")).select(
-        "term", "id", "positions",
-        F.pmod(F.xxhash64("term"), F.lit(term_buckets)).cast("int").alias("bucket"),
-        F.pmod(F.xxhash64("id"), F.lit(document_buckets)).cast("int").alias("part"),
-    )
-    (
-        postings.repartition("bucket", "part").sortWithinPartitions("term", "id")
-        .write.mode("errorifexists").partitionBy("bucket").parquet(path + "/postings")
-    )
+    found = postings(records, id_column, text_column, term_buckets, document_buckets)
+    found.write.mode("errorifexists").partitionBy("bucket").parquet(path + "/postings")
+    lengths = _tokens(records, id_column, text_column).select("id", F.size("tokens").alias("length"))
     lengths.write.mode("errorifexists").parquet(path + "/lengths")
 
 
