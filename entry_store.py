@@ -260,7 +260,8 @@ def recorded_moves(spark, sf_dir):
 def revoked_moves(spark, sf_dir):
     """Attributions by moves, of which later observations withdraw some."""
     live, worktrees, observed, projects = _move_tables(spark, sf_dir)
-    linked = lambda seen: session.stage(moves.move_associations(live, moves.reconcile_moves(live, worktrees, seen, projects)), "linked")
+    found = moves.move_evidence(live)
+    linked = lambda seen: session.stage(moves.move_associations(live, moves.reconcile_moves(live, worktrees, seen, projects, found)), "linked")
     given = moves.apply_associations(live, linked(observed.limit(0)))
     return moves.revoke_unsupported(given, linked(observed)).select("record_id", "worktree_id", "association_reason")
 

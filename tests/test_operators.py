@@ -161,6 +161,33 @@ def test_recorded_moves_and_intervals(spark):
     assert {r.record_id for r in moves.associate_by_interval(live, spans).collect()} == {"x1", "x2"}
 
 
+def test_evidence_is_worked_out_once(spark, monkeypatch):
+    """Judging the same records twice reads written executions and evidence; no plan holds a command's words."""
+    from pyspark.sql import functions as F
+    from worklore import schema
+
+    meta = schema.metadata(command=F.col("command"), execution_source=F.lit("native_command_execution"), exit_status=F.lit(0).cast("long"))
+    rows = [(f"x{n}-{p}", f"s{n}", p, c.format(n=n), d.format(n=n), o.format(n=n)) for n in (1, 2) for p, c, d, o in (
+        (1, "ls", "/r/{n}/old", ""), (2, "mv /r/{n}/old /r/{n}/new", "/r/{n}/old", ""), (3, "git rev-parse --show-toplevel", "/r/{n}/new", "/r/{n}/new\n"))]
+    live = spark.createDataFrame(rows, "record_id string, session_id string, position long, command string, cwd string, text string").select(
+        "record_id", "session_id", F.lit("g").alias("generation_id"), F.lit("n").alias("native_id"), F.lit("tool").alias("actor"),
+        F.lit("recorded_tool_result").alias("kind"), "text", F.lit(None).cast("timestamp").alias("event_time"), "cwd", meta.alias("metadata"), "position",
+    )
+    trees = spark.createDataFrame([(f"w{n}", "p", f"id{n}", f"/r/{n}/new", True) for n in (1, 2)],
+                                  "worktree_id string, project_id string, identity string, path string, active boolean")
+    projects = spark.createDataFrame([("p", "c")], "project_id string, common_identity string")
+    seen = spark.createDataFrame([(("/r/2/old", "other", "c", True),)],
+                                 "data struct<path:string,worktree_identity:string,common_identity:string,available:boolean>")
+    calls, real = [], moves.executions
+    monkeypatch.setattr(moves, "executions", lambda rows: calls.append(1) or real(rows))
+    found = moves.move_evidence(live)
+    verdicts = [moves.reconcile_moves(live, trees, x, projects, found) for x in (seen.limit(0), seen)]
+    assert [{r.record_id: r.failure for r in v.collect()} for v in verdicts] == [
+        {"x1-2": None, "x2-2": None}, {"x1-2": None, "x2-2": "historical_git_identity_conflict"}]
+    assert len(calls) == 1
+    assert "command" not in moves.reconcile_moves(live, trees, seen, projects)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sections_chunk_exactly(spark):
     long = "\n".join("word " * 150 for _ in range(8))
     text = f"# T\n\n{long}\n\n" + "y" * 7200 + "\n"
