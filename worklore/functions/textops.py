@@ -19,7 +19,7 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def gathered(entries: Column, start: Column, step, gathers: str, block: int = 512) -> Column:
+def gathered(entries: Column, start: Column, step, gathers: str, block: int = 64) -> Column:
     """Fold over an array with a struct state of which one field gathers an array.
 
     Appending copies what was gathered, so each block of entries gathers for

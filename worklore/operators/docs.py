@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .. import schema
+from .. import schema, session
 from ..functions import hashing, pathops, patterns as P, textops
+from ..functions.plans import settle
 from . import extract
 from .prose import prose_lines
 
@@ -13,32 +14,45 @@ _LINE = "struct<pos:int,label:string,starts:boolean,level:int,title:string,line:
 _STATE = f"struct<skip:boolean,comment:boolean,fence:string,inside:string,lazy:boolean,out:array<{_LINE}>>"
 
 
+def _looks(line: Column, following: Column) -> list[Column]:
+    """What a line shows by itself, and the level of the underline that follows it (0: none).
+
+    A regular expression runs only where the characters it needs are there.
+    """
+    has = lambda mark: F.contains(line, F.lit(mark))
+    first = F.substring(F.ltrim(line), 1, 1)
+    under = F.when(
+        F.substring(F.ltrim(following), 1, 1).isin("=", "-") & following.rlike(P.cs(P.MARKDOWN_UNDERLINE)),
+        F.when(F.ltrim(following).startswith("="), 1).otherwise(2),
+    )
+    return [
+        has("<!--").alias("opened"),
+        F.when(first == "#", F.regexp_extract(line, P.cs(P.MARKDOWN_HEADING), 1)).otherwise("").alias("hashes"),
+        F.when(first.isin("`", "~"), F.regexp_extract(line, P.cs(P.MARKDOWN_FENCE), 1)).otherwise("").alias("token"),
+        # Printable ASCII is never blank; anything else is left to the expression.
+        F.when(first.between("!", "~"), False).otherwise(~line.rlike(r"(?U)\S")).alias("blank"),
+        (line.startswith("    ") | line.startswith("\t")).alias("indented"),
+        ((first == ">") & line.rlike(P.MARKDOWN_QUOTED)).alias("quoted"),
+        F.coalesce(under, F.lit(0)).alias("under"),
+    ]
+
+
 def _labelled(text: Column) -> Column:
     """Fold over the lines of a document: what each line is, and where blocks are forced to start."""
     split = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n")
     # Bound once: a lambda would split the text again for every line.
     numbered = textops.let(
         split,
-        lambda lines: F.transform(
-            lines, lambda l, i: F.struct(i.alias("pos"), l.alias("line"), F.get(lines, i + 1).alias("next"))
-        ),
+        lambda lines: F.transform(lines, lambda l, i: F.struct(i.alias("pos"), l.alias("line"), *_looks(l, F.get(lines, i + 1)))),
     )
 
     def step(s: Column, e: Column) -> Column:
-        line = e["line"]
-        opened = F.contains(line, F.lit("<!--"))
-        in_comment = ~s["skip"] & (s["comment"] | opened)
+        line, hashes, token, blank = e["line"], e["hashes"], e["token"], e["blank"]
+        in_comment = ~s["skip"] & (s["comment"] | e["opened"])
         fenced = s["fence"].isNotNull()
-        token = F.regexp_extract(line, P.cs(P.MARKDOWN_FENCE), 1)
-        blank = ~line.rlike(r"(?U)\S")
-        hashes = F.regexp_extract(line, P.cs(P.MARKDOWN_HEADING), 1)
         free = ~s["skip"] & ~in_comment & ~fenced
         heading = free & (hashes != "")
-        underlined = (
-            free & ~heading & (token == "") & ~blank
-            & ~line.rlike(P.MARKDOWN_INDENTED) & ~line.rlike(P.MARKDOWN_QUOTED)
-            & F.coalesce(e["next"].rlike(P.cs(P.MARKDOWN_UNDERLINE)), F.lit(False))
-        )
+        underlined = free & ~heading & (token == "") & ~blank & ~e["indented"] & ~e["quoted"] & (e["under"] > 0)
         opens = free & ~heading & ~underlined & (token != "")
         closes = (
             ~s["skip"] & ~in_comment & fenced & (token != "")
@@ -47,16 +61,14 @@ def _labelled(text: Column) -> Column:
             & ~F.regexp_replace(line, P.cs(P.MARKDOWN_FENCE), "").rlike(r"(?U)\S")
         )
         ordinary = free & ~heading & ~underlined & ~opens
-        lazy = F.when(ordinary & blank, False).when(
-            ordinary & line.rlike(P.MARKDOWN_QUOTED), True
-        ).otherwise(s["lazy"])
+        lazy = F.when(ordinary & blank, False).when(ordinary & e["quoted"], True).otherwise(s["lazy"])
         label = (
             F.when(s["skip"], "none")
             .when(in_comment, "comment")
             .when(heading | underlined, "heading")
             .when(opens | fenced, "fence:" )
             .when(blank, "none")
-            .when(line.rlike(P.MARKDOWN_INDENTED), "code")
+            .when(e["indented"], "code")
             .when(lazy, "quote")
             .otherwise("prose")
         )
@@ -66,8 +78,7 @@ def _labelled(text: Column) -> Column:
             F.when(label == "fence:", F.concat(label, F.coalesce(inside, F.lit("code")))).otherwise(label).alias("label"),
             (opens | (in_comment & ~s["comment"])).alias("starts"),
             F.when(heading, F.length(hashes)).when(
-                underlined, F.when(F.ltrim(e["next"]).startswith("="), 1).otherwise(2)
-            ).cast("int").alias("level"),
+                underlined, e["under"]).cast("int").alias("level"),
             F.when(heading, F.regexp_extract(line, P.cs(P.MARKDOWN_HEADING), 2))
             .when(underlined, textops.strip_ws(line)).alias("title"),
             line.alias("line"),
@@ -78,7 +89,7 @@ def _labelled(text: Column) -> Column:
             F.when(opens, token).when(closes, F.lit(None).cast("string")).otherwise(s["fence"]).alias("fence"),
             inside.alias("inside"),
             lazy.alias("lazy"),
-            F.array_append(s["out"], entry).alias("out"),
+            F.concat(s["out"], F.array(entry)).alias("out"),
         ).cast(_STATE)
 
     null = F.lit(None).cast("string")
@@ -293,6 +304,8 @@ def document_statements(records: DataFrame) -> DataFrame:
     relevant = base.filter(~m(section, P.EXAMPLE) & ~m(section, P.EXAMPLE_SECTION)).withColumn(
         "old_section", m(section, P.HISTORICAL) | m(F.col("name"), P.ARCHIVED_NAME)
     )
+    # Code and prose both read them; sections would be made anew for each.
+    relevant = session.stage(relevant, "sections")
 
     # Reported results quoted in code blocks.
     old = F.col("old_section")
@@ -323,25 +336,25 @@ def document_statements(records: DataFrame) -> DataFrame:
     lines = prose_lines(
         prose.withColumn("plain", ~F.col("full_text").rlike(P.cs(P.STRUCTURED_BODY))), keep=kept
     )
-    single = lines.filter("not plain")
-    merged = lines.filter("plain").groupBy("record_id", *kept).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " "
-        ).alias("line"),
-        F.min("line_no").alias("line_no"),
+    listed = F.sort_array(F.collect_list(F.struct("line_no", "line")))
+    whole = F.struct(
+        F.get("_lines", F.lit(0))["line_no"].alias("line_no"),
+        F.array_join(F.transform("_lines", lambda x: x["line"]), " ").alias("line"),
     )
-    paragraphs = single.unionByName(merged.select(*single.columns)).filter(
-        ~F.ltrim("line").startswith("#") & ~F.ltrim("line").startswith("<!--")
+    paragraphs = (
+        lines.groupBy("record_id", *kept).agg(listed.alias("_lines"))
+        .select("record_id", *kept, F.inline(F.when(F.col("plain"), F.array(whole)).otherwise(F.col("_lines"))))
+        .filter(~F.ltrim("line").startswith("#") & ~F.ltrim("line").startswith("<!--"))
     )
-    indexed = paragraphs.withColumn(
+    indexed = settle(paragraphs.withColumn(
         "index", F.row_number().over(W.partitionBy("record_id").orderBy("line_no")) - 1
-    ).withColumn("text", textops.prose(F.col("line")))
+    ).withColumn("text", textops.prose(F.col("line"))))
     text = F.col("text")
     trimmed = F.when(
         m(text, P.INLINE_EXAMPLE),
         F.rtrim(F.regexp_replace(F.element_at(F.split(text, P.ci(P.INLINE_EXAMPLE), 2), 1), r"[ :;,]+$", "")),
     ).otherwise(text)
-    usable = indexed.withColumn("text", trimmed).filter(
+    usable = settle(indexed.withColumn("text", trimmed)).filter(
         (text != "") & ~text.startswith("| ---") & ~text.startswith("---")
         & ~text.startswith("BEGIN ") & ~text.startswith("END ") & ~m(text, P.EXAMPLE)
     )
@@ -352,13 +365,13 @@ def document_statements(records: DataFrame) -> DataFrame:
         F.filter(clauses, lambda c: ~c.rlike(P.ci(P.PROHIBITION_START))), " "
     )
     table = text.startswith("|")
-    facts = usable.withColumns({"directive": directive, "marked": task != ""}).withColumn(
+    facts = settle(usable.withColumns({"directive": directive, "marked": task != ""}).withColumn(
         "stated", status_text
-    )
+    ))
     stated = F.col("stated")
     action = m(stated, P.DOCUMENT_IMPERATIVE) & (F.col("marked") | m(section, P.PENDING_SECTION))
     reference_only = m(F.col("name"), P.REFERENCE_NAME) & ~F.col("action") & ~m(stated, P.STRONG_PENDING)
-    flagged = facts.withColumn("action", action).withColumns(
+    flagged = settle(settle(facts.withColumn("action", action)).withColumns(
         {
             "pending": (m(stated, P.PENDING) | F.col("action")) & ~reference_only,
             "gap": m(stated, P.CHECK_WORD) & m(stated, P.UNAVAILABLE_WORD),
@@ -366,7 +379,7 @@ def document_statements(records: DataFrame) -> DataFrame:
                 text.rlike(P.TABLE_RULE) | m(text, P.TABLE_HEADER) | ~m(section, P.TABLE_SECTION)
             ),
         }
-    )
+    ))
     waiting = F.col("pending") | F.col("gap")
     limited = ~F.col("action") & m(stated, P.LIMITATION) & ~m(stated, P.PRODUCT_SCOPE)
     rung = (

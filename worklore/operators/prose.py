@@ -49,7 +49,7 @@ def _outside_regions(lines: Column) -> Column:
             (comment & ~F.contains(line, F.lit("-->"))).alias("comment"),
             fence.alias("fence"),
             quoted.alias("quoted"),
-            F.when(keep, F.array_append(state["kept"], entry)).otherwise(state["kept"]).alias("kept"),
+            F.when(keep, F.concat(state["kept"], F.array(entry))).otherwise(state["kept"]).alias("kept"),
         ).cast(_STATE)
 
     start = F.struct(
