@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from worklore.functions import jsonops as J
 from worklore.operators import docs
 
 
@@ -33,3 +34,14 @@ def test_lines_are_gathered_without_inserts(spark):
         ("none", None, None), ("prose", None, None), ("heading", 2, "Two"), ("none", None, None), ("code", None, None),
     ]
     assert lines.filter("doc_id = 2 and label = 'prose' and line = concat('line ', pos)").count() == 200
+
+def test_kinds_of_values_are_told_without_writing_them_out(spark):
+    given = ['{"a": 1}', "[1]", '"x"', "7", "1.0", "1.5", "1E400", "true", "null"]
+    v = spark.createDataFrame([(i, '{"f": %s}' % g) for i, g in enumerate(given)], "i int, t string").withColumn("v", J.parse(F.col("t")))
+    f = J.node(F.col("v"), "$.f")
+    objects = v.select(J.is_object(F.col("v")), J.is_array(f))
+    assert "to_json" not in _plan(objects) and "StructsToJson" not in _plan(objects)
+    out = v.select("i", J.first_char(f).alias("c"), J.int_at(F.col("v"), "$.f").alias("n"), J.bool_at(F.col("v"), "$.f").alias("b")).orderBy("i").collect()
+    assert [r["c"] for r in out] == ["{", "[", '"', None, None, None, '"', None, None]
+    assert [r["n"] for r in out] == [None, None, None, 7, 1, None, None, None, None]
+    assert [r["b"] for r in out] == [None] * 7 + [True, None]

@@ -18,21 +18,34 @@ def node(value: Column, path: str) -> Column:
     return F.try_variant_get(value, path, "variant")
 
 
+def _kind(value: Column) -> Column:
+    """Type of a JSON value, without writing the value out: STRING, OBJECT<..., ARRAY<..., BIGINT, ..."""
+    return F.schema_of_variant(value)
+
+
+def _quoted(value: Column, kind: Column) -> Column:
+    """Strings, and numbers beyond a double: their JSON form is "Infinity"."""
+    return (kind == "STRING") | (kind == "DOUBLE") & F.to_json(value).startswith('"')
+
+
 def first_char(value: Column) -> Column:
-    """First character of the JSON form: tells object, array, string apart."""
-    return F.substring(F.to_json(value), 1, 1)
+    """First character of the JSON form where it is a list, an object or a string; else null."""
+    return let(
+        _kind(value),
+        lambda kind: F.when(_quoted(value, kind), '"').when(kind.startswith("OBJECT<"), "{").when(kind.startswith("ARRAY<"), "["),
+    )
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(first_char(value) == "{", F.lit(False))
+    return F.coalesce(_kind(value).startswith("OBJECT<"), F.lit(False))
 
 
 def is_array(value: Column) -> Column:
-    return F.coalesce(first_char(value) == "[", F.lit(False))
+    return F.coalesce(_kind(value).startswith("ARRAY<"), F.lit(False))
 
 
 def is_string(value: Column) -> Column:
-    return F.coalesce(first_char(value) == '"', F.lit(False))
+    return F.coalesce(_quoted(value, _kind(value)), F.lit(False))
 
 
 def string_at(value: Column, path: str) -> Column:
@@ -41,15 +54,14 @@ def string_at(value: Column, path: str) -> Column:
 
 
 def bool_at(value: Column, path: str) -> Column:
-    field = F.to_json(node(value, path))
-    return F.when(field.isin("true", "false"), field == "true")
+    return F.when(_kind(node(value, path)) == "BOOLEAN", F.try_variant_get(value, path, "boolean"))
 
 
 def int_at(value: Column, path: str) -> Column:
     """The field when it is a JSON integer (not a boolean or a fraction)."""
-    return F.when(
-        F.to_json(node(value, path)).rlike(r"^-?\d+$"), F.try_variant_get(value, path, "bigint")
-    )
+    found, kind = node(value, path), _kind(node(value, path))
+    whole = (kind == "BIGINT") | kind.startswith("DECIMAL") & F.to_json(found).rlike(r"^-?\d+$")
+    return F.when(whole, F.try_variant_get(value, path, "bigint"))
 
 
 def truthy(value: Column, path: str) -> Column:
