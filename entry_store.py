@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 import entry_tables as E
@@ -310,6 +311,29 @@ def forgotten_store(spark, sf_dir):
     return out.unionAll(count("excluded", excluded)).unionAll(count("marks", store.table("marks")))
 
 
+def _write_blocks(texts: DataFrame, place: str) -> None:
+    """One file of lines per block, as rows come; a block's rows follow each other within a task.
+
+    Spark's own writer takes several system calls and a rename per file, some in processes of their own.
+    """
+
+    def run(arriving):
+        out, current, files = None, (), 0
+        for batch in arriving:
+            for block, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != current:
+                    if out:
+                        out.close()
+                    out, current, files = ranges.create_file(f"{place}/block={block}/part-0.txt"), block, files + 1
+                out.write(text + b"\n")
+        if out:
+            out.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    block = F.coalesce(F.col("block").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("block")
+    texts.select(block, F.col("text").cast("binary")).mapInArrow(run, "files long").agg(F.sum("files")).collect()
+
+
 @query("""WITH d AS (SELECT doc_id // 50 AS block, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS content FROM documents WHERE text IS NOT NULL GROUP BY 1)
  SELECT block, 'docs' AS folder, CAST(NULL AS VARCHAR) AS code, sha256(content) AS fingerprint, length(content) AS characters FROM d
  UNION ALL SELECT block, 'raw', 'document_binary_unsupported', sha256(chr(0) || content), NULL FROM d""")
@@ -321,7 +345,7 @@ def scanned_documents(spark, sf_dir):
     first = F.col("doc_id") == F.min("doc_id").over(Window.partitionBy("block"))
     raw = rows.withColumn("text", F.when(first, F.concat(F.lit("\x00"), "text")).otherwise(F.col("text")))
     for place, texts in (("docs", dealt), ("docs/raw", raw.repartition("block").sortWithinPartitions("block", "doc_id")), ("logs", dealt)):
-        texts.select("block", "text").write.mode("append").partitionBy("block").text(f"{folder}/{place}")
+        _write_blocks(texts, f"{folder}/{place}")
     root = folder.removeprefix("file:").replace("///", "/")
     found = docfiles.read_documents(spark, root, "p", "w", patterns=["**/part-*.txt"])
     relative = F.col("relative_path")

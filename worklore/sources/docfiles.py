@@ -51,7 +51,11 @@ def with_content(listed: DataFrame) -> DataFrame:
                 yield row.append_column("content", pa.array([content], pa.binary())).append_column("unreadable", pa.array([failed]))
 
     kinds = ", ".join(f"`{n}` {t}" for n, t in listed.dtypes)
-    return listed.repartition("path").mapInArrow(run, f"{kinds}, content binary, unreadable boolean")
+    # Dealt into a fixed number of tasks: one small row stands for a whole file, and by the size of
+    # its rows the listing of very many files would be taken for a single task.
+    spark = listed.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return listed.repartition(tasks, "path").mapInArrow(run, f"{kinds}, content binary, unreadable boolean")
 
 
 def read_documents(

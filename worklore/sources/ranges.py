@@ -27,12 +27,24 @@ _LINES = "source_path string, block long, line_no long, byte_offset long, value
 
 def open_file(path: str) -> io.BufferedReader:
     """A file of any store that the workers' Arrow reaches, for reading."""
+    store, place = _placed(path)
+    return io.BufferedReader(store.open_input_file(place), _BUFFER)
+
+
+def create_file(path: str) -> io.BufferedWriter:
+    """A new file of any such store, for writing; its folders are made, an older file is replaced."""
+    store, place = _placed(path)
+    store.create_dir(place.rpartition("/")[0], recursive=True)
+    return io.BufferedWriter(store.open_output_stream(place), _BUFFER)
+
+
+def _placed(path: str):
+    """(file system, path in it)"""
     from pyarrow import fs
 
     if path.startswith("file:"):
         path = "/" + path.removeprefix("file:").lstrip("/")
-    store, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return io.BufferedReader(store.open_input_file(place), _BUFFER)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def chunked(files: DataFrame, size: int = CHUNK) -> DataFrame:
