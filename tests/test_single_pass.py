@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from worklore.functions import jsonops as J
+import entry_store
+from worklore.functions import jsonops as J, ordering, pathops
 from worklore.operators import docs
+from worklore.sources import docfiles
 
 
 def _plan(df):
@@ -45,3 +47,43 @@ def test_kinds_of_values_are_told_without_writing_them_out(spark):
     assert [r["c"] for r in out] == ["{", "[", '"', None, None, None, '"', None, None]
     assert [r["n"] for r in out] == [None, None, None, 7, 1, None, None, None, None]
     assert [r["b"] for r in out] == [None] * 7 + [True, None]
+
+
+def test_paths_are_computed_once(spark):
+    given = ["/a/b", "/a//b/./c/", "/", "//", "/a/.", "/a/../b", "/a..b/..c", "a/b", "", None, "file:///a%20b+c", "file:/a/", "file:a", "/a[b", "/a\tb", "/a/ ", "/x" * 2048, "/" + "x" * 4096]
+    d = spark.createDataFrame([(i, p and p[::-1]) for i, p in enumerate(given)], "i int, p string")
+    out = d.select("i", pathops.clean_absolute(F.reverse("p")).alias("p"))
+    assert _plan(out).count("reverse(") == 1
+    got = [r["p"] for r in out.orderBy("i").collect()]
+    assert got == ["/a/b", "/a/b/c", "/", "/", "/a", None, "/a..b/..c", None, None, None, "/a b+c", "/a", None, None, None, "/a ", "/x" * 2048, None]
+
+
+def test_next_rows_need_no_join(spark):
+    rows = [(g, p, f"{g}{p}" if p % 3 else None) for g in ("a", "b", None) for p in (0, 1, 2, 3, 9, 10, 11, 25, 26, 60)] + [("c", 5, "c5")]
+    d = spark.createDataFrame(rows, "g string, p long, v string").withColumn("seg", ordering.position_segment(F.col("p"), 4))
+    out = ordering.next_row(d, ["g"], "seg", "p", F.struct("v", "p"), "following")
+    assert "Join" not in _plan(out)
+    got = {(r["g"], r["p"]): r["following"] and tuple(r["following"]) for r in out.collect()}
+    want = {}
+    for g in ("a", "b", None, "c"):
+        mine = [r for r in rows if r[0] == g]
+        want |= {(g, r[1]): (n[2], n[1]) if n else None for r, n in zip(mine, [*mine[1:], None], strict=True)}
+    assert got == want and out.columns == [*d.columns, "following"]
+
+
+def test_listed_files_are_read_in_many_tasks(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.txt").write_text(f"text {i}")
+    listed = spark.createDataFrame([(f"{tmp_path}/{i}.txt",) for i in range(40)], "path string")
+    read = docfiles.with_content(listed).withColumn("task", F.spark_partition_id()).collect()
+    assert {bytes(r["content"]).decode() for r in read} == {f"text {i}" for i in range(40)}
+    assert len({r["task"] for r in read}) > 1
+
+
+def test_blocks_are_written_as_lines(spark, tmp_path):
+    rows = [(1, "aé"), (1, "\x00b\nc"), (2, ""), (None, "d")]
+    texts = spark.createDataFrame(rows, "block long, text string").coalesce(1).sortWithinPartitions("block")
+    entry_store._write_blocks(texts, f"file:{tmp_path}/docs")
+    read = {p.parent.name: p.read_bytes().decode() for p in tmp_path.glob("docs/*/part-*.txt")}
+    assert sorted(read["block=1"].split("\n")) == sorted("aé\n\x00b\nc\n".split("\n"))
+    assert read["block=2"] == "\n" and read["block=__HIVE_DEFAULT_PARTITION__"] == "d\n"

@@ -103,14 +103,12 @@ def next_row(
 ) -> DataFrame:
     """The value of the following row of the group (NULL on the last one)."""
     keys = [*group, segment]
-    inner = W.partitionBy(*keys).orderBy(order)
-    across = W.partitionBy(*["_k_" + g for g in group]).orderBy("_k_" + segment)
+    across = W.partitionBy(*group).orderBy(segment)
     boxed = F.struct(value.alias("v"))
-    summary = (
-        df.groupBy(*[F.col(k).alias("_k_" + k) for k in keys])
-        .agg(F.min_by(boxed, F.col(order)).alias("_s"))
-        .select(*["_k_" + k for k in keys], F.lead("_s").over(across).alias("_after"))
-    )
-    local = df.withColumn(name, F.lead(boxed).over(inner))
-    out = _attach(local, summary, keys)
-    return out.withColumn(name, F.coalesce(F.col(name), F.col("_after"))["v"]).drop("_after")
+    # A segment's first value also stands behind the last row of the segment before it, so no row is joined.
+    firsts = df.groupBy(*keys).agg(F.min_by(boxed, F.col(order)).alias("_v")).withColumn("_has", F.lag(F.lit(True)).over(across))
+    borders = firsts.select(*group, F.lag(segment).over(across).alias(segment), "_v", "_has", F.lit(True).alias("_border"))
+    rows = df.withColumns({"_v": boxed, "_border": F.lit(False)})
+    both = rows.unionByName(borders.filter("_has").drop("_has"), allowMissingColumns=True)
+    inner = W.partitionBy(*keys).orderBy("_border", order)
+    return both.withColumn(name, F.lead("_v").over(inner)["v"]).filter("not _border").drop("_v", "_border")

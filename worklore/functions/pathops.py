@@ -66,10 +66,20 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def clean_absolute(path: Column) -> Column:
-    """An absolute path without parent steps, control characters or '[', else NULL."""
+# What is refused or tidied; an absolute path with none of it is clean as it is.
+_UNCLEAN = r"//|/\./|(?<=.)/\.?$|[\x00-\x1f\x7f\[]|(?:^|/)\.\.(?:/|$)"
+
+
+def _clean(path: Column) -> Column:
     bare = F.regexp_replace(path, r"^file:(?://)?(?=/)", "")
-    bare = F.when(path.startswith("file:"), F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))).otherwise(bare)
+    bare = F.when(path.startswith("file:"), F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B")))).otherwise(path)
     tidy = F.regexp_replace(F.regexp_replace(bare, r"/(?:\./)*(?:/(?:\./)*)*", "/"), r"(?<=.)/\.?$", "")
     bad = bare.rlike(r"[\x00-\x1f\x7f\[]") | bare.rlike(r"(?:^|/)\.\.(?:/|$)")
-    return F.when(bare.startswith("/") & ~bad & (F.length(bare) <= 4096), tidy)
+    whole = F.when(bare.startswith("/") & ~bad & (F.length(bare) <= 4096), tidy)
+    return F.when(path.startswith("/") & (F.length(path) <= 4096) & ~path.rlike(_UNCLEAN), path).otherwise(whole)
+
+
+def clean_absolute(path: Column) -> Column:
+    """An absolute path without parent steps, control characters or '[', else NULL."""
+    # The rules mention the path many times; inside a lambda it is computed once.
+    return F.get(F.transform(F.array(path), _clean), F.lit(0))

@@ -15,54 +15,53 @@ from ..functions.plans import settle
 _SESSION = ["session_id", "generation_id"]
 
 
-def command_words(command: Column, argv: Column) -> Column:
-    """Words of a single plain command; NULL for anything a shell would interpret."""
-    shell = F.coalesce(F.get(argv, F.lit(0)).isin(P.SHELLS), F.lit(False))
+def _with_words(runs: DataFrame) -> DataFrame:
+    """Adds `words` of a single plain command (columns command, argv); NULL for anything a shell would interpret."""
+    shell = F.coalesce(F.get("argv", F.lit(0)).isin(P.SHELLS), F.lit(False))
     script = F.when(
-        shell,
-        F.when((F.size(argv) == 3) & F.get(argv, F.lit(1)).isin("-c", "-lc"), F.get(argv, F.lit(2))),
-    ).otherwise(F.when(argv.isNull(), command))
-    plain = F.when(~script.rlike(P.SHELL_METACHARACTERS), F.split(F.btrim(script), r"\s+"))
-    words = F.when(argv.isNotNull() & ~shell, argv).otherwise(plain)
-    return F.when((F.size(words) > 0) & (F.size(words) <= 8), words)
+        F.col("_shell"),
+        F.when((F.size("argv") == 3) & F.get("argv", F.lit(1)).isin("-c", "-lc"), F.get("argv", F.lit(2))),
+    ).otherwise(F.when(F.col("argv").isNull(), F.col("command")))
+    plain = F.when(~F.col("_script").rlike(P.SHELL_METACHARACTERS), F.split(F.btrim("_script"), r"\s+"))
+    words = F.when(F.col("argv").isNotNull() & ~F.col("_shell"), F.col("argv")).otherwise(plain)
+    said = runs.withColumn("_shell", shell).withColumn("_script", script).withColumn("_words", words)
+    few = (F.size("_words") > 0) & (F.size("_words") <= 8)
+    return said.withColumn("words", F.when(few, F.col("_words"))).drop("command", "argv", "_shell", "_script", "_words")
 
 
-def _move_ends(words: Column) -> list[Column]:
-    """(bare, old, new): arguments behind the options, and the first two as paths."""
-    args = F.slice(words, F.lit(2), F.lit(8))
-    no_flag = F.when(F.get(args, F.lit(0)).isin("-n", "--no-clobber"), F.slice(args, F.lit(2), F.lit(8))).otherwise(args)
-    bare = F.when(F.get(no_flag, F.lit(0)) == "--", F.slice(no_flag, F.lit(2), F.lit(8))).otherwise(no_flag)
-    path = lambda at: pathops.clean_absolute(F.get(bare, F.lit(at)))
-    return [F.size(bare).alias("ends"), path(0).alias("old"), path(1).alias("new")]
+def _with_arguments(runs: DataFrame) -> DataFrame:
+    """Adds what follows the options of a move (`_ends`, `_old`, `_new`) and of a root query (`_asked`, `_at`, `_output`).
 
-
-def _move_paths() -> Column:
-    old, new = F.col("old"), F.col("new")
+    Both stay NULL for any other command: the long expressions on paths are for these only.
+    """
+    first = F.get("words", F.lit(0))
+    rest = lambda c, at: F.slice(c, F.lit(at), F.lit(8))
+    args = F.col("_args")
+    elsewhere = F.coalesce(F.get(args, F.lit(0)) == "-C", F.lit(False))
+    runs = runs.withColumn("_move", first.isin(P.MOVE_COMMANDS)).withColumn("_query", first.isin(P.ROOT_COMMANDS))
+    runs = runs.withColumn("_args", F.when(F.col("_move") | F.col("_query"), rest("words", 2)))
+    runs = runs.withColumn("_flagless", F.when(F.get(args, F.lit(0)).isin("-n", "--no-clobber"), rest(args, 2)).otherwise(args))
+    runs = runs.withColumn("_bare", F.when(F.get("_flagless", F.lit(0)) == "--", rest("_flagless", 2)).otherwise(F.col("_flagless")))
+    runs = runs.withColumn("_two", F.col("_move") & (F.size("_bare") == 2))
+    return runs.withColumns({
+        "_old": F.when(F.col("_two"), F.get("_bare", F.lit(0))), "_new": F.when(F.col("_two"), F.get("_bare", F.lit(1))),
+        "_asked": F.when(F.col("_query"), F.array_join(F.when(elsewhere, rest(args, 3)).otherwise(args), " ")),
+        "_at": F.when(F.col("_query"), F.when(elsewhere, F.get(args, F.lit(1))).otherwise(F.col("cwd"))),
+        "_output": F.when(F.col("_query"), F.regexp_replace("text", r"\n\z", "")),
+    }).drop("_args", "_flagless", "_bare", "_two", "_move", "_query")
+
+
+def _move_paths(old: Column, new: Column) -> Column:
     return F.when(
-        F.get(F.col("words"), F.lit(0)).isin(P.MOVE_COMMANDS) & (F.col("ends") == 2)
-        & old.isNotNull() & new.isNotNull() & (old != new)
-        & (pathops.parent(old) == pathops.parent(new)),
-        F.struct("old", "new"),
+        old.isNotNull() & new.isNotNull() & (old != new) & (pathops.parent(old) == pathops.parent(new)),
+        F.struct(old.alias("old"), new.alias("new")),
     )
 
 
-def _root_query(words: Column, cwd: Column, text: Column) -> list[Column]:
-    """(asked, at, output): the query, the directory it was asked in, and its answer."""
-    args = F.slice(words, F.lit(2), F.lit(8))
-    elsewhere = F.get(args, F.lit(0)) == "-C"
-    at = pathops.clean_absolute(F.when(elsewhere, F.get(args, F.lit(1))).otherwise(cwd))
-    asked = F.array_join(F.when(elsewhere, F.slice(args, F.lit(3), F.lit(8))).otherwise(args), " ")
-    output = F.regexp_replace(text, r"\n\z", "")
-    return [asked.alias("asked"), at.alias("at"), F.when(output.startswith("/"), pathops.clean_absolute(output)).alias("output")]
-
-
-def _root_path() -> Column:
+def _root_path(asked: Column, at: Column, output: Column) -> Column:
     """Directory that a repository-root query confirmed."""
     return F.when(
-        F.get(F.col("words"), F.lit(0)).isin(P.ROOT_COMMANDS)
-        & F.col("asked").isin("rev-parse --show-toplevel", "rev-parse --path-format=absolute --show-toplevel")
-        & (F.col("output") == F.col("at")),
-        F.col("at"),
+        asked.isin("rev-parse --show-toplevel", "rev-parse --path-format=absolute --show-toplevel") & (output == at), at
     )
 
 
@@ -99,11 +98,16 @@ def executions(live: DataFrame) -> DataFrame:
         & (m["execution_source"] == "native_command_execution") & (m["exit_status"] == 0)
     )
     kept = ["record_id", "native_id", *_SESSION, "position", "event_time"]
+    given = done.select(*kept, "cwd", "text", m["command"].alias("command"), m["command_argv"].alias("argv"))
     # Each step is computed once: later filters and joins would copy the definitions of these columns.
-    worded = settle(done.select(*kept, "cwd", "text", command_words(m["command"], m["command_argv"]).alias("words")))
-    words = F.col("words")
-    ended = settle(worded.select(*kept, "words", *_move_ends(words), *_root_query(words, F.col("cwd"), F.col("text"))))
-    return settle(ended.select(*kept, "words", _move_paths().alias("move"), _root_path().alias("root")))
+    read = settle(_with_arguments(_with_words(given)).select(*kept, "words", "_old", "_new", "_asked", "_at", "_output"))
+    clean = pathops.clean_absolute
+    output = F.when(F.col("_output").startswith("/"), clean(F.col("_output")))
+    paths = {"_old": clean(F.col("_old")), "_new": clean(F.col("_new")), "_at": clean(F.col("_at")), "_output": output}
+    return read.withColumns(paths).select(
+        *kept, "words", _move_paths(F.col("_old"), F.col("_new")).alias("move"),
+        _root_path(F.col("_asked"), F.col("_at"), F.col("_output")).alias("root"),
+    )
 
 
 def move_evidence(live: DataFrame) -> DataFrame:
@@ -128,8 +132,9 @@ def move_evidence(live: DataFrame) -> DataFrame:
         .select("*", F.col("move.old").alias("from_path"), F.col("move.new").alias("to_path"))
         .drop("move", "words")
     )
+    # Settled, or the filter and the grouping would each clean the path anew.
     anchors = (
-        live.withColumn("_cwd", pathops.clean_absolute(F.col("cwd")))
+        settle(live.select("record_id", *_SESSION, "position", pathops.clean_absolute(F.col("cwd")).alias("_cwd")))
         .filter("_cwd is not null")
         .groupBy(*[F.col(c).alias("a_" + c) for c in _SESSION], F.col("_cwd").alias("a_path"))
         .agg(F.min(F.struct("position", "record_id")).alias("anchor"))
@@ -239,13 +244,12 @@ def _nested_worktrees(moves: DataFrame, worktrees: DataFrame) -> DataFrame:
     enclosing = worktrees.select(
         F.col("path").alias("_tree"), F.explode_outer(pathops.ancestors(F.col("path"))).alias("_up")
     ).filter("_up is not null")
-    at_or_below = enclosing.select("_up").distinct()
-    below = enclosing.filter("_tree <> _up").select("_up").distinct()
-    old = moves.join(at_or_below, F.col("from_path") == F.col("_up"), "left_semi")
-    new = moves.join(below, F.col("to_path") == F.col("_up"), "left_semi")
-    return old.select("record_id").unionByName(new.select("record_id")).distinct().select(
-        F.col("record_id").alias("n_record_id")
-    )
+    ups = enclosing.groupBy("_up").agg(F.max(F.col("_tree") != F.col("_up")).alias("_below"))
+    # One pass over worktrees and one over moves: an old path may be the worktree itself, a new one only encloses it.
+    end = lambda path, old: F.struct(F.col(path).alias("path"), F.lit(old).alias("old"))
+    ends = moves.select("record_id", F.inline(F.array(end("from_path", True), end("to_path", False))))
+    hit = ends.join(ups, F.col("path") == F.col("_up")).filter("old or _below")
+    return hit.select(F.col("record_id").alias("n_record_id")).distinct()
 
 
 def _conflicting_observations(observations: DataFrame) -> DataFrame:
